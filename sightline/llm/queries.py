@@ -38,6 +38,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_token_binary, op7_byte_bpe)}
+def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.host_quality import judge
 
-ORACLE: dict[str, str] = {}
+    return judge(_table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op5_token_binary, op7_byte_bpe, op8_host_quality, op9_mixing)}
+
+from sightline.llm.oracles import ORACLE  # noqa: E402, F401
