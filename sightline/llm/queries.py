@@ -50,6 +50,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_token_binary, op7_byte_bpe, op8_host_quality, op9_mixing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.toxicity import detect
+
+    return detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op5_token_binary, op7_byte_bpe, op8_host_quality, op9_mixing, op10_toxicity)}
 
 from sightline.llm.oracles import ORACLE  # noqa: E402, F401
