@@ -62,7 +62,7 @@ class PerfectHash:
 class ByteBpe:
     """Encoder and decoder for a file of ranks (base64 token, rank)."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 500_000) -> None:
+    def __init__(self, path: str, pattern: str, memo: int = 800_000) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.find = regex.compile(pattern).findall
@@ -81,8 +81,9 @@ class ByteBpe:
             by_id[i] = t
         self.bytes_table = self._table(by_id)
         self.text_table = self._table([b"%d " % i for i in range(n)])
-        self.memo: dict[str, bytes] = {}
-        self.limit = memo
+        self.memo: dict[str, bytes] = {}  # in an older and a newer half; the older goes when the newer is full
+        self.old: dict[str, bytes] = {}
+        self.limit = memo // 2
 
     @staticmethod
     def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,9 +150,10 @@ class ByteBpe:
             seen.update(units)
         missing = seen - self.memo.keys()
         if len(self.memo) + len(missing) > self.limit:
-            self.memo.clear()
-            missing = seen
-        new = list(missing)
+            self.old, self.memo, missing = self.memo, {}, seen
+        kept = missing & self.old.keys()
+        self.memo.update((u, self.old[u]) for u in kept)
+        new = list(missing - kept)
         split = [self.find(u) for u in new]
         words = list({w for s in split for w in s} - self.memo.keys())
         for at in range(0, len(words), 8192):

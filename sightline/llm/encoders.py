@@ -6,12 +6,16 @@ import hashlib
 import json
 import os
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
-#: Entries a worker's memo may hold before it starts anew.
-MEMO = 700_000
+#: Entries a worker's memo may hold, in an older and a newer half; the older goes when the newer is full.
+MEMO = 800_000
 #: White space that parts two chunks; a text is never cut elsewhere.
+#: The characters that byte-level vocabularies write for the 256 bytes: printable Latin-1 ones for themselves, the rest from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 _BREAKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
@@ -29,18 +33,18 @@ class WordEncoder:
         spec = json.load(open(path))
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         drops = split.get("behavior") == "Removed" and split.get("invert") and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"])
-        self.by_chunk = bool(drops and spec["model"].get("end_of_word_suffix"))
+        self.by_chunk = bool(drops and spec["model"].get("end_of_word_suffix") and any(x["type"] == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", [])))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.merges = self.tokenizer.model.tokenize
         self.memo: dict[str, bytes] = {}
-        self.limit = memo
+        self.old: dict[str, bytes] = {}
+        self.limit = memo // 2
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
         memo = self.memo
-        if len(memo) + len(chunks) > self.limit:
-            memo.clear()
         # letters and one full stop or comma are two pre-tokens, and upper-case ASCII letters count as lower-case ones
         cores: dict[str, tuple[str, str]] = {}
         for c in chunks:
@@ -48,8 +52,15 @@ class WordEncoder:
                 core, end = (c[:-1], c[-1]) if c[-1:] in (".", ",") and c[:-1].isalpha() and max(c) < "\u0250" else (c, "")
                 cores[c] = (core.lower() if core.isascii() and core.isalpha() else core, end)
         new = list({core for core, _ in cores.values()} - memo.keys() | {".", ","} - memo.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        rest = []
+        for core in new:
+            if core.islower() and core.isalpha() and max(core) < "\u0250" and is_normalized("NFC", core):
+                # one pre-token that the normaliser leaves as it is: straight to the library's merges
+                memo[core] = np.array([t.id for t in self.merges(core if core.isascii() else "".join([_BYTE_CHARS[b] for b in core.encode()]))], self.dtype).tobytes()
+            else:
+                rest.append(core)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             memo.update(zip(part, self._library(part), strict=True))
         for c, (core, end) in cores.items():
             memo[c] = memo[core] + memo[end] if end else memo[core]
@@ -68,11 +79,13 @@ class WordEncoder:
         for chunks in cut:
             seen.update(chunks)
         missing = seen - self.memo.keys()
+        if len(self.memo) + len(missing) > self.limit:
+            self.old, self.memo, missing = self.memo, {}, seen
         if missing:
-            if len(self.memo) + len(missing) > self.limit:
-                self.memo.clear()
-                missing = seen
-            self._learn(missing)
+            kept = missing & self.old.keys()
+            old = self.old
+            self.memo.update((c, old[c]) for c in kept)
+            self._learn(missing - kept)
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(b) // self.dtype.itemsize for b in self.encode(texts)]

@@ -30,4 +30,15 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (s
 FROM f JOIN verdict v ON f.host IS NOT DISTINCT FROM v.host
 """.replace("{short}", "sum(short)::BIGINT AS short").replace("{repeats}", "sum(repeats)::BIGINT AS repeats").replace("{symbols}", "sum(symbols)::BIGINT AS symbols").replace("{dup_lines}", "sum(dup_lines)::BIGINT AS dup_lines")
 
-ORACLE = {"op8_host_quality": HOST_QUALITY}
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS hex FROM p),
+f AS (SELECT hex, min(page_id) AS first FROM d GROUP BY hex),
+b AS (SELECT hex, first, array_to_string(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS digest FROM f)
+SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN b USING (hex)
+"""
+
+ORACLE = {"op2_warc": WARC, "op8_host_quality": HOST_QUALITY}

@@ -15,6 +15,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.common import shared_path
+    from sightline.llm.warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages"), shared_path(spark, "archives"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new cache for each call: what one call returns doesn't hang on another."""
     from sightline.llm.common import shared_path
@@ -56,6 +63,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_token_binary, op7_byte_bpe, op8_host_quality, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_token_counts, op5_token_binary, op7_byte_bpe, op8_host_quality, op9_mixing, op10_toxicity)}
 
 from sightline.llm.oracles import ORACLE  # noqa: E402, F401
