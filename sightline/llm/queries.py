@@ -37,6 +37,12 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(encode_to_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), shared_path(spark, "token-blocks"), end_id=2))
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.bag_minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +69,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_token_counts, op5_token_binary, op7_byte_bpe, op8_host_quality, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_token_counts, op5_token_binary, op6_bag_minhash, op7_byte_bpe, op8_host_quality, op9_mixing, op10_toxicity)}
 
 from sightline.llm.oracles import ORACLE  # noqa: E402, F401
