@@ -30,6 +30,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), shared_path(spark, "token-cache"), limit=2048)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.common import shared_path
+    from sightline.llm.lm_scoring import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), shared_path(spark, "lm"))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sightline.llm.common import shared_path
     from sightline.llm.token_binary import encode_to_files, read_files
@@ -69,6 +76,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_token_counts, op5_token_binary, op6_bag_minhash, op7_byte_bpe, op8_host_quality, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_token_counts, op4_lm_scoring, op5_token_binary, op6_bag_minhash, op7_byte_bpe, op8_host_quality, op9_mixing, op10_toxicity)}
 
 from sightline.llm.oracles import ORACLE  # noqa: E402, F401
