@@ -15,6 +15,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_projected_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sightline.llm.projected_knn import nearest
+
+    table = _table(spark, sf_dir, "embeddings")
+    return nearest(table, table["vec_id"] % 100 == 0, k=10)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sightline.llm.common import shared_path
     from sightline.llm.warc import archive_round_trip
@@ -76,6 +83,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_token_counts, op4_lm_scoring, op5_token_binary, op6_bag_minhash, op7_byte_bpe, op8_host_quality, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_projected_knn, op2_warc, op3_token_counts, op4_lm_scoring, op5_token_binary, op6_bag_minhash, op7_byte_bpe, op8_host_quality, op9_mixing, op10_toxicity)}
 
 from sightline.llm.oracles import ORACLE  # noqa: E402, F401
