@@ -1,10 +1,374 @@
-"""Registered queries of the reference's operators and their oracle SQL."""
+"""Registered queries of the detection operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from sightline.functions import geometry as G
+from sightline.functions import scores as S
+from sightline.functions import vectors as V
+from sightline.operators import clustering as C
+from sightline.operators import relations as R
+from sightline.operators import report as P
+from sightline.operators import selection as L
+from sightline.operators import temporal as T
+from sightline.operators import tracking as K
+from sightline.oracles import ORACLE  # noqa: F401
+from sightline.sources import views as X
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+#: Pause that splits appearances and their least duration, in micros; the defaults for video are 1.5 s and 0.35 s.
+GAP, LEAST = 8 * X.HOUR, X.HOUR
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.with_scores(X.with_context(X.detections(spark, sf_dir)))
+
+
+def _appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = X.events(spark, sf_dir).select(F.col("user_id").alias("person_id"), "us", F.col("event_id").alias("det_id"))
+    return P.appearances(points, ["person_id"], GAP, LEAST)
+
+
+def _tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.detections(spark, sf_dir).withColumn("end", F.col("us"))
+    rows = T.gap_segments(d, ["person_id"], "us", "end", GAP, "det_id")
+    at = F.struct("us", "det_id")
+    out = rows.groupBy("video_id", "person_id", "seg").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n_det"), F.min_by("box", at).alias("first_box"), F.max_by("box", at).alias("last_box"))
+    return out.withColumn("id", F.col("person_id") * 1000 + F.col("seg"))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = T.frame_changes(X.frames(spark, sf_dir))
+    rule = T.cut_rule(F.col("chi2"), F.col("ssim"), F.col("edge_change"), F.col("prev_brightness"), F.col("brightness"))
+    return f.withColumn("cut", rule).withColumn("boundary", F.col("cut").isNotNull())
+
+
+def _r(name: str, digits: int = 6):
+    return F.round(name, digits).alias(name)
+
+
+@query
+def q_appearances(spark, sf_dir):
+    return _appearances(spark, sf_dir).groupBy("person_id").agg(F.count(F.lit(1)).alias("appearances"))
+
+
+@query
+def q_timeline(spark, sf_dir):
+    t = P.timeline(_scored(spark, sf_dir), "person_id", GAP, LEAST)
+    return t.select("person_id", "index", "start_us", "end_us", "duration_us", _r("peak_quality"), "n_frames")
+
+
+@query
+def q_intervals(spark, sf_dir):
+    pair = F.struct("start_us", F.concat_ws("-", "start_us", "end_us").alias("s"))
+    return _appearances(spark, sf_dir).groupBy("person_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["s"])).alias("intervals"))
+
+
+@query
+def q_totals(spark, sf_dir):
+    return P.totals(_appearances(spark, sf_dir), "person_id")
+
+
+@query
+def q_prominence(spark, sf_dir):
+    return P.prominence(_tracklets(spark, sf_dir))
+
+
+@query
+def q_tracklet_gaps(spark, sf_dir):
+    t = T.gap_segments(_tracklets(spark, sf_dir).drop("seg"), ["person_id"], "start_us", "end_us", 12 * X.HOUR, "id")
+    w = T.W.partitionBy("person_id").orderBy("start_us", "id")
+    return t.select("person_id", "start_us", (F.col("seg") - F.coalesce(F.lag("seg").over(w), F.col("seg"))).alias("new_segment"))
+
+
+def _grid(spark, sf_dir):
+    d = X.detections(spark, sf_dir)
+    return d, X.sampling_grid(d.groupBy("video_id").agg(F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms")))
+
+
+@query
+def q_grid_sampling(spark, sf_dir):
+    return _grid(spark, sf_dir)[1]
+
+
+@query
+def q_nearest_frame(spark, sf_dir):
+    d, grid = _grid(spark, sf_dir)
+    return X.nearest_in_time(grid, d)
+
+
+@query
+def q_sampling_class(spark, sf_dir):
+    return _changes(spark, sf_dir).select("frame_index", _r("delta"), T.sampling_interval(F.col("delta")).alias("interval_ms"))
+
+
+@query
+def q_static_carry(spark, sf_dir):
+    return T.carry_forward(_changes(spark, sf_dir)).select("frame_index", "is_static", "source_frame")
+
+
+@query
+def q_hist_chi2(spark, sf_dir):
+    return _changes(spark, sf_dir).select("frame_index", _r("chi2"))
+
+
+@query
+def q_hist_intersection(spark, sf_dir):
+    return _changes(spark, sf_dir).select("frame_index", _r("overlap"))
+
+
+@query
+def q_ssim(spark, sf_dir):
+    return _changes(spark, sf_dir).select("frame_index", _r("ssim"), _r("edge_change"))
+
+
+@query
+def q_epoch(spark, sf_dir):
+    return T.epochs(_changes(spark, sf_dir)).select("frame_index", "epoch")
+
+
+@query
+def q_cut_rule(spark, sf_dir):
+    return _changes(spark, sf_dir).where("boundary").select("frame_index", "cut")
+
+
+@query
+def q_transition_rule(spark, sf_dir):
+    t = T.transition_rule(F.col("lap_var") / 1000.0, F.col("prev_lap_var") / 1000.0, F.col("overlap"))
+    return _changes(spark, sf_dir).select("frame_index", t.alias("t")).where("t is not null").select("frame_index", "t.kind", F.round("t.severity", 6).alias("severity"))
+
+
+def _cuts(spark, sf_dir):
+    hits = _changes(spark, sf_dir).where("boundary").select(F.lit(0).alias("video_id"), "frame_index")
+    return T.suppress_cuts(hits, "video_id", "frame_index", 6)
+
+
+@query
+def q_cuts_suppressed(spark, sf_dir):
+    return _cuts(spark, sf_dir).select("frame_index")
+
+
+@query
+def q_scenes(spark, sf_dir):
+    total = X.frames(spark, sf_dir).agg((F.max("frame_index") + 1).alias("total")).select(F.lit(0).alias("video_id"), "total")
+    return T.scenes(_cuts(spark, sf_dir), total, "video_id", "frame_index", "total").select("scene_id", "start", "end", "confidence")
+
+
+@query
+def q_face_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("det_id", F.round(S.sharpness_quality(F.col("sharpness")), 6).alias("sharpness_quality"), _r("frontality"), F.round(S.eyes_open(F.col("left_eye"), F.col("right_eye")), 6).alias("eyes_open"), _r("recognition_quality"), _r("rep_score"), "visible", "solo_portrait")
+
+
+def _pose_columns():
+    return F.col("sharpness"), F.col("yaw"), F.lit(0.0), F.col("roll"), F.col("box"), F.lit(X.FRAME_WIDTH), F.lit(X.FRAME_HEIGHT), F.lit(0.8)
+
+
+@query
+def q_serfiq_fast(spark, sf_dir):
+    return X.detections(spark, sf_dir).select("det_id", F.round(S.face_quality_fast(*_pose_columns()), 6).alias("quality"))
+
+
+@query
+def q_serfiq_full(spark, sf_dir):
+    return X.detections(spark, sf_dir).select("det_id", F.round(S.face_quality_full(S.stability(F.lit(True), F.col("smile")), *_pose_columns()), 6).alias("quality"))
+
+
+@query
+def q_solo_flags(spark, sf_dir):
+    return X.with_context(X.detections(spark, sf_dir)).select("det_id", "solo", "others")
+
+
+@query
+def q_detection_gates(spark, sf_dir):
+    frame = G.box(F.lit(0), F.lit(0), F.lit(X.FRAME_WIDTH), F.lit(X.FRAME_HEIGHT))
+    d = X.detections(spark, sf_dir)
+    return d.where(G.intersects(d.box, frame) & (G.width(d.box) >= 0.045 * X.FRAME_WIDTH) & (d.sharpness >= 25)).select("det_id")
+
+
+@query
+def q_iou_pairs(spark, sf_dir):
+    return R.box_pairs(X.detections(spark, sf_dir), ["video_id", "frame_index"]).select("video_id", "frame_index", "a", "b", _r("iou"), _r("over_smaller"))
+
+
+@query
+def q_cannot_link(spark, sf_dir):
+    return R.cannot_link(X.detections(spark, sf_dir), "video_id", "frame_index", "person_id", "det_id")
+
+
+def _face_pairs(spark, sf_dir):
+    d = X.detections(spark, sf_dir)
+    side = lambda c: d.select("video_id", "frame_index", F.col("det_id").alias(c), F.col("box").alias(f"box_{c}"), F.col("person_id").alias(f"person_{c}"))
+    return side("a").join(side("b"), ["video_id", "frame_index"]).where("a < b")
+
+
+@query
+def q_match_score(spark, sf_dir):
+    score = G.match_score(F.col("box_a"), F.col("box_b"), F.col("person_a") == F.col("person_b"), F.lit(1.0))
+    return _face_pairs(spark, sf_dir).select("a", "b", F.round(score, 6).alias("score"))
+
+
+@query
+def q_motion_score(spark, sf_dir):
+    a, b = F.col("box_a"), F.col("box_b")
+    return _face_pairs(spark, sf_dir).select("a", "b", F.round(G.motion_score(a, b), 6).alias("motion"), F.round(G.association_score(a, b, F.lit(None).cast("double")), 6).alias("association"))
+
+
+@query
+def q_rank_shots(spark, sf_dir):
+    return L.rank_shots(_scored(spark, sf_dir), ["person_id"]).select("person_id", "det_id", "rank")
+
+
+@query
+def q_topn_faces(spark, sf_dir):
+    return L.top_faces(_scored(spark, sf_dir), ["person_id"], 2, 0.55).select("person_id", "det_id", "rank")
+
+
+@query
+def q_best_shot(spark, sf_dir):
+    return L.best_shot(_scored(spark, sf_dir), ["person_id"]).select("person_id", "det_id", _r("rep_score"))
+
+
+@query
+def q_refine_flags(spark, sf_dir):
+    return L.refine_needed(_scored(spark, sf_dir)).select("det_id", "needs_decode", "acceptable", _r("fallback_score"))
+
+
+@query
+def q_running_best(spark, sf_dir):
+    w = T.W.partitionBy("person_id").orderBy("us", "det_id").rowsBetween(T.W.unboundedPreceding, 0)
+    return X.detections(spark, sf_dir).select("person_id", "det_id", F.round(F.max("sharpness").over(w), 6).alias("best_so_far"))
+
+
+@query
+def q_centroids(spark, sf_dir):
+    return V.weighted_centroids(X.identities(spark, sf_dir), "cohort", "centroid", "quality").select("cohort", "i", (F.round("x", 4) + 0.0).alias("x"))
+
+
+def _profiles(spark, sf_dir):
+    i = X.identities(spark, sf_dir)
+    best = i.groupBy("cohort").agg(F.max_by("tracklet_id", F.struct("quality", -F.col("tracklet_id"))).alias("best_id"))
+    return V.profiles(i, "cohort", "centroid", "quality", "tracklet_id").join(best, "cohort")
+
+
+@query
+def q_profiles(spark, sf_dir):
+    return _profiles(spark, sf_dir).select("cohort", "members", _r("mean_quality"), "best_id", F.round(V.total(F.col("variance")), 4).alias("total_variance"))
+
+
+@query
+def q_profile_similarity(spark, sf_dir):
+    p = _profiles(spark, sf_dir).select("cohort", "best", "weighted")
+    side = lambda c: p.select(F.col("cohort").alias(c), F.col("best").alias(f"best_{c}"), F.col("weighted").alias(f"weighted_{c}"))
+    s = V.profile_similarity(F.col("best_a"), F.col("weighted_a"), F.col("best_b"), F.col("weighted_b"))
+    return side("a").join(side("b"), F.col("a") < F.col("b")).select("a", "b", F.round(s, 6).alias("similarity"))
+
+
+@query
+def q_knn(spark, sf_dir):
+    return R.knn(X.identities(spark, sf_dir), "tracklet_id", "centroid", 7).select("tracklet_id", "neighbour", "rank", _r("sim"))
+
+
+def _seen_together(spark, sf_dir):
+    i = X.identities(spark, sf_dir).select("tracklet_id", "co_frame")
+    return i.select(F.col("tracklet_id").alias("a"), "co_frame").join(i.select(F.col("tracklet_id").alias("b"), "co_frame"), "co_frame").where("a < b")
+
+
+@query
+def q_knn_edges(spark, sf_dir):
+    near = R.knn(X.identities(spark, sf_dir), "tracklet_id", "centroid", 7)
+    return R.knn_edges(near, "tracklet_id", _seen_together(spark, sf_dir), 0.35).select("tracklet_id", "neighbour", _r("sim"))
+
+
+def _samples(spark, sf_dir):
+    """Similarities of pairs of one cohort not seen together, and of pairs seen together."""
+    i = X.identities(spark, sf_dir)
+    side = lambda c: i.select(F.col("tracklet_id").alias(c), F.col("centroid").alias(f"v_{c}"), F.col("cohort").alias(f"cohort_{c}"), F.col("co_frame").alias(f"frame_{c}"))
+    sim = F.round(V.cosine(F.col("v_a"), F.col("v_b"), 64), 12).alias("sim")
+    genuine = side("a").join(side("b"), (F.col("cohort_a") == F.col("cohort_b")) & (F.col("a") < F.col("b")) & (F.col("frame_a") != F.col("frame_b"))).select(sim)
+    impostor = side("a").join(side("b"), (F.col("frame_a") == F.col("frame_b")) & (F.col("a") < F.col("b"))).select(sim)
+    return genuine, impostor
+
+
+@query
+def q_threshold(spark, sf_dir):
+    genuine, impostor = _samples(spark, sf_dir)
+    (g, n_g), (i, n_i) = C.ranked_value(genuine, "sim", 0.10), C.ranked_value(impostor, "sim", 0.95)
+    row = spark.range(1).select(F.lit(n_g).cast("long").alias("genuine_n"), F.lit(n_i).cast("long").alias("impostor_n"), F.lit(g).cast("double").alias("genuine_p10"), F.lit(i).cast("double").alias("impostor_p95"))
+    return row.select("genuine_n", "impostor_n", _r("genuine_p10"), _r("impostor_p95"), F.round(C.calibrated(F.col("genuine_p10"), F.col("genuine_n"), F.col("impostor_p95"), F.col("impostor_n")), 6).alias("threshold"))
+
+
+@query
+def q_linkage(spark, sf_dir):
+    return R.linkage(X.identities(spark, sf_dir), "cohort", "centroid").select("a", "b", _r("sim"))
+
+
+@query
+def q_orphan_hosts(spark, sf_dir):
+    t = _tracklets(spark, sf_dir)
+    return R.orphan_hosts(t.where("n_det = 1"), t.where("n_det > 1"), X.HOUR)
+
+
+@query
+def q_captions(spark, sf_dir):
+    return P.captions(_appearances(spark, sf_dir), "person_id")
+
+
+@query
+def q_collage_layout(spark, sf_dir):
+    persons = _tracklets(spark, sf_dir).select("video_id", "person_id").distinct()
+    return P.collage(persons, "video_id", "person_id").select("video_id", "person_id", "slot", *[_r(c, 4) for c in ("cx", "cy", "w", "h")], "rotation")
+
+
+@query
+def q_run_statistics(spark, sf_dir):
+    return P.run_statistics(T.carry_forward(_changes(spark, sf_dir)), X.detections(spark, sf_dir)).withColumn("duration_s", F.round("duration_s", 3))
+
+
+@query
+def q_nms(spark, sf_dir):
+    return R.suppress_overlaps(X.detections(spark, sf_dir), ["video_id", "frame_index"]).select("video_id", "frame_index", "det_id")
+
+
+@query
+def q_crop_plan(spark, sf_dir):
+    return R.crop_plans(X.detections(spark, sf_dir), ["video_id", "frame_index"], X.FRAME_WIDTH, X.FRAME_HEIGHT)
+
+
+@query
+def q_tracks(spark, sf_dir):
+    return K.by_video(X.detections(spark, sf_dir), K.track_video, "track_id")
+
+
+@query
+def q_tracklets(spark, sf_dir):
+    return K.by_video(X.detections(spark, sf_dir), K.build_tracklets, "tracklet_id")
+
+
+@query
+def q_kalman(spark, sf_dir):
+    return K.kalman_path(X.detections(spark, sf_dir))
+
+
+@query
+def q_label_prop(spark, sf_dir):
+    return C.by_cohort(X.identities(spark, sf_dir), "cohort", lambda p: C.propagate_labels(p, least=0.35))
+
+
+@query
+def q_agglomerative(spark, sf_dir):
+    return C.by_cohort(X.identities(spark, sf_dir), "cohort", C.agglomerate)
+
+
+@query
+def q_registry(spark, sf_dir):
+    return C.by_cohort(X.identities(spark, sf_dir), "cohort", lambda p: C.register(p, 0.3))
