@@ -18,8 +18,8 @@ THRESHOLD = 0.8
 #: Signature components, and rows a band: 16 bands of 4 miss a pair of similarity 0.8 with chance 2e-4.
 COMPONENTS = 64
 ROWS = 4
-#: Least agreement of two signatures, of COMPONENTS, before texts are compared: 0.8 less four standard errors.
-AGREE = 38
+#: Least agreement of two signatures, of COMPONENTS, before texts are compared: 0.8 less three and a half standard errors.
+AGREE = 40
 #: Members compared with one copy of a leader, and rows of a bucket held at once.
 SALT = 512
 BLOCK = 4096
@@ -129,6 +129,11 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _class_key(h: np.ndarray, w: np.ndarray) -> int | None:
+    """64 bits that stand for a multiset; null for an empty one."""
+    return int.from_bytes(hashlib.md5(h.tobytes() + w.tobytes()).digest()[:8], "little", signed=True) if len(h) else None
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, t (digest of the text), key (digest of the multiset, null without words), bands, sig of each row."""
 
@@ -141,37 +146,54 @@ def _signed(docs: DataFrame) -> DataFrame:
                 doc, h, w = shingles(texts[a:b])
                 sig = signatures(doc, h, w, b - a)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                keys = [hashlib.md5(h[x:y].tobytes() + w[x:y].tobytes()).hexdigest() if x < y else None for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                keys = [_class_key(h[x:y], w[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 bands = bands_of(sig)
                 yield {"doc_id": ids.slice(a, b - a), "t": ts.slice(a, b - a), "key": keys, "bands": pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1))), "sig": [s.tobytes() for s in sig]}
 
         return each
 
     text = common.text_of(docs)
-    return common.arrow_map(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("t"), text.alias("text")), make, "doc_id long, t string, key string, bands array<long>, sig binary")
+    return common.arrow_map(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")), make, "doc_id long, t long, key long, bands array<long>, sig binary")
+
+
+def _bits(needed: DataFrame) -> np.ndarray:
+    """A bit map of at most 2 MB in which the bit of every t is set; it only spares work, so further bits set do no harm."""
+    size = int(min(max(16 * needed.count(), 1 << 16), 1 << 24))
+    words = needed.select(F.expr(f"pmod(t, {size}L) div 64").alias("i"), F.expr(f"shiftleft(1L, cast(pmod(t, {size}L) % 64 AS INT))").alias("w"))
+    out = np.zeros(-(-size // 64), np.int64)
+    for r in words.groupBy("i").agg(F.bit_or("w").alias("w")).toLocalIterator():
+        out[r["i"]] = r["w"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little")[:size]
 
 
 def _blobs(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """key, blob (distinct shingle hashes as uint32 in order, then their counts) of the classes needed(key, t)."""
+    """key, blob (distinct shingle hashes as uint32 in order, then their counts) of the classes needed(key, t). Texts stay where they are read: those
+    that a bit map of t lets through are cut into shingles there."""
     text = common.text_of(docs)
-    texts = docs.select(F.md5(text.cast("binary")).alias("t"), text.alias("text")).join(needed, "t")
-    one = texts.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("t"))).where("copy = 1").select("key", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(needed.select("t")))
 
     def make():
+        bits = sent.value
+
         def each(batch):
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            picked = np.flatnonzero(bits[np.asarray(batch.column(0)) % len(bits)])
+            texts = batch.column(1).take(picked).to_pylist()
             for a, b in common.slices(texts):
                 doc, h, w = shingles(texts[a:b])
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                blobs = []
+                keys, blobs = [], []
                 for x, y in zip(cut[:-1], cut[1:], strict=True):
-                    short, at = np.unique((h[x:y] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
-                    blobs.append(short.tobytes() + np.bincount(at, w[x:y], len(short)).astype(np.uint32).tobytes())
-                yield {"key": keys[a:b], "blob": blobs}
+                    if x < y:
+                        short, at = np.unique((h[x:y] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
+                        keys.append(_class_key(h[x:y], w[x:y]))
+                        blobs.append(short.tobytes() + np.bincount(at, w[x:y], len(short)).astype(np.uint32).tobytes())
+                yield {"key": keys, "blob": blobs}
 
         return each
 
-    return common.materialise(common.arrow_map(one, make, "key string, blob binary"), "shingles")
+    found = common.arrow_map(docs.select(F.xxhash64(text).alias("t"), text.alias("text")), make, "key long, blob binary").join(needed.select("key"), "key", "left_semi")
+    one = found.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("blob"))).where("copy = 1")
+    return common.materialise(one.select("key", "blob"), "shingles")
 
 
 def similarity(one: bytes, two: bytes) -> float:
@@ -204,54 +226,78 @@ def _verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
                 elif (x, s) == now and similarity(lead, blob) >= THRESHOLD:
                     a.append(x)
                     b.append(y)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     stream = members.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return common.materialise(stream.mapInArrow(check, "a string, b string"), "links")
+    return common.materialise(stream.mapInArrow(check, "a long, b long"), "links")
 
 
-def _left_over(rows: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose signatures agree enough, from rows(band, key, comp, sig). Buckets of more
-    than BLOCK rows are compared block by block. best_only: of each key with each other component the best partner."""
+def _join_rest(sig: np.ndarray, blobs: list[bytes], comp: np.ndarray, side: np.ndarray, cross: bool):
+    """Links found between rows of different components of one bucket: every pair whose signatures agree enough is checked, unless a link found
+    before has joined its components. First each row tries its best partner, which joins most; then what is left is tried in order of agreement. cross: only pairs across sides."""
+    _, own = np.unique(comp, return_inverse=True)
+    parent = np.arange(own.max() + 1)
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    tried: set[tuple[int, int]] = set()
+    counts = np.bincount(own)
+    rows = np.flatnonzero(own != counts.argmax())  # each pair across components has an end outside the largest
+    for best_only in (True, False):
+        for i in rows:
+            mine = root(own[i])
+            roots = np.array([root(c) for c in range(len(parent))])
+            rest = np.flatnonzero((roots[own] != mine) & ((side != side[i]) if cross else True))
+            if not len(rest):
+                continue
+            agree = (sig[rest] == sig[i]).sum(1)
+            order = np.argsort(-agree, kind="stable")
+            for k in order[:1] if best_only else order:
+                if agree[k] < AGREE:
+                    break
+                j = int(rest[k])
+                pair = (min(i, j), max(i, j))
+                if pair in tried or root(own[j]) == root(own[i]):
+                    continue
+                if best_only:
+                    tried.add(pair)
+                if similarity(blobs[i], blobs[j]) >= THRESHOLD:
+                    parent[root(own[i])] = root(own[j])
+                    yield int(i), j
+
+
+def _left_over(rows: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Links (a, b) across components of a bucket, from rows(band, key, comp, sig). Buckets of more than BLOCK rows are compared block by block; only links leave a task."""
     sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    placed = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    placed = rows.join(sizes, "band").join(blobs, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    spread = placed.withColumn("other", other).select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp", "sig")
-
-    def compare(group):
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in group[3]])
-        block, key, comp = np.array(group[0]), np.array(group[1]), np.array(group[2])
-        names, size = np.unique(comp, return_counts=True)
-        for i in np.flatnonzero(comp != names[size.argmax()]):
-            agree = (sig == sig[i]).sum(1)
-            fit = np.flatnonzero((comp != comp[i]) & (agree >= AGREE) & ((block != block[i]) | (group[4] == group[5])))
-            fit = fit[np.argsort(-agree[fit], kind="stable")]
-            if best_only:
-                fit = fit[np.unique(comp[fit], return_index=True)[1]]
-            for k in fit:
-                yield min(key[i], key[k]), max(key[i], key[k])
+    spread = placed.withColumn("other", other).select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "comp", "sig", "blob")
 
     def stream(batches):
         import pyarrow as pa
 
-        now, group = None, ([], [], [], [])
+        now, group = None, ([], [], [], [], [])
 
         def out():
-            found = sorted(set(compare((*group, now[1], now[2])))) if len(set(group[2])) > 1 else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([str(x) for x, _ in found], pa.string()), "b": pa.array([str(y) for _, y in found], pa.string())})
+            block, key, comp, sig, found = group
+            links = list(_join_rest(np.stack([np.frombuffer(s, np.uint32) for s in sig]), found, np.array(comp), np.array(block), now[1] != now[2])) if len(set(comp)) > 1 else []
+            return pa.RecordBatch.from_pydict({"a": pa.array([key[i] for i, _ in links], pa.int64()), "b": pa.array([key[j] for _, j in links], pa.int64())})
 
         for batch in batches:
-            for band, lo, hi, *rest in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for band, lo, hi, *rest in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if (band, lo, hi) != now:
                     if now:
                         yield out()
-                    now, group = (band, lo, hi), ([], [], [], [])
+                    now, group = (band, lo, hi), ([], [], [], [], [])
                 for column, value in zip(group, rest, strict=True):
                     column.append(value)
         if now:
             yield out()
 
-    return spread.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(stream, "a string, b string").distinct()
+    return spread.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(stream, "a long, b long")
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,29 +305,21 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = common.materialise(_signed(docs), "signatures")
     one = Window.partitionBy("key").orderBy("t")
     classes = signed.where("key is not null").select("key", "t", "bands").withColumn("n", F.row_number().over(one)).where("n = 1").select("key", "t", "bands")
-    banded = common.materialise(classes.select("key", "t", F.explode("bands").alias("band")), "bands")
+    banded = classes.select("key", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader")
     banded = common.materialise(banded.join(buckets, "band"), "buckets")
-    blobs = _blobs(docs, banded.select("key", "t").distinct())
+    needed = common.materialise(signed.select("key", "t").join(banded.select("key").distinct(), "key").groupBy("key").agg(F.min("t").alias("t")), "needed")
+    blobs = _blobs(docs, needed)
     tried = banded.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    tried = common.materialise(tried, "tried")
     links = _verified(tried, blobs)
     comps = common.materialise(components(links), "components")
+    placed = banded.select("band", "key").join(comps, "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
+    placed = common.materialise(placed, "placed")
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
     sigs = signed.where("key is not null").select("key", "sig").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("sig"))).where("n = 1").select("key", "sig")
-    for best_only in (True, False):
-        placed = banded.select("band", "key").join(comps, "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
-        mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-        rows = common.materialise(placed.join(mixed, "band").join(sigs, "key").select("band", "key", "comp", "sig"), "mixed")
-        pairs = _left_over(rows, best_only).join(tried, ["a", "b"], "left_anti")
-        pairs = common.materialise(pairs, "left-over")
-        if pairs.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
-        more = _verified(pairs, blobs)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        comps = common.materialise(components(links), "components")
+    more = common.materialise(_left_over(placed.join(mixed, "band").join(sigs, "key"), blobs), "more-links")
+    if not more.isEmpty():
+        comps = common.materialise(components(links.unionByName(more)), "components")
     return signed, comps
 
 
@@ -317,7 +355,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = classes(docs)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("t") == F.col("first.t"))).select(F.col("doc_id").alias("keep_id"), F.col("t").alias("keep_t")).distinct()
     text = common.text_of(docs)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.md5(text.cast("binary")).alias("t"), text.rlike(common.WORD).alias("words"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("t"), text.rlike(common.WORD).alias("words"))
     kept = packed.join(stays, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("t") == F.col("keep_t")))
     copy = F.row_number().over(Window.partitionBy("keep_id", "keep_t").orderBy(F.lit(1)))
     return kept.withColumn("copy", copy).where("copy = 1 or not words").select("row.*")
