@@ -60,7 +60,7 @@ def split(points: np.ndarray, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
                 left = part[:, side] <= cut
             if left.any() and not left.all():
                 me = len(nodes)
-                nodes.append([side, float(part[~left, side].min()), 0, 0])
+                nodes.append([side, float((part[left, side].max() + part[~left, side].min()) / 2), 0, 0])
                 nodes[me][2], nodes[me][3] = grow(rows[left]), grow(rows[~left])
                 return me
         leaves.append(rows)
@@ -199,7 +199,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vector: str = "emb
         return run
 
     data = common.materialise(nodes.mapInArrow(place("data"), "cell int, node long, v array<double>, ids array<long>"), "cells")
-    homes = asked.mapInArrow(place("query"), "cell int, node long, v array<double>")
+    homes = common.materialise(asked.mapInArrow(place("query"), "cell int, node long, v array<double>"), "homes")
     found = pa.schema([("node", pa.int64()), ("scores", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64()))])
 
     def search(_, group):
@@ -228,14 +228,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vector: str = "emb
 
     first = visit(homes.withColumn("bound", F.lit(None).cast("double")))
     bound = F.when(F.size("scores") > k, F.pow(F.element_at("scores", -1), 2))
-    known = asked.join(first.select("node", bound.alias("bound")), "node", "left")
+    known = homes.join(first.select("node", bound.alias("bound")), "node", "left").select("cell", "node", "v", "bound")
 
     def route(batches):
         for batch in batches:
             out: dict = {"cell": [], "node": [], "v": [], "bound": []}
-            for node, v, bound in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for home, node, v, bound in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 point = np.array(v) @ project
-                home = int(cell_of(tree, point[None])[0])
                 for cell, far in cell_distances(tree, point):
                     if cell != home and (bound is None or far <= quantile * bound * (1 + 1e-9)):
                         for name, value in zip(out, (cell, node, v, bound), strict=True):
