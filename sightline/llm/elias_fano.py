@@ -18,6 +18,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
+        self.zeros: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -52,7 +53,9 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
         """Places of the k-th ones or zeros."""
-        before = np.arange(len(self.ones)) * 64 - self.ones if zeros else self.ones
+        if zeros and self.zeros is None:
+            self.zeros = np.arange(len(self.ones)) * 64 - self.ones
+        before = self.zeros if zeros else self.ones
         word = np.searchsorted(before, k, "right") - 1
         octets = self.high[(word * 8)[:, None] + _BIT]
         if zeros:
@@ -96,13 +99,14 @@ class EliasFano:
         end = np.minimum(self._select(u, True) - u, hi[todo])
         at = np.maximum(start, lo[todo])
         want = x[todo] & ((1 << self.low_bits) - 1)
-        while len(todo):
-            inside = at < end
-            todo, at, end, want = todo[inside], at[inside], end[inside], want[inside]
-            if not len(todo):
-                break
-            low = self._low(at)
-            out[todo[low == want]] = at[low == want]
-            more = low < want
-            todo, at, end, want = todo[more], at[more] + 1, end[more], want[more]
+        # low bits rise within a high value, so its elements are halved
+        top = end.copy()
+        while (open_ := np.flatnonzero(at < top)).size:
+            mid = (at[open_] + top[open_]) >> 1
+            less = self._low(mid) < want[open_]
+            at[open_[less]] = mid[less] + 1
+            top[open_[~less]] = mid[~less]
+        inside = np.flatnonzero(at < end)
+        hit = inside[self._low(at[inside]) == want[inside]]
+        out[todo[hit]] = at[hit]
         return out

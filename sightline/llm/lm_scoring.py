@@ -145,7 +145,7 @@ class Vocabulary:
         self.bits, shards, self.n_tokens, self.n_words = spec
         self.shards = []
         for path, before, tokens_before, n in shards:
-            raw = np.memmap(common.mapped_path(path), np.uint8, "r") if n else np.zeros(0, np.uint8)
+            raw = np.memmap(common.mapped_path(path), np.uint8, "r").view(np.ndarray) if n else np.zeros(0, np.uint8)
             self.shards.append((before, np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i8", n, 16 * n), tokens_before))
         self.first = np.array([s[1] for s in shards], np.int64)
 
@@ -213,7 +213,7 @@ class Model:
 
     def shard(self, s: int) -> tuple:
         if s not in self.open:
-            raw = np.memmap(common.mapped_path(self.paths[s]), np.uint8, "r")
+            raw = np.memmap(common.mapped_path(self.paths[s]), np.uint8, "r").view(np.ndarray)
             first, = np.frombuffer(raw, "<i8", 1)
             book = np.frombuffer(raw, "<f8", 256, 8)
             pointers, at = EliasFano.view(raw, 8 + 2048)
