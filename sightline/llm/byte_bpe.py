@@ -148,14 +148,15 @@ class ByteBpe:
         seen: set[str] = set()
         for units in cut:
             seen.update(units)
-        missing = seen - self.memo.keys()
+        missing = seen.difference(self.memo)  # of a dict, not of its keys: walks the smaller side
         if len(self.memo) + len(missing) > self.limit:
             self.old, self.memo, missing = self.memo, {}, seen
-        kept = missing & self.old.keys()
-        self.memo.update((u, self.old[u]) for u in kept)
-        new = list(missing - kept)
+        old = self.old
+        kept = {u: old[u] for u in missing if u in old}
+        self.memo.update(kept)
+        new = list(missing.difference(kept))
         split = [self.find(u) for u in new]
-        words = list({w for s in split for w in s} - self.memo.keys())
+        words = list({w for s in split for w in s}.difference(self.memo))
         for at in range(0, len(words), 8192):
             part = words[at : at + 8192]
             self.memo.update(zip(part, self.pretokens(part), strict=True))

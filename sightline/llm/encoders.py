@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -35,6 +36,7 @@ class WordEncoder:
         drops = split.get("behavior") == "Removed" and split.get("invert") and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"])
         self.by_chunk = bool(drops and spec["model"].get("end_of_word_suffix") and any(x["type"] == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", [])))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.merges = self.tokenizer.model.tokenize
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -43,27 +45,37 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _plain(self, core: str) -> bytes | None:
+        """The ids of Latin letters alone, which are one pre-token after lower-casing: straight from the library's merges. None for other text."""
+        if core.isascii():
+            if not core.isalpha():
+                return None
+            low = written = core.lower()
+        else:
+            if not core.isalpha() or max(core) > "\u024f" or "\u0130" in core or not is_normalized("NFC", core):
+                return None
+            low = core.lower()
+            written = "".join([_BYTE_CHARS[b] for b in low.encode()])
+        ids = self.memo.get(low)
+        if ids is None:
+            ids = self.memo[low] = array(self.code, [t.id for t in self.merges(written)]).tobytes()
+        return ids
+
     def _learn(self, chunks: set[str]) -> None:
-        memo = self.memo
-        # letters and one full stop or comma are two pre-tokens, and upper-case ASCII letters count as lower-case ones
-        cores: dict[str, tuple[str, str]] = {}
+        memo, plain, rest = self.memo, self._plain, []
+        for mark in (".", ","):
+            if mark not in memo:
+                memo[mark] = self._library([mark])[0]
         for c in chunks:
-            if c not in memo:
-                core, end = (c[:-1], c[-1]) if c[-1:] in (".", ",") and c[:-1].isalpha() and max(c) < "\u0250" else (c, "")
-                cores[c] = (core.lower() if core.isascii() and core.isalpha() else core, end)
-        new = list({core for core, _ in cores.values()} - memo.keys() | {".", ","} - memo.keys())
-        rest = []
-        for core in new:
-            if core.islower() and core.isalpha() and max(core) < "\u0250" and is_normalized("NFC", core):
-                # one pre-token that the normaliser leaves as it is: straight to the library's merges
-                memo[core] = np.array([t.id for t in self.merges(core if core.isascii() else "".join([_BYTE_CHARS[b] for b in core.encode()]))], self.dtype).tobytes()
+            # letters and one full stop or comma are two pre-tokens
+            ids = plain(c[:-1]) if c[-1:] in (".", ",") else plain(c)
+            if ids is None:
+                rest.append(c)
             else:
-                rest.append(core)
+                memo[c] = ids + memo[c[-1]] if c[-1] in ".," else ids
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             memo.update(zip(part, self._library(part), strict=True))
-        for c, (core, end) in cores.items():
-            memo[c] = memo[core] + memo[end] if end else memo[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts as little-endian bytes of self.dtype."""
@@ -78,14 +90,14 @@ class WordEncoder:
         seen: set[str] = set()
         for chunks in cut:
             seen.update(chunks)
-        missing = seen - self.memo.keys()
+        missing = seen.difference(self.memo)  # of a dict, not of its keys: walks the smaller side
         if len(self.memo) + len(missing) > self.limit:
             self.old, self.memo, missing = self.memo, {}, seen
         if missing:
-            kept = missing & self.old.keys()
             old = self.old
-            self.memo.update((c, old[c]) for c in kept)
-            self._learn(missing - kept)
+            kept = {c: old[c] for c in missing if c in old}
+            self.memo.update(kept)
+            self._learn(missing.difference(kept))
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(b) // self.dtype.itemsize for b in self.encode(texts)]
