@@ -17,6 +17,8 @@ from sightline.llm import common
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+#: Most repeated payloads that are sent to all executors, some 60 bytes each.
+SENT = 200_000
 #: Most bytes that one gzip member may unpack to.
 MEMBER_LIMIT = 1 << 28
 
@@ -45,9 +47,11 @@ def records(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
     plain = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
-    firsts = plain.groupBy("sha").agg(F.min("page_id").alias("first"))
-    all_rows = plain.join(firsts, "sha")
-    revisit = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
+    groups = plain.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
+    groups = common.materialise(groups, "repeated-payloads")
+    # payloads go through a shuffle only where too many of them repeat for the list to be sent out
+    all_rows = plain.join(F.broadcast(groups) if groups.count() <= SENT else groups, "sha", "left")
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     name = lambda c: F.concat(F.lit("<urn:sightline:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("html")))
