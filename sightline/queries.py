@@ -334,6 +334,27 @@ def q_run_statistics(spark, sf_dir):
     return P.run_statistics(T.carry_forward(_changes(spark, sf_dir)), X.detections(spark, sf_dir)).withColumn("duration_s", F.round("duration_s", 3))
 
 
+def _analysed(spark, sf_dir):
+    """Detections whose vectors are those of their subject, with scene epochs of the hours."""
+    from sightline.plans import video
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("person_id"), "embedding")
+    scored = _scored(spark, sf_dir).join(vectors, "person_id", "left").drop("person_id")
+    hours = T.epochs(_changes(spark, sf_dir)).select("frame_index", "epoch")
+    epochs = scored.select("video_id", "frame_index").distinct().join(hours, "frame_index")
+    return video.analyse(scored, epochs, gap_us=GAP, least_us=LEAST)
+
+
+@query
+def q_video_timeline(spark, sf_dir):
+    return _analysed(spark, sf_dir)["timeline"]
+
+
+@query
+def q_video_best_shots(spark, sf_dir):
+    return _analysed(spark, sf_dir)["best_shots"]
+
+
 @query
 def q_nms(spark, sf_dir):
     return R.suppress_overlaps(X.detections(spark, sf_dir), ["video_id", "frame_index"]).select("video_id", "frame_index", "det_id")
