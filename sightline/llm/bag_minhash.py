@@ -157,7 +157,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _bits(needed: DataFrame) -> np.ndarray:
-    """A bit map of at most 2 MB in which the bit of every t is set; it only spares work, so further bits set do no harm."""
+    """A bit map of at most 2**24 bits in which the bit of every t is set; it only spares work, so further bits set do no harm."""
     size = int(min(max(16 * needed.count(), 1 << 16), 1 << 24))
     words = needed.select(F.expr(f"pmod(t, {size}L) div 64").alias("i"), F.expr(f"shiftleft(1L, cast(pmod(t, {size}L) % 64 AS INT))").alias("w"))
     out = np.zeros(-(-size // 64), np.int64)
