@@ -33,10 +33,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/sightline/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: cuts the lineage and outlives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

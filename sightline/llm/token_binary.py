@@ -99,7 +99,7 @@ def encode_to_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: i
         return each
 
     encoded = common.arrow_map(docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")), make, "shard int, doc_id long, ids binary")
-    stored = common.materialise(encoded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids"), "token-ids")
+    stored = common.materialise(encoded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids"), "token-ids", codec="zstd")
     dtype, vocabulary = encoder(tokenizer_path).dtype, 1 << 16
 
     def histogram(batches):
