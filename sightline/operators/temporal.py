@@ -28,7 +28,7 @@ def keep_long(segments: DataFrame, key: list[str], least: int) -> DataFrame:
     ranked = segments.withColumn("length", length).withColumn("by_length", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("length"), "seg")))
     any_long = F.max(F.col("length") >= least).over(W.partitionBy(*key))
     kept = ranked.withColumn("any_long", any_long).where((F.col("length") >= least) | (~F.col("any_long") & (F.col("by_length") == 1)))
-    return kept.withColumn("index", F.row_number().over(W.partitionBy(*key).orderBy("seg")) - 1).drop("length", "by_length", "any_long")
+    return kept.withColumn("index", (F.row_number().over(W.partitionBy(*key).orderBy("seg")) - 1).cast("long")).drop("length", "by_length", "any_long")
 
 
 def with_previous(frames: DataFrame, columns: list[str], key: list[str] | None = None, order: str = "frame_index") -> DataFrame:

@@ -84,7 +84,7 @@ ORACLE = {
         round(CASE WHEN hf < 0.08 AND overlap < 0.55 THEN 1 - hf / 0.08 WHEN lap < 45 AND hf < 0.12 THEN 1 - lap / 45.0 ELSE 0.75 END, 6) AS severity
         FROM t WHERE (hf < 0.08 AND overlap < 0.55) OR (lap < 45 AND hf < 0.12) OR (overlap BETWEEN 0.50 AND 0.72 AND abs(lap - p_lap) > 30)"""),
     "q_cuts_suppressed": _sql(CHANGES + "hit AS (SELECT frame_index AS f FROM ru WHERE cut IS NOT NULL AND frame_index >= 6), acc AS (SELECT min(f) AS f FROM hit UNION ALL SELECT (SELECT min(h.f) FROM hit h WHERE h.f >= acc.f + 6) AS f FROM acc WHERE acc.f IS NOT NULL), ", "SELECT f AS frame_index FROM acc WHERE f IS NOT NULL"),
-    "q_scenes": _sql(CHANGES + "hit AS (SELECT frame_index AS f FROM ru WHERE cut IS NOT NULL AND frame_index >= 6), acc AS (SELECT min(f) AS f FROM hit UNION ALL SELECT (SELECT min(h.f) FROM hit h WHERE h.f >= acc.f + 6) AS f FROM acc WHERE acc.f IS NOT NULL), tot AS (SELECT max(frame_index) + 1 AS total FROM fr), b AS (SELECT 0 AS start UNION SELECT f FROM acc WHERE f IS NOT NULL), ", "SELECT row_number() OVER (ORDER BY start)::INT AS scene_id, start, coalesce(lead(start) OVER (ORDER BY start), total) AS \"end\", CASE WHEN count(*) OVER () = 1 THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence FROM b, tot WHERE start < total OR start = 0"),
+    "q_scenes": _sql(CHANGES + "hit AS (SELECT frame_index AS f FROM ru WHERE cut IS NOT NULL AND frame_index >= 6), acc AS (SELECT min(f) AS f FROM hit UNION ALL SELECT (SELECT min(h.f) FROM hit h WHERE h.f >= acc.f + 6) AS f FROM acc WHERE acc.f IS NOT NULL), tot AS (SELECT max(frame_index) + 1 AS total FROM fr), b AS (SELECT 0::BIGINT AS start UNION SELECT f::BIGINT FROM acc WHERE f IS NOT NULL), ", "SELECT row_number() OVER (ORDER BY start)::INT AS scene_id, start, coalesce(lead(start) OVER (ORDER BY start), total) AS \"end\", CASE WHEN count(*) OVER () = 1 THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence FROM b, tot WHERE start < total OR start = 0"),
     "q_face_scores": _sql(DETECTIONS, "SELECT det_id, round(sq, 6) AS sharpness_quality, round(frontality, 6) AS frontality, round(eyes, 6) AS eyes_open, round(rq, 6) AS recognition_quality, round(rep, 6) AS rep_score, visible, portrait AS solo_portrait FROM s"),
     "q_serfiq_fast": _sql(DETECTIONS, "SELECT det_id, round(least(1.0, greatest(0.0, 0.35 * sq + 0.30 * greatest(0.0, least(1.0, 1 - (0.5 * abs(yaw) / 45.0::DOUBLE + 0.3 * 0 / 35.0::DOUBLE + 0.2 * abs(roll) / 30.0::DOUBLE))) + 0.20 * 1.0 + 0.15 * (CASE WHEN l >= 16.2 AND t >= 28.8 AND l + 120 <= 1063.8 AND t + 160 <= 1891.2 THEN 0.6 ELSE 0.1 END + 0.4 * 0.8))), 6) AS quality FROM s"),
     "q_serfiq_full": _sql(DETECTIONS, "SELECT det_id, round(least(1.0, greatest(0.0, (0.35 * greatest(0.0, least(1.0, (smile - 0.4) / 0.6)) + 0.30 * sq + 0.20 * greatest(0.0, least(1.0, 1 - (0.5 * abs(yaw) / 45.0::DOUBLE + 0.2 * abs(roll) / 30.0::DOUBLE))) + 0.15 * 1.0) * (CASE WHEN l >= 16.2 AND t >= 28.8 AND l + 120 <= 1063.8 AND t + 160 <= 1891.2 THEN 0.6 ELSE 0.1 END + 0.4 * 0.8))), 6) AS quality FROM s"),
