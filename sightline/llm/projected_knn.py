@@ -108,8 +108,8 @@ class Cell:
         self.low = np.array([p[a:b].min(0) for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)])
         self.high = np.array([p[a:b].max(0) for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)])
 
-    def search(self, query: np.ndarray, point: np.ndarray, k: int, quantile: float, bound: float = math.inf) -> list[tuple[float, int]]:
-        """The k nearest (distance, id) found, with ties by id; bound is a known upper bound of the k-th squared distance."""
+    def search(self, query: np.ndarray, point: np.ndarray, k: int, quantile: float, bound: float = math.inf, own: int | None = None) -> list[tuple[float, int]]:
+        """The k nearest (distance, id) found, with ties by id; bound is a known upper bound of the k-th squared distance, own an id that is no candidate."""
         gap = np.maximum(np.maximum(self.low - point, point - self.high), 0.0)
         far = (gap * gap).sum(1)
         best: list[tuple[float, int]] = []
@@ -120,6 +120,8 @@ class Cell:
             at += len(some)
             some = some[far[some] <= quantile * bound * (1 + 1e-9)]
             rows = np.concatenate([np.arange(self.bounds[i], self.bounds[i + 1]) for i in some])
+            if own is not None:
+                rows = rows[np.array([self.ids[i] != [own] for i in rows], bool)]
             diff = self.vectors[rows] - query
             squares = (diff * diff).sum(1)
             if len(best) >= k:
@@ -127,7 +129,7 @@ class Cell:
             near = np.argsort(squares, kind="stable")
             if len(near) > k:  # with all ties of the k-th
                 near = near[squares[near] <= squares[near[k - 1]]]
-            best = sorted([*best, *((math.sqrt(squares[i]), v) for i in near for v in self.ids[rows[i]])])[:k]
+            best = sorted([*best, *((math.sqrt(squares[i]), v) for i in near for v in self.ids[rows[i]] if v != own)])[:k]
             if len(best) == k:
                 bound = min(bound, best[-1][0] ** 2)
         return best
@@ -163,8 +165,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vector: str = "emb
     """query_id, rank, vec_id, score (Euclidean distance in double precision) of the k nearest found of each row that the queries condition holds for.
 
     Candidates are all rows but the query's own id. Rows whose vector is null, empty, zero or has a null or non-finite component, or whose id is null, take no
-    part; a query among them has no rows. Vectors must be of one width. Equal vectors are one node with its k + 1 smallest ids, which hold every answer;
-    ties go to the smaller id. Repeated ids are one candidate each if their vectors differ. With too few candidates all
+    part; a query among them has no rows. Vectors must be of one width. Equal vectors are one node with its k + 1 smallest distinct ids, which hold every answer;
+    ties go to the smaller id. Repeated ids are one candidate each if their vectors differ, and none for a query of that id. With too few candidates all
     are returned; an empty table gives no rows; other columns are ignored. A true neighbour is missed with chance 1 - confidence at most.
     """
     import pyarrow as pa
@@ -172,11 +174,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vector: str = "emb
     spark = vectors.sparkSession
     rows = vectors.where(usable(vectors[vector]) & vectors[key].isNotNull()).select(vectors[key].cast("long").alias("id"), F.transform(vectors[vector], lambda x: x.cast("double")).alias("v"), queries.alias("is_query"))
     by_vector = Window.partitionBy("v").orderBy("id")
-    small = rows.select("v", "id").withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
+    small = rows.select("v", "id").distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     nodes = small.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     nodes = common.materialise(nodes.select(F.col("ids")[0].alias("node"), "v", "ids"), "nodes")
-    asked = rows.where("is_query").select("v").distinct().join(nodes, "v").select("node", "v")
-    asked = common.materialise(asked, "queries")
+    # an id of one row takes one of k + 1 places; one of several rows is left out by name
+    several = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.col("id").alias("own"))
+    who = rows.where("is_query").select("id", "v").distinct().join(several, "id", "left")
+    who = common.materialise(who.select(F.col("id").alias("query_id"), "v", "own"), "queries")
+    asked = common.materialise(who.select("v", "own").distinct().select(F.monotonically_increasing_id().alias("ask"), "v", "own"), "asked")
     n = nodes.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
@@ -199,55 +204,56 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vector: str = "emb
         return run
 
     data = common.materialise(nodes.mapInArrow(place("data"), "cell int, node long, v array<double>, ids array<long>"), "cells")
-    homes = common.materialise(asked.mapInArrow(place("query"), "cell int, node long, v array<double>"), "homes")
-    found = pa.schema([("node", pa.int64()), ("scores", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64()))])
+    homes = common.materialise(asked.mapInArrow(place("query"), "cell int, ask long, v array<double>, own long"), "homes")
+    found = pa.schema([("ask", pa.int64()), ("scores", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64()))])
 
     def search(_, group):
-        """Rows (kind, node, v, ids, bound): the cell's vectors first."""
+        """Rows (kind, ask, v, ids, own, bound): the cell's vectors first."""
         own = [r for r in group if r[0] == 0]
-        out = {"node": [], "scores": [], "ids": []}
+        out = {"ask": [], "scores": [], "ids": []}
         if own:
             v = np.array([r[2] for r in own])
             cell = Cell(v, [r[3] for r in own], v @ project)
-            for kind, node, q, _, bound in group:
+            for kind, ask, q, _, me, bound in group:
                 if kind:
                     q = np.array(q)
-                    best = cell.search(q, q @ project, k + 1, quantile, math.inf if bound is None else bound)
-                    out["node"].append(node)
+                    best = cell.search(q, q @ project, k + 1, quantile, math.inf if bound is None else bound, me)
+                    out["ask"].append(ask)
                     out["scores"].append([s for s, _ in best])
                     out["ids"].append([i for _, i in best])
         return out
 
     def visit(asking: DataFrame) -> DataFrame:
-        """asking(cell, node, v, bound) against the vectors of the cells."""
-        part = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(copies)).cast("int")
-        left = asking.select("cell", part.alias("part"), F.lit(1).alias("kind"), "node", "v", F.lit(None).cast("array<long>").alias("ids"), "bound")
-        right = data.select("cell", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("part"), F.lit(0).alias("kind"), "node", "v", "ids", F.lit(None).cast("double").alias("bound"))
+        """asking(cell, ask, v, own, bound) against the vectors of the cells."""
+        part = F.pmod(F.xxhash64("ask", F.lit(1)), F.lit(copies)).cast("int")
+        left = asking.select("cell", part.alias("part"), F.lit(1).alias("kind"), "ask", "v", F.lit(None).cast("array<long>").alias("ids"), "own", "bound")
+        right = data.select("cell", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("ask"), "v", "ids", F.lit(None).cast("long").alias("own"), F.lit(None).cast("double").alias("bound"))
         stream = left.unionByName(right).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
-        return common.materialise(stream.mapInArrow(_groups(2, search, found), "node long, scores array<double>, ids array<long>"), "found")
+        return common.materialise(stream.mapInArrow(_groups(2, search, found), "ask long, scores array<double>, ids array<long>"), "found")
 
     first = visit(homes.withColumn("bound", F.lit(None).cast("double")))
     bound = F.when(F.size("scores") > k, F.pow(F.element_at("scores", -1), 2))
-    known = homes.join(first.select("node", bound.alias("bound")), "node", "left").select("cell", "node", "v", "bound")
+    known = homes.join(first.select("ask", bound.alias("bound")), "ask", "left").select("cell", "ask", "v", "own", "bound")
 
     def route(batches):
         for batch in batches:
-            out: dict = {"cell": [], "node": [], "v": [], "bound": []}
-            for home, node, v, bound in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out: dict = {"cell": [], "ask": [], "v": [], "own": [], "bound": []}
+            for home, ask, v, me, bound in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 point = np.array(v) @ project
                 for cell, far in cell_distances(tree, point):
                     if cell != home and (bound is None or far <= quantile * bound * (1 + 1e-9)):
-                        for name, value in zip(out, (cell, node, v, bound), strict=True):
+                        for name, value in zip(out, (cell, ask, v, me, bound), strict=True):
                             out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("cell", pa.int32()), ("node", pa.int64()), ("v", pa.list_(pa.float64())), ("bound", pa.float64())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("cell", pa.int32()), ("ask", pa.int64()), ("v", pa.list_(pa.float64())), ("own", pa.int64()), ("bound", pa.float64())]))
 
     results = first
     if len(cells) > 1:
-        results = results.unionByName(visit(known.mapInArrow(route, "cell int, node long, v array<double>, bound double")))
-    flat = results.select("node", F.explode(F.arrays_zip("scores", "ids")).alias("x")).select("node", F.col("x.scores").alias("score"), F.col("x.ids").alias("vec_id"))
-    of_node = Window.partitionBy("node").orderBy("score", "vec_id")
-    best = flat.withColumn("n", F.row_number().over(of_node)).where(F.col("n") <= k + 1).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("best"))
-    who = rows.where("is_query").select(F.col("id").alias("query_id"), "v").distinct().join(asked, "v").select("query_id", "node")
-    own = F.filter("best", lambda x: x["vec_id"] != F.col("query_id"))
-    out = who.join(best, "node").select("query_id", F.posexplode(F.slice(own, 1, k)).alias("p", "x"))
+        results = results.unionByName(visit(known.mapInArrow(route, "cell int, ask long, v array<double>, own long, bound double")))
+    flat = results.select("ask", F.explode(F.arrays_zip("scores", "ids")).alias("x")).select("ask", F.col("x.scores").alias("score"), F.col("x.ids").alias("vec_id"))
+    of_ask = Window.partitionBy("ask").orderBy("score", "vec_id")
+    best = flat.withColumn("n", F.row_number().over(of_ask)).where(F.col("n") <= k + 1).groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("best"))
+    by = asked.select("ask", F.col("v").alias("w"), F.col("own").alias("o"))
+    who = who.join(by, (F.col("v") == F.col("w")) & F.col("own").eqNullSafe(F.col("o"))).select("query_id", "ask")
+    others = F.filter("best", lambda x: x["vec_id"] != F.col("query_id"))
+    out = who.join(best, "ask").select("query_id", F.posexplode(F.slice(others, 1, k)).alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -44,3 +44,21 @@ def test_small_tables(spark):
     check(spark, [], 5)
     check(spark, [(0, [1.0, 2.0])], 5)
     check(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (10, [3.0, 4.0])], 5)
+
+
+@pytest.mark.parametrize("cell", [8192, 60])
+def test_repeated_rows(spark, monkeypatch, cell):
+    """A row 20 times beside other ids with its vector, and a query's id with many other vectors, are against brute force over distinct rows."""
+    monkeypatch.setattr(N, "CELL", cell)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(200, 4)).round(3)
+    rows = [(i + 1, x) for i, x in enumerate(v)]
+    rows += [(0, v[0])] * 20 + [(300 + i, v[0]) for i in range(15)] + [(50, v[49] + 1e-3 * i) for i in range(30)] + [(60, v[49]), (60, v[70])]
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in rows], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], round(r["score"], 9), r["vec_id"]) for r in N.nearest(df, df["vec_id"] % 10 == 0, 10, confidence=1 - 1e-9).collect())
+    distinct = sorted({(i, tuple(map(float, x))) for i, x in rows})
+    want = []
+    for q, x in [d for d in distinct if d[0] % 10 == 0]:
+        near = sorted((float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), i) for i, y in distinct if i != q)[:10]
+        want += [(q, k + 1, round(s, 9), i) for k, (s, i) in enumerate(near)]
+    assert got == sorted(want)
