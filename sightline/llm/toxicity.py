@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,8 +15,8 @@ from sightline.llm import common
 #: Bounds of what is learnt from, in rows: confirmed toxic documents, other documents, labelled ones for the class prior. Rows with the smallest hashes of id and text.
 POSITIVES = 4_000
 UNLABELLED = 16_000
-#: Longest part of a sampled text that is learnt from, in characters; scored texts are always whole.
-SAMPLE_CHARS = 8_000
+#: Partitions of the sampled rows.
+PARTS = 64
 FEATURES = 4_096
 PREFIXES = (4, 5, 6)
 #: Least share of the positives with a word, and least share of toxic documents among those with it, by the prior.
@@ -44,42 +44,27 @@ def marks_of(text: str) -> set[str]:
     return words
 
 
-def train(positive: list[str], unlabelled: Iterable[str], prior: float, seed: int = 11) -> dict:
-    """A model {vocabulary: word -> column, weight, bias}. It minimises the non-negative risk
-    prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) of the logistic loss, by Adam over mini-batches; where the second
-    term of a batch is negative, the step goes back along it. Features are the words whose share among positives is most
-    over that among the unlabelled, by standard errors. With no positive text every score is the prior's."""
-    prior = min(max(prior, 1e-4), 0.9)
-    bias0 = math.log(prior / (1 - prior))
-    in_p: dict[str, int] = {}
-    pos = [sorted(marks_of(t)) for t in positive]
-    for ws in pos:
-        for w in ws:
-            in_p[w] = in_p.get(w, 0) + 1
-    candidates = {w: i for i, w in enumerate(sorted(w for w, n in in_p.items() if n >= max(3, SUPPORT * len(pos))))}
-    in_u = np.zeros(len(candidates), np.int64)
-    unl = []  # of each text only the places of candidates, so that a long iterator of texts stays small
-    for t in unlabelled:
-        unl.append(np.array(sorted(candidates[w] for w in candidates.keys() & marks_of(t)), np.int64))
-        in_u[unl[-1]] += 1
-    n_p, n_u = len(pos), len(unl)
-
-    def lift(w: str) -> float:
-        p, u = in_p[w] / n_p, in_u[candidates[w]] / n_u
-        pooled = (in_p[w] + in_u[candidates[w]]) / (n_p + n_u)
-        return (p - u) / math.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
+def vocabulary_of(counts: list[tuple[str, int, int]], n_p: int, n_u: int, prior: float) -> dict[str, int]:
+    """word -> column of those words of counts(word, positives with it, unlabelled with it) whose share among n_p positives is most over
+    that among n_u unlabelled, by standard errors."""
+
+    def lift(p: int, u: int) -> float:
+        pooled = (p + u) / (n_p + n_u)
+        return (p / n_p - u / n_u) / math.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
 
     # a word counts if by the prior most documents with it are toxic
-    telling = [w for w, i in candidates.items() if n_u and prior * in_p[w] / n_p >= TELLING * (in_u[i] + 1) / n_u]
-    scored = sorted(((lift(w), w) for w in telling), key=lambda x: (-x[0], x[1]))
-    vocabulary = {w: i for i, (z, w) in enumerate(scored[:FEATURES]) if z > 4}
+    telling = [(lift(p, u), w) for w, p, u in counts if n_u and prior * p / n_p >= TELLING * (u + 1) / n_u]
+    return {w: i for i, (z, w) in enumerate(sorted(telling, key=lambda x: (-x[0], x[1]))[:FEATURES]) if z > 4}
+
+
+def train(x_p: list[np.ndarray], x_u: list[np.ndarray], vocabulary: dict[str, int], prior: float, seed: int = 11) -> dict:
+    """A model {vocabulary: word -> column, weight, bias} from the columns of each positive and each unlabelled text. It minimises the non-negative risk
+    prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) of the logistic loss, by Adam over mini-batches; where the second
+    term of a batch is negative, the step goes back along it. Without a vocabulary every score is the prior's."""
+    bias0 = math.log(prior / (1 - prior))
     if not vocabulary:
         return {"vocabulary": {}, "weight": np.zeros(0), "bias": bias0}
-    place = np.full(len(candidates), -1, np.int64)
-    for w, i in vocabulary.items():
-        place[candidates[w]] = i
-    x_p = [np.array([vocabulary[w] for w in ws if w in vocabulary], np.int64) for ws in pos]
-    x_u = [c[c >= 0] for c in (place[u] for u in unl)]
+    n_p, n_u = len(x_p), len(x_u)
     d = len(vocabulary)
     weight = np.zeros(d + 1)
     weight[-1] = bias0
@@ -123,20 +108,73 @@ def train(positive: list[str], unlabelled: Iterable[str], prior: float, seed: in
     return {"vocabulary": vocabulary, "weight": weight[:-1], "bias": float(weight[-1]) - shift}
 
 
+def _picked(rows: DataFrame, side: str, most: int) -> DataFrame:
+    """h, doc_id, t (digest of the text) of the first rows of rows(doc_id, text) by them, most at most, and how often each occurs, as side. Texts stay where they are read."""
+    keys = rows.select(F.xxhash64("doc_id", F.lit("toxicity")).alias("h"), "doc_id", F.xxhash64("text").alias("t"))
+    count = {s: F.count(F.lit(1)) if s == side else F.lit(0).cast("long") for s in ("n_p", "n_u")}
+    return keys.orderBy("h", "doc_id", "t").limit(most).groupBy("h", "doc_id", "t").agg(*[c.alias(s) for s, c in count.items()])
+
+
+def _counts(sample: DataFrame) -> DataFrame:
+    """word, p, u: how many positives and how many unlabelled of sample have each word, in whole texts."""
+
+    def make():
+        def each(batch):
+            texts, n_p, n_u = (batch.column(k).to_pylist() for k in range(3))
+            for a, b in common.slices(texts):
+                p, u = Counter(), Counter()
+                for text, x, y in zip(texts[a:b], n_p[a:b], n_u[a:b], strict=True):
+                    for w in marks_of(text):
+                        p[w] += x
+                        u[w] += y
+                yield {"word": list(p), "p": list(p.values()), "u": [u[w] for w in p]}
+
+        return each
+
+    some = common.arrow_map(sample.select("text", "n_p", "n_u"), make, "word string, p long, u long")
+    return some.groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def _features(sample: DataFrame, vocabulary: dict[str, int]) -> list[tuple[np.ndarray, int, int]]:
+    """Columns, n_p and n_u of each row of sample in order of h, doc_id and t."""
+    sent = sample.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def make():
+        vocabulary = sent.value
+
+        def each(batch):
+            texts = batch.column(5).to_pylist()
+            columns = [np.array(sorted(vocabulary[w] for w in vocabulary.keys() & marks_of(t)), np.int16).tobytes() for t in texts]
+            yield dict(zip(("h", "doc_id", "t", "n_p", "n_u"), batch.columns[:5], strict=True)) | {"x": columns}
+
+        return each
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = common.arrow_map(sample.select("h", "doc_id", "t", "n_p", "n_u", "text"), make, f"h long, doc_id {kind}, t long, n_p long, n_u long, x binary").collect()
+    return [(np.frombuffer(r["x"], np.int16).astype(np.int64), r["n_p"], r["n_u"]) for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["t"]))]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """Train on docs(doc_id, text) and labels(doc_id, toxic) outside the held-out fold, on bounded samples taken by hash."""
-    learn = docs.where(~held_out(docs["doc_id"])).select(docs["doc_id"].alias("doc_id"), common.text_of(docs).alias("text"))
+    """Train on whole texts of docs(doc_id, text) and labels(doc_id, toxic) outside the held-out fold, on samples of rows taken by hash. Only the counts of
+    words that enough positives have and the vocabulary's columns of each sampled row come to the driver."""
+    learn = docs.where(~held_out(docs["doc_id"])).select(docs["doc_id"].alias("doc_id"), common.text_of(docs).alias("text"))  # a null id is held out
     marks = labels.where(~held_out(labels["doc_id"])).where("toxic is not null").select(labels["doc_id"].alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = marks.agg(F.avg("toxic").alias("p")).first()["p"]
-    pick = F.xxhash64("doc_id", F.lit("toxicity"))
-    cut = F.substring("text", 1, SAMPLE_CHARS).alias("text")
-    wanted = marks.where("toxic = 1").orderBy(pick, "doc_id").limit(POSITIVES)
-    positive = [r["text"] for r in learn.join(F.broadcast(wanted), "doc_id").orderBy(pick, "doc_id", "text").select(cut).limit(POSITIVES).collect()]
-    keys = learn.select("doc_id").orderBy(pick, "doc_id").limit(UNLABELLED)
-    bound = keys.agg(F.max(pick).alias("h")).first()["h"]
-    unlabelled = () if bound is None else (r["text"] for r in learn.where(pick <= bound).select("doc_id", cut, pick.alias("h")).orderBy("h", "doc_id", "text").limit(UNLABELLED).select("text").toLocalIterator())
-    return train(positive, unlabelled, share or 0.0)
+    prior = min(max(share or 0.0, 1e-4), 0.9)
+    wanted = marks.where("toxic = 1").orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(POSITIVES).select("doc_id")
+    picked = _picked(learn.join(F.broadcast(wanted), "doc_id"), "n_p", POSITIVES).unionByName(_picked(learn, "n_u", UNLABELLED))
+    picked = common.materialise(picked.groupBy("h", "doc_id", "t").agg(F.sum("n_p").alias("n_p"), F.sum("n_u").alias("n_u")), "toxicity-picked")
+    total = picked.agg(F.sum("n_p").alias("n_p"), F.sum("n_u").alias("n_u")).first()
+    n_p, n_u = total["n_p"] or 0, total["n_u"] or 0
+    if not n_p or not n_u:
+        return train([], [], {}, prior)
+    texts = learn.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "t"])
+    sample = common.materialise(texts.repartition(PARTS, "doc_id", "t").dropDuplicates(["doc_id", "t"]), "toxicity-sample")
+    counts = _counts(sample).where(F.col("p") >= max(3, SUPPORT * n_p)).collect()
+    vocabulary = vocabulary_of([(r["word"], r["p"], r["u"]) for r in counts], n_p, n_u, prior)
+    rows = _features(sample, vocabulary) if vocabulary else []
+    return train([x for x, p, _ in rows for _ in range(p)], [x for x, _, u in rows for _ in range(u)], vocabulary, prior)
 
 
 def score_texts(model: dict, texts: list[str]) -> np.ndarray:

@@ -247,6 +247,14 @@ def test_toxicity(spark):
     assert toxicity.detect(docs.limit(0), marks).count() == 0
 
 
+def test_toxicity_is_learnt_from_whole_texts(spark):
+    rows = [(i, words(60, i) + " x" * 5_000 + (" idiot moron" if i % 5 == 0 else " fine"), "s") for i in range(400)]
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    docs = frame(spark, [*rows, rows[3], rows[5]])
+    assert {"idiot", "moron"} <= set(toxicity.fit(docs, marks)["vocabulary"])
+    assert all(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in toxicity.detect(docs, marks).collect())
+
+
 # ---- archives
 
 def pages(spark):
