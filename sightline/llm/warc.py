@@ -24,6 +24,7 @@ MEMBER_LIMIT = 1 << 28
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _START = re.compile(rb"WARC/1\.[01]\r?\n|\x1f\x8b\x08")
+_NAME = re.compile(rb"([^\r\n:]*):")
 _HTTP_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)", re.I)
 
 
@@ -79,18 +80,18 @@ def parse(data: bytes, at: int) -> tuple[dict, int] | str:
     """The record of a version line at a place and where it ends, or why it is not valid."""
     if not (start := _VERSION.match(data, at)):
         return "no version line"
-    end = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if end < 0:
-        return "no end of headers"
-    fields = {}
-    for row in data[start.end() : end].split(b"\r\n"):
-        key, colon, value = row.partition(b":")
-        if not colon:
-            return "bad header line"
-        fields[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    fields, at = {}, start.end()
+    while not data.startswith(b"\r\n", at):
+        if not (name := _NAME.match(data, at)):
+            return "bad header line" if at < len(data) else "no end of headers"
+        end = data.find(b"\r\n", name.end())
+        if end < 0:
+            return "no end of headers"
+        fields[name[1].strip().lower().decode("latin-1")] = data[name.end() : end].strip().decode("utf-8", "replace")
+        at = end + 2
     if not fields.get("content-length", "").isdigit():
         return "no length"
-    body, size = end + 4, int(fields["content-length"])
+    body, size = at + 2, int(fields["content-length"])
     if body + size + 4 > len(data) or data[body + size : body + size + 4] != b"\r\n\r\n":
         return "length does not lead to the end of a record"
     block = data[body : body + size]

@@ -273,6 +273,12 @@ def test_archives(spark):
     assert warc.archive_round_trip(df.limit(0), common.shared_path(spark, "archives")).count() == 0
 
 
+def test_long_url(spark):
+    rows = [(1, "u" * 70_000, "a"), (2, "b " * 40_000, "WARC/1.1\r\n" * 3), (3, "u", "a"), (4, "é" * 1_000_000, "c")]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), common.shared_path(spark, "archives")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in got) == [(1, 1, "response"), (2, 30, "response"), (3, 1, "revisit"), (4, 1, "response")]
+
+
 def archive(spark):
     return [(r["record"]).encode() for r in warc.records(pages(spark)[1]).collect()]
 
