@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of a calibrated threshold, its fallback, and the least samples of a side.
 LOW, HIGH, FALLBACK, SAMPLES = 0.30, 0.62, 0.45, 5
+#: Most values that are sorted at once.
+HELD = 100_000
 
 
 def percentile(values: Column, fraction: float) -> Column:
@@ -33,15 +35,25 @@ def calibrated(genuine_p10: Column, genuine_n: Column, impostor_p95: Column, imp
 
 
 def ranked_value(samples: DataFrame, value: str, fraction: float) -> tuple[float | None, int]:
-    """The percentile of a whole column and its count, without one sorted list: counts over coarse bins find the bin of the rank, then that bin alone is ranked."""
-    n = samples.count()
+    """The element at the rank of a fraction in a whole column and its count, without one sorted list: approximate percentiles enclose the rank ever closer,
+    ties of the bounds apart, until at most HELD values are left to sort."""
+    n = size = samples.count()
     if not n:
         return None, 0
     rank = math.floor((n - 1) * fraction + 0.5)
-    low = samples.agg(F.percentile_approx(value, [max(0.0, rank / n - 0.001), min(1.0, (rank + 1) / n + 0.001)], 1000)).first()[0]
-    below = samples.where(F.col(value) < low[0]).count()
-    near = [r[0] for r in samples.where(F.col(value).between(low[0], low[1])).orderBy(value).limit(rank - below + 1).collect()] if 0 <= rank - below < 100_000 else []
-    return (near[rank - below] if len(near) > rank - below >= 0 else samples.agg(F.expr(f"percentile({value}, {fraction})")).first()[0]), n
+    while size > HELD:
+        low, high = samples.agg(F.percentile_approx(value, [max(0.0, rank / size - 0.001), min(1.0, (rank + 1) / size + 0.001)], 1000)).first()[0]
+        v = F.col(value)
+        ranges = [v < low, v == low, (v > low) & (v < high), (v == high) & (v > low), v > high]
+        counts = samples.agg(*[F.count_if(r).alias(f"n{i}") for i, r in enumerate(ranges)]).first()
+        at = 0
+        while at < 4 and rank >= counts[at]:
+            rank -= counts[at]
+            at += 1
+        if at in (1, 3):
+            return (low if at == 1 else high), n
+        samples, size = samples.where(ranges[at]), counts[at]
+    return samples.select(value).orderBy(value).collect()[rank][0], n
 
 
 def calibrate(genuine: list[float], impostor: list[float], fallback: float = FALLBACK) -> float:
