@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,22 +13,21 @@ from pyspark.sql import functions as F
 
 from sightline.llm import common
 
-#: Bounds of what is learnt from, in rows: confirmed toxic documents, other documents, labelled ones for the class prior. Rows with the smallest hashes of id and text.
+#: Bound of the confirmed toxic documents that are learnt from, in labels: those with the smallest hashes of the id. Unlabelled text has no bound.
 POSITIVES = 4_000
-UNLABELLED = 16_000
-#: Partitions of the sampled rows.
-PARTS = 64
 FEATURES = 4_096
 PREFIXES = (4, 5, 6)
 #: Least share of the positives with a word, and least share of toxic documents among those with it, by the prior.
 SUPPORT = 0.02
 TELLING = 0.5
-#: Training: epochs, batches an epoch, step, weight decay; the step back when a batch's risk over negatives is below zero.
-EPOCHS = 100
-BATCHES = 12
-STEP = 0.05
+#: Training: passes over all sets of features, step, weight decay; the step back where the risk over negatives is below zero.
+EPOCHS = 60
+STEP = 0.25
 DECAY = 1e-4
 BACK = 0.1
+#: Tasks of a pass, each of which sends one gradient; bins of a unit of the margin, and the margin's bound, where the threshold is chosen.
+TASKS = 64
+BINS, MARGIN = 50, 60
 
 _words = re.compile(r"\w+").findall
 
@@ -57,173 +57,200 @@ def vocabulary_of(counts: list[tuple[str, int, int]], n_p: int, n_u: int, prior:
     return {w: i for i, (z, w) in enumerate(sorted(telling, key=lambda x: (-x[0], x[1]))[:FEATURES]) if z > 4}
 
 
-def train(x_p: list[np.ndarray], x_u: list[np.ndarray], vocabulary: dict[str, int], prior: float, seed: int = 11) -> dict:
-    """A model {vocabulary: word -> column, weight, bias} from the columns of each positive and each unlabelled text. It minimises the non-negative risk
-    prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) of the logistic loss, by Adam over mini-batches; where the second
-    term of a batch is negative, the step goes back along it. Without a vocabulary every score is the prior's."""
-    bias0 = math.log(prior / (1 - prior))
-    if not vocabulary:
-        return {"vocabulary": {}, "weight": np.zeros(0), "bias": bias0}
-    n_p, n_u = len(x_p), len(x_u)
-    d = len(vocabulary)
-    weight = np.zeros(d + 1)
-    weight[-1] = bias0
-    m, v, t = np.zeros(d + 1), np.zeros(d + 1), 0
-    rng = np.random.default_rng(seed)
-
-    def flat(side: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        chosen = [side[i] for i in at]
-        return np.repeat(np.arange(len(at)), [len(c) for c in chosen]), np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-
-    def margin(r: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(r, weight[c], n) + weight[-1]
-
-    def gradient(r: np.ndarray, c: np.ndarray, g: np.ndarray) -> np.ndarray:
-        out = np.bincount(c, g[r], d + 1)
-        out[-1] = g.sum()
-        return out
-
-    for _ in range(EPOCHS):
-        order_p, order_u = rng.permutation(n_p), rng.permutation(n_u)
-        for at_p, at_u in zip(np.array_split(order_p, BATCHES), np.array_split(order_u, BATCHES), strict=True):
-            if not len(at_p) or not len(at_u):
-                continue
-            (rp, cp), (ru, cu) = flat(x_p, at_p), flat(x_u, at_u)
-            zp, zu = margin(rp, cp, len(at_p)), margin(ru, cu, len(at_u))
-            sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            g_negative = gradient(ru, cu, su / len(at_u)) - prior * gradient(rp, cp, sp / len(at_p))
-            g = prior * gradient(rp, cp, (sp - 1) / len(at_p)) + (g_negative if negative >= 0 else -BACK * g_negative)
-            g[:-1] += DECAY * weight[:-1]
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            weight -= STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    # the threshold of least estimated error, prior * missed positives + max(0, found unlabelled - prior * found positives), becomes 0.5
-    z_p, z_u = np.sort(margin(*flat(x_p, np.arange(n_p)), n_p)), np.sort(margin(*flat(x_u, np.arange(n_u)), n_u))
-    cuts = np.unique(np.concatenate([z_p, z_u]))
-    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1)
-    missed = np.searchsorted(z_p, cuts) / n_p
-    error = prior * missed + np.maximum(0, 1 - np.searchsorted(z_u, cuts) / n_u - prior * (1 - missed))
-    shift = float(np.median(cuts[error <= error.min() + 1e-12]))
-    return {"vocabulary": vocabulary, "weight": weight[:-1], "bias": float(weight[-1]) - shift}
-
-
-def _picked(rows: DataFrame, side: str, most: int) -> DataFrame:
-    """h, doc_id, t (digest of the text) of the first rows of rows(doc_id, text) by them, most at most, and how often each occurs, as side. Texts stay where they are read."""
-    keys = rows.select(F.xxhash64("doc_id", F.lit("toxicity")).alias("h"), "doc_id", F.xxhash64("text").alias("t"))
-    count = {s: F.count(F.lit(1)) if s == side else F.lit(0).cast("long") for s in ("n_p", "n_u")}
-    return keys.orderBy("h", "doc_id", "t").limit(most).groupBy("h", "doc_id", "t").agg(*[c.alias(s) for s, c in count.items()])
-
-
-def _counts(sample: DataFrame) -> DataFrame:
-    """word, p, u: how many positives and how many unlabelled of sample have each word, in whole texts."""
-
-    def make():
-        def each(batch):
-            texts, n_p, n_u = (batch.column(k).to_pylist() for k in range(3))
-            for a, b in common.slices(texts):
-                p, u = Counter(), Counter()
-                for text, x, y in zip(texts[a:b], n_p[a:b], n_u[a:b], strict=True):
-                    for w in marks_of(text):
-                        p[w] += x
-                        u[w] += y
-                yield {"word": list(p), "p": list(p.values()), "u": [u[w] for w in p]}
-
-        return each
-
-    some = common.arrow_map(sample.select("text", "n_p", "n_u"), make, "word string, p long, u long")
-    return some.groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-
-
-def _features(sample: DataFrame, vocabulary: dict[str, int]) -> list[tuple[np.ndarray, int, int]]:
-    """Columns, n_p and n_u of each row of sample in order of h, doc_id and t."""
-    sent = sample.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def make():
-        vocabulary = sent.value
-
-        def each(batch):
-            texts = batch.column(5).to_pylist()
-            columns = [np.array(sorted(vocabulary[w] for w in vocabulary.keys() & marks_of(t)), np.int16).tobytes() for t in texts]
-            yield dict(zip(("h", "doc_id", "t", "n_p", "n_u"), batch.columns[:5], strict=True)) | {"x": columns}
-
-        return each
-
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = common.arrow_map(sample.select("h", "doc_id", "t", "n_p", "n_u", "text"), make, f"h long, doc_id {kind}, t long, n_p long, n_u long, x binary").collect()
-    return [(np.frombuffer(r["x"], np.int16).astype(np.int64), r["n_p"], r["n_u"]) for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["t"]))]
+def margins(x: list[bytes], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The set and column of each entry of sets of columns (int16 each), and the margin of each set; the last weight is the bias."""
+    columns = np.frombuffer(b"".join(x), np.int16)
+    of = np.repeat(np.arange(len(x)), [len(b) // 2 for b in x])
+    return of, columns, np.bincount(of, weight[columns], len(x)) + weight[-1]
+
+
+def risk_sums(x: list[bytes], n_p: np.ndarray, n_u: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the logistic loss, and of its gradient: of positives as positive, positives as negative, unlabelled as negative."""
+    of, columns, z = margins(x, weight)
+    s = 1 / (1 + np.exp(-z))
+    risk = np.array([n_p @ np.logaddexp(0, -z), n_p @ np.logaddexp(0, z), n_u @ np.logaddexp(0, z)])
+    gradient = np.zeros((3, len(weight)))
+    for row, slope in zip(gradient, (n_p * (s - 1), n_p * s, n_u * s), strict=True):
+        row[:-1] = np.bincount(columns, slope[of], len(weight) - 1)
+        row[-1] = slope.sum()
+    return risk, gradient
+
+
+def train(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """Weights and bias that minimise the non-negative risk prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) of the
+    logistic loss by Adam over all the data; where the second term is negative, the step goes back along it."""
+    weight = np.zeros(width + 1)
+    weight[-1] = math.log(prior / (1 - prior))
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
+    for t in range(1, EPOCHS + 1):
+        risk, (plus, minus, unlabelled) = sums(weight)
+        negative = risk[2] / n_u - prior * risk[1] / n_p
+        g_negative = unlabelled / n_u - prior * minus / n_p
+        g = prior * plus / n_p + (g_negative if negative >= 0 else -BACK * g_negative)
+        g[:-1] += DECAY * weight[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        weight = weight - STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return weight
+
+
+def threshold(found_p: np.ndarray, found_u: np.ndarray, prior: float) -> float:
+    """The margin of least estimated error, prior * missed positives + max(0, found unlabelled - prior * found positives), from counts by bin."""
+    below_p, below_u = np.cumsum(found_p) / found_p.sum(), np.cumsum(found_u) / found_u.sum()
+    error = prior * below_p + np.maximum(0, 1 - below_u - prior * (1 - below_p))
+    best = np.flatnonzero(error <= error.min() + 1e-12)
+    return float(np.median(best) + 1) / BINS - MARGIN
+
+
+def _reduced(rows: DataFrame, names: list[str], start: Callable[[], object], step: Callable, finish: Callable[[object], dict], schema: str) -> DataFrame:
+    """One Python state a task: start(), then step(state, *columns) for each batch, then the rows of finish(state)."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = _parse_datatype_string(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind, state, some = to_arrow_schema(fields), start(), False
+        for batch in batches:
+            some = some or batch.num_rows > 0
+            step(state, *batch.columns)
+        if some:
+            yield pa.RecordBatch.from_pydict(finish(state), schema=kind)
+
+    return rows.select(*names).mapInArrow(run, fields)
+
+
+def _positive_words(texts: DataFrame) -> tuple[dict[str, int], int]:
+    """Words that enough of the confirmed texts have, with the number of these, and the number of texts. At most 1 / SUPPORT times a text's mean number of words come to the driver."""
+
+    def step(state, texts):
+        values = texts.to_pylist()
+        state[""] += len(values)
+        for t in values:
+            state.update(marks_of(t))
+
+    counts = _reduced(texts, ["text"], Counter, step, lambda s: {"word": list(s), "p": list(s.values())}, "word string, p long").groupBy("word").agg(F.sum("p").alias("p"))
+    counts = common.materialise(counts, "toxicity-words")
+    n_p = (counts.where("word = ''").first() or {"p": 0})["p"]
+    return {r["word"]: r["p"] for r in counts.where((F.col("word") != "") & (F.col("p") >= max(3, SUPPORT * n_p))).collect()}, n_p
+
+
+def _background(texts: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
+    """In how many of all texts each word occurs, and the number of texts: one row of counts a task and word."""
+    sent = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def step(state, texts):
+        at = sent.value
+        values = texts.to_pylist()
+        state[len(at)] += len(values)
+        for t in values:
+            for w in at.keys() & marks_of(t):
+                state[at[w]] += 1
+
+    def finish(state):
+        used = np.flatnonzero(state)
+        return {"i": used, "u": state[used]}
+
+    width = len(words) + 1
+    out = np.zeros(width, np.int64)
+    for r in _reduced(texts, ["text"], lambda: np.zeros(width, np.int64), step, finish, "i long, u long").groupBy("i").agg(F.sum("u").alias("u")).collect():
+        out[r["i"]] = r["u"]
+    sent.destroy()
+    return out[:-1], int(out[-1])
+
+
+def features(text: Column, vocabulary: dict[str, int]) -> Column:
+    """The columns of a whole text's words in the vocabulary, in order, int16 each."""
+
+    @F.pandas_udf("binary")
+    def columns(texts):
+        import pandas as pd
 
+        keys = vocabulary.keys()
+        return pd.Series([np.array(sorted(vocabulary[w] for w in keys & marks_of(t)), np.int16).tobytes() for t in texts])
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """Train on whole texts of docs(doc_id, text) and labels(doc_id, toxic) outside the held-out fold, on samples of rows taken by hash. Only the counts of
-    words that enough positives have and the vocabulary's columns of each sampled row come to the driver."""
-    learn = docs.where(~held_out(docs["doc_id"])).select(docs["doc_id"].alias("doc_id"), common.text_of(docs).alias("text"))  # a null id is held out
+    return columns(text)
+
+
+def probability(x: Column, model: dict) -> Column:
+    weight = np.append(model["weight"], model["bias"])
+
+    @F.pandas_udf("double")
+    def scored(x):
+        import pandas as pd
+
+        return pd.Series(1 / (1 + np.exp(-margins(list(x), weight)[2])))
+
+    return scored(x)
+
+
+def _learnt(rows: DataFrame, labels: DataFrame) -> tuple[dict, DataFrame]:
+    """A model {vocabulary, weight, bias} of rows(doc_id, held, text, ...), and rows with their features x, written to the shared folder."""
     marks = labels.where(~held_out(labels["doc_id"])).where("toxic is not null").select(labels["doc_id"].alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = marks.agg(F.avg("toxic").alias("p")).first()["p"]
-    prior = min(max(share or 0.0, 1e-4), 0.9)
-    wanted = marks.where("toxic = 1").orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(POSITIVES).select("doc_id")
-    picked = _picked(learn.join(F.broadcast(wanted), "doc_id"), "n_p", POSITIVES).unionByName(_picked(learn, "n_u", UNLABELLED))
-    picked = common.materialise(picked.groupBy("h", "doc_id", "t").agg(F.sum("n_p").alias("n_p"), F.sum("n_u").alias("n_u")), "toxicity-picked")
-    total = picked.agg(F.sum("n_p").alias("n_p"), F.sum("n_u").alias("n_u")).first()
-    n_p, n_u = total["n_p"] or 0, total["n_u"] or 0
-    if not n_p or not n_u:
-        return train([], [], {}, prior)
-    texts = learn.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "t"])
-    sample = common.materialise(texts.repartition(PARTS, "doc_id", "t").dropDuplicates(["doc_id", "t"]), "toxicity-sample")
-    counts = _counts(sample).where(F.col("p") >= max(3, SUPPORT * n_p)).collect()
-    vocabulary = vocabulary_of([(r["word"], r["p"], r["u"]) for r in counts], n_p, n_u, prior)
-    rows = _features(sample, vocabulary) if vocabulary else []
-    return train([x for x, p, _ in rows for _ in range(p)], [x for x, _, u in rows for _ in range(u)], vocabulary, prior)
-
-
-def score_texts(model: dict, texts: list[str]) -> np.ndarray:
-    get, weight, bias = model["vocabulary"].get, model["weight"], model["bias"]
-    keys = model["vocabulary"].keys()
-    z = np.array([bias + sum(weight[get(w)] for w in sorted(keys & marks_of(t))) for t in texts], float)
-    return 1 / (1 + np.exp(-z))
-
-
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs, from the whole text alone."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # FEATURES words at most
-
-    def make():
-        model = sent.value
-
-        def each(batch):
-            ids, held, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for a, b in common.slices(texts):
-                s = score_texts(model, texts[a:b])
-                yield {"doc_id": ids.slice(a, b - a), "held_out": held.slice(a, b - a), "score": s, "predicted": (s >= 0.5).astype(np.int32)}
-
-        return each
-
-    plain = docs.select(docs["doc_id"].alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), common.text_of(docs).alias("text"))
-    return common.arrow_map(plain, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    prior = min(max(marks.agg(F.avg("toxic").alias("p")).first()["p"] or 0.0, 1e-4), 0.9)
+    wanted = marks.where("toxic = 1").orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(POSITIVES).select("doc_id", F.lit(1).alias("positive"))
+    wanted = common.materialise(wanted, "toxicity-positives")  # POSITIVES ids, so its broadcast is bounded
+    learn = rows.where("not held").select("doc_id", "text")
+    words, n_p = _positive_words(learn.join(F.broadcast(wanted), "doc_id", "left_semi"))
+    listed = sorted(words)
+    u, n_u = _background(learn, listed) if listed else (np.zeros(0), 0)
+    vocabulary = vocabulary_of([(w, words[w], int(k)) for w, k in zip(listed, u, strict=True)], n_p, n_u, prior) if n_u else {}
+    model = {"vocabulary": vocabulary, "weight": np.zeros(len(vocabulary)), "bias": math.log(prior / (1 - prior))}
+    table = common.materialise(rows.withColumn("x", features(F.col("text"), vocabulary)).drop("text"), "toxicity-features")
+    if not vocabulary:
+        return model, table
+    sets = table.where("not held").select("doc_id", "x").join(F.broadcast(wanted), "doc_id", "left").groupBy("x").agg(F.count("positive").alias("n_p"), F.count(F.lit(1)).alias("n_u"))
+    sets = common.materialise(sets, "toxicity-sets").coalesce(TASKS)
+    width = len(vocabulary)
+
+    def sums(weight):
+        def step(state, x, a, b):
+            risk, gradient = risk_sums(x.to_pylist(), a.to_numpy().astype(float), b.to_numpy().astype(float), weight)
+            state[0] += risk
+            state[1] += gradient
+
+        parts = _reduced(sets, ["x", "n_p", "n_u"], lambda: [np.zeros(3), np.zeros((3, width + 1))], step, lambda s: {"risk": [s[0].tobytes()], "gradient": [s[1].tobytes()]}, "risk binary, gradient binary").collect()
+        return sum(np.frombuffer(r["risk"]) for r in parts), sum(np.frombuffer(r["gradient"]).reshape(3, -1) for r in parts)
+
+    weight = train(sums, width, n_p, n_u, prior)
+
+    def step(state, x, a, b):
+        at = np.clip(((margins(x.to_pylist(), weight)[2] + MARGIN) * BINS).astype(np.int64), 0, 2 * MARGIN * BINS - 1)
+        for row, n in zip(state, (a, b), strict=True):
+            row += np.bincount(at, n.to_numpy(), len(row))
+
+    found = _reduced(sets, ["x", "n_p", "n_u"], lambda: np.zeros((2, 2 * MARGIN * BINS)), step, lambda s: {"n": [s.tobytes()]}, "n binary").collect()
+    found_p, found_u = sum(np.frombuffer(r["n"]).reshape(2, -1) for r in found)
+    return model | {"weight": weight[:-1], "bias": float(weight[-1]) - threshold(found_p, found_u, prior)}, table
+
+
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, docs["doc_id"].alias("doc_id"), held_out(docs["doc_id"]).alias("held"), common.text_of(docs).alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """A model of docs(doc_id, text) and labels(doc_id, toxic) outside the held-out fold: all whole texts are the unlabelled side, the confirmed ones of at
+    most POSITIVES labels the positive one. The driver sees words that enough positives have, and sums."""
+    return _learnt(_rows(docs), labels)[0]
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs(doc_id, text), learnt from labels(doc_id, toxic).
 
     Labels of the held-out fold (crc32 of the id modulo 5 is 0; a null id counts as the empty text) are never read; nor are its texts
-    in training. Only the text feeds a score. A null text is empty and gets the score of no words; repeated rows each get the same score; without any
-    confirmed toxic document every score is the class prior's; an empty table gives no rows; other columns are ignored.
+    in training. Only the whole text feeds a score. A null text is empty and gets the score of no words; repeated rows each get the same score; without any
+    confirmed toxic document every score is the class prior's; an empty table gives no rows; other columns are ignored. Rows of features are written to the
+    shared folder, from which the classifier is trained and the scores are read.
     """
-    return score(docs, fit(docs, labels))
+    model, table = _learnt(_rows(docs), labels)
+    scored = table.select("doc_id", F.col("held").alias("held_out"), probability(F.col("x"), model).alias("score"))
+    return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold."""
-    model = fit(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def toxic_score(texts):
-        import pandas as pd
-
-        values = texts.fillna("").tolist()
-        return pd.Series(np.concatenate([score_texts(sent.value, values[a:b]) for a, b in common.slices(values)] or [np.zeros(0)]))
-
-    return docs.where(toxic_score(docs["text"].cast("string")) < threshold)
+    """The rows of docs, all columns, whose score is below the threshold; see detect() for nulls, empty texts, repeated rows and missing labels. An empty
+    table gives no rows. Rows are written to the shared folder beside their features, so that texts are cut into words twice and not three times."""
+    model, table = _learnt(_rows(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")), labels)
+    return table.where(probability(F.col("x"), model) < threshold).select("row.*")
