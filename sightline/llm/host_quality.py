@@ -118,8 +118,10 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs, all columns, that judge() keeps. Measures are worked out again for the filter, so that no text is joined by id."""
-    measured = docs.select(host_key(docs[host]).alias("key"), measures(common.text_of(docs)).alias("m"))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), host_key(docs[host]).alias("key"), measures(common.text_of(docs)).alias("m"))
+    """The rows of docs, all columns, that judge() keeps. Rows are written to the shared folder beside their failures, so that each text is measured
+    once and none is joined by id. Null texts fail; null hosts are one host; repeated rows all stay or go; an empty table gives no rows."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    measured = docs.select(row, host_key(docs[host]).alias("key"), measures(common.text_of(docs)).alias("m"))
+    measured = common.materialise(measured, "quality-rows")
     _, rejected = _rejected(F.col("m"))
-    return packed.join(host_verdicts(measured), "key").where(~rejected).select("row.*")
+    return measured.join(host_verdicts(measured.select("key", "m")), "key").where(~rejected).select("row.*")
