@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from sightline.llm import common
 from sightline.llm.host_quality import host_key
 
-#: Weights of the sources in code point order, repeating; most copies of a document; largest group of one size ranked in one task.
+#: Weights of the sources in code point order, repeating; most copies of a document; documents of one source and size that are put in order in one task.
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 GROUP = 4096
-NEWTON_STEPS = 40
+NEWTON_STEPS = 200
 TOLERANCE = 1e-9
 
 
@@ -20,8 +20,8 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(common.WORD)).cast("long")
 
 
-def _hash(doc_id: Column) -> Column:
-    return F.xxhash64(doc_id, F.lit("mix"))
+def _hash(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text, F.lit("mix"))
 
 
 def targets(groups: DataFrame) -> DataFrame:
@@ -71,6 +71,8 @@ def balance(groups: DataFrame, sources: DataFrame) -> DataFrame:
         state = common.materialise(moved.select("key", "target", step.alias("lam"), "lo", "hi", F.when(F.col("full"), 0.0).otherwise(F.abs(gap) / F.col("target")).alias("off"), "full"), "balance")
         if (state.agg(F.max("off").alias("off")).first()["off"] or 0.0) <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the duals have not converged after {NEWTON_STEPS} steps")
     return state.select("key", "lam", F.lit(mean).alias("mean"))
 
 
@@ -96,45 +98,58 @@ def copies_by_size(groups: DataFrame, sources: DataFrame, duals: DataFrame, refi
 
 
 def mix_plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For sized(key, size, hash): a row for each source and size with the copies every document gets (each) and, by part of a
-    large group, the highest hash that gets one more (cutoffs); and the sources' targets."""
+    """For sized(key, size, hash): a row for each source and size with the copies every document gets (each), the hash up to which they get one more
+    (cutoff) and, of the documents that have this very hash, how many do (quota of ties); and the sources' targets.
+
+    A group's hashes are cut into ranges of some GROUP documents, whose counts tell in which one the cutoff lies; only that range is put in order.
+    """
     groups = common.materialise(sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "mix-groups")
     sources = common.materialise(targets(groups), "mix-sources")
     plan = copies_by_size(groups, sources, balance(groups, sources))
-    plan = plan.select("key", "size", "n", F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("extra"), F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    ranked = sized.join(plan.where("extra > 0"), ["key", "size"]).withColumn("part", F.pmod("hash", F.col("parts")).cast("int"))
+    plan = plan.select("key", "size", F.floor(F.col("copies") / F.col("n")).alias("each"), (F.col("copies") % F.col("n")).alias("extra"), F.ceil(F.col("n") / GROUP).cast("long").alias("parts"))
+    plan = common.materialise(plan, "mix-copies")
+    part = F.shiftrightunsigned((F.shiftright("hash", 32) + F.lit(1 << 31)) * F.col("parts"), 32)
     of = ["key", "size", "part"]
-    ranked = ranked.select(*of, "hash", "extra", "n", F.row_number().over(Window.partitionBy(*of).orderBy("hash")).alias("rank"))
-    counts = ranked.groupBy(*of, "extra", "n").agg(F.count(F.lit(1)).alias("m"))
+    parted = sized.join(plan.where("extra > 0"), ["key", "size"]).withColumn("part", part)
     upto = F.sum("m").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-    quota = counts.withColumn("upto", upto).select(*of, (F.floor(F.col("extra") * F.col("upto") / F.col("n")) - F.floor(F.col("extra") * (F.col("upto") - F.col("m")) / F.col("n"))).alias("quota"))
-    last = ranked.join(quota, of).where(F.col("rank") <= F.col("quota")).groupBy(*of).agg(F.max("hash").alias("cutoff"))
-    cutoffs = last.groupBy("key", "size").agg(F.map_from_entries(F.collect_list(F.struct("part", "cutoff"))).alias("cutoffs"))
-    return common.materialise(plan.join(cutoffs, ["key", "size"], "left").select("key", "size", "each", "parts", "cutoffs"), "mix-cutoffs"), sources
-
-
-def _copies() -> Column:
-    cutoff = F.try_element_at("cutoffs", F.pmod("hash", F.col("parts")).cast("int"))
-    return (F.col("each") + F.when(F.col("hash") <= cutoff, 1).otherwise(0)).cast("long")
+    edge = parted.groupBy(*of, "extra").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", upto).where("upto >= extra and upto - m < extra")
+    edge = common.materialise(edge.select(*of, (F.col("extra") - F.col("upto") + F.col("m")).alias("need")), "mix-edges")
+    by_hash = parted.select(*of, "hash").join(edge, of).groupBy(*of, "need", "hash").agg(F.count(F.lit(1)).alias("ties"))
+    below = F.sum("ties").over(Window.partitionBy(*of).orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ties")
+    cutoffs = by_hash.withColumn("below", below).where("below < need and below + ties >= need").select("key", "size", F.col("hash").alias("cutoff"), "ties", (F.col("need") - F.col("below")).alias("quota"))
+    return common.materialise(plan.join(cutoffs, ["key", "size"], "left").select("key", "size", "each", "cutoff", "ties", "quota"), "mix-cutoffs"), sources
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows(key, size, hash, ...) with copies. Only where rows of one hash lie at a cutoff that not all of them pass, those rows are counted off."""
+    one_more = F.when(F.col("hash") <= F.col("cutoff"), 1).otherwise(0)
+    split = F.coalesce((F.col("hash") == F.col("cutoff")) & (F.col("quota") < F.col("ties")), F.lit(False))
+    placed = rows.join(plan, ["key", "size"])
+    if plan.where("quota < ties").isEmpty():
+        return placed.withColumn("copies", F.col("each") + one_more)
+    turn = F.row_number().over(Window.partitionBy("key", "size", "hash").orderBy("hash"))  # the same id and text: any of them will do
+    tied = placed.where(split).withColumn("turn", turn).withColumn("copies", F.col("each") + F.when(F.col("turn") <= F.col("quota"), 1).otherwise(0)).drop("turn")
+    return placed.where(~split).withColumn("copies", F.col("each") + one_more).unionByName(tied)
 
 
 def mix(docs: DataFrame, source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs(doc_id, text, source).
 
-    size counts words (null text: 0) and taken is size times the copies, of which no document gets more than CAP. Null sources are one source, the last. Rows
-    of equal doc_id get equal copies; documents of no words take nothing; an empty table gives no rows; other columns
-    are ignored. Which documents get one copy more hangs on a hash of doc_id alone, so reruns agree.
+    size counts words (null text: 0) and taken is size times the copies, of which no document gets more than CAP. Null sources are one source, the last.
+    Repeated rows and null ids count as documents of their own; documents of no words take nothing; an empty table gives no rows; other columns
+    are ignored. Which documents get one copy more hangs on a hash of doc_id and text, and of rows equal in both on their number alone, so reruns agree.
     """
     text = common.text_of(docs)
-    sized = common.materialise(docs.select(docs["doc_id"].alias("doc_id"), host_key(docs[source]).alias("key"), size_of(text).alias("size"), _hash(docs["doc_id"]).alias("hash")), "mix-sizes")
+    sized = common.materialise(docs.select(docs["doc_id"].alias("doc_id"), host_key(docs[source]).alias("key"), size_of(text).alias("size"), _hash(docs["doc_id"], text).alias("hash")), "mix-sizes")
     plan, sources = mix_plan(sized.select("key", "size", "hash"))
-    out = sized.join(plan, ["key", "size"]).join(sources, "key")
-    return out.select("doc_id", "size", "source_size", "target", (_copies() * F.col("size")).alias("taken"))
+    return _with_copies(sized, plan).join(sources, "key").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, source: str = "source") -> DataFrame:
-    """The rows of docs, all columns, each as often as mix() takes it. Documents of no words stay once."""
-    keys = [host_key(docs[source]).alias("key"), size_of(common.text_of(docs)).alias("size"), _hash(docs["doc_id"]).alias("hash")]
+    """The rows of docs, all columns, each as often as mix() takes it; see there for nulls and repeated rows. Documents of no words stay once; an
+    empty table gives no rows."""
+    text = common.text_of(docs)
+    keys = [host_key(docs[source]).alias("key"), size_of(text).alias("size"), _hash(docs["doc_id"], text).alias("hash")]
     plan, _ = mix_plan(common.materialise(docs.select(*keys), "mix-sizes"))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keys).join(plan, ["key", "size"])
-    return packed.select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int"))).alias("copy")).select("row.*")
+    packed = _with_copies(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keys), plan)
+    return packed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")
