@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +19,23 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark reads it by, so that workers don't take a bare path of the shared store for a local one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where that is unset, as in tests, a temporary one is made and set."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; on a cluster it is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         root = "file://" + tempfile.mkdtemp(prefix="sightline-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return qualified(spark, root).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -41,12 +51,12 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a URI; a bare path is local."""
-    if uri.startswith("/"):
-        return fs.LocalFileSystem(), uri
+    """The file system and path of a qualified URI."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    if "://" not in uri:
+        raise ValueError(f"{uri} has no scheme")
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def put_file(uri: str, parts: list[bytes]) -> None:
@@ -66,19 +76,12 @@ def get_file(uri: str) -> bytes:
         return source.read()
 
 
-def mapped_path(uri: str) -> str:
-    """A local path that can be memory-mapped: the shared file itself, or this machine's copy where the store is not a mounted one."""
+def mapped(uri: str) -> np.ndarray:
+    """The bytes of a file: memory-mapped where the shared store is mounted, else read into this process; never copied to a local disk."""
     system, path = filesystem(uri)
     if isinstance(system, fs.LocalFileSystem):
-        return path
-    local = os.path.join(tempfile.gettempdir(), "sightline-" + uuid.uuid5(uuid.NAMESPACE_URL, uri).hex)
-    if not os.path.exists(local):
-        part = f"{local}.{uuid.uuid4().hex}"
-        with system.open_input_stream(path) as source, open(part, "wb") as out:
-            while block := source.read(1 << 24):
-                out.write(block)
-        os.replace(part, local)
-    return local
+        return np.memmap(path, np.uint8, "r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, np.uint8)
+    return np.frombuffer(get_file(uri), np.uint8)
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:

@@ -12,9 +12,9 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """key, comp of every end of edges(a, b): comp is the least key of its component. Every round maps neighbours to the least one, first from
-    above and then from below, until nothing changes; rounds grow with the logarithm of the longest path. Each is written to the shared folder; only a count and a checksum reach the driver."""
+    above and then from below, until nothing changes; rounds grow with the logarithm of the longest path. Each is written to the shared folder; only a count and a checksum reach the driver. Raises where rounds don't do."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = common.materialise(edges, "edges")
     mark = _mark(edges)
@@ -29,4 +29,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before, mark = mark, _mark(edges)
         if mark == before:
             break
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return edges.select(F.col("a").alias("key"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("comp")).distinct())
