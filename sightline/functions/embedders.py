@@ -1,19 +1,26 @@
-"""Pluggable embedders and detectors, and one that needs no model."""
+"""Pluggable embedders and detectors, and one embedder that needs no model."""
 
 from __future__ import annotations
 
+import glob
+import logging
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions import images as I
+
+log = logging.getLogger(__name__)
+
 
 def embed_with(load: Callable[[], Callable[[np.ndarray], np.ndarray]]):
     """A pandas UDF from array<float> pixels to array<float> for a model that load() gives once a worker."""
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator) -> Iterator:
+    @F.pandas_udf("array<float>", F.PandasUDFType.SCALAR_ITER)
+    def embed(batches):
         import pandas as pd
 
         model = load()
@@ -23,8 +30,16 @@ def embed_with(load: Callable[[], Callable[[np.ndarray], np.ndarray]]):
     return embed
 
 
+def model_file(folder: str, preferred: tuple[str, ...] = ()) -> str | None:
+    """The model to load: the first ONNX file, else the first preferred TFLite one, else any TFLite one, else None for the embedder without a model."""
+    onnx, lite = sorted(glob.glob(os.path.join(folder, "*.onnx"))), sorted(glob.glob(os.path.join(folder, "*.tflite")))
+    named = [p for name in preferred for p in lite if os.path.basename(p) == name]
+    return next(iter([*onnx, *named, *lite]), None)
+
+
 def detect_with(frames: DataFrame, load: Callable[[], Callable], schema: str) -> DataFrame:
-    """Rows of a detector: load() gives once a task a function from a frame's row to dicts of schema. A frame on which it fails has no rows."""
+    """Rows of a detector: load() gives once a task a function from a frame's row to dicts of schema. A frame on which it fails has one row with
+    nothing but detector_error, so failures can be counted and left out."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -34,53 +49,64 @@ def detect_with(frames: DataFrame, load: Callable[[], Callable], schema: str) ->
             out = []
             for r in pdf.to_dict("records"):
                 try:
-                    out += list(detector(r))
-                except Exception:  # noqa: BLE001  a detector's failure is an empty frame
-                    continue
-            yield pd.DataFrame(out)
+                    out += [{**d, "detector_error": None} for d in detector(r)]
+                except Exception as e:  # noqa: BLE001  a plug-in may raise anything, and a frame without faces is its outcome
+                    log.warning("detector failed: %s", e)
+                    out.append({"detector_error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(out, columns=names)
 
-    return frames.mapInPandas(run, schema)
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(f"{schema}, detector_error string")
+    names = [f.name for f in kind]
+    return frames.mapInPandas(run, kind)
+
+
+def _stacks(widths, heights, pixels) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one size, and their images (n, height, width, 3) from interleaved red, green and blue."""
+    sizes = np.array([widths, heights], np.int64).T.reshape(-1, 2)
+    for size in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes == size).all(1))
+        yield rows, np.stack([np.frombuffer(pixels[i], np.uint8) if isinstance(pixels[i], bytes) else np.asarray(pixels[i]) for i in rows]).reshape(len(rows), size[1], size[0], 3)
+
+
+def cell_embedding(width: Column, height: Column, pixels: Column) -> Column:
+    """The model-free unit vector of images: 512 numbers, each brought to 112 x 112 unless its sides are smaller multiples of 8."""
 
+    @F.pandas_udf("array<double>")
+    def embed(width, height, pixels):
+        import pandas as pd
+
+        out = [None] * len(pixels)
+        for rows, rgb in _stacks(width, height, pixels.tolist()):
+            if rgb.shape[1] % I.CELLS or rgb.shape[2] % I.CELLS or max(rgb.shape[1:3]) > I.EMBED_SIDE:
+                rgb = np.stack([I.resized(x, I.EMBED_SIDE, I.EMBED_SIDE) for x in rgb])
+            for i, v in zip(rows, I.cell_features(rgb), strict=True):
+                out[i] = v
+        return pd.Series(out)
+
+    return embed(width, height, pixels)
+
+
+def image_measures(frames: DataFrame, keep: list[str], side: int | None = None) -> DataFrame:
+    """keep, brightness, lap_var, edge, luma, luma_hist, hsv_hist of each of frames(width, height, pixels). Images are brought to side x side first, if asked for."""
+    kinds = dict(frames.dtypes)
 
-def cell_moments(luma: np.ndarray, cells: int = 8) -> np.ndarray:
-    """A deterministic unit vector of a square grey image: eight moments for each of 8 x 8 cells. Stands in where no model is at hand."""
-    side = len(luma) // cells
-    out = []
-    for y in range(cells):
-        for x in range(cells):
-            c = np.asarray(luma[y * side : (y + 1) * side, x * side : (x + 1) * side], float) / 255
-            gy, gx = np.gradient(c) if min(c.shape) > 1 else (np.zeros_like(c), np.zeros_like(c))
-            out += [c.mean(), c.std(), c.min(), c.max(), np.abs(gx).mean(), np.abs(gy).mean(), ((c - c.mean()) ** 3).mean(), np.median(c)]
-    v = np.array(out)
-    return v / max(float(np.sqrt((v * v).sum())), 1e-8)
-
-
-def luma_histogram(luma: np.ndarray, bins: int = 32) -> np.ndarray:
-    h = np.bincount(np.clip(np.asarray(luma, int).ravel() * bins // 256, 0, bins - 1), minlength=bins)
-    return h / max(1, h.sum())
-
-
-def laplacian_variance(luma: np.ndarray) -> float:
-    c = np.asarray(luma, float)
-    return float((c[:-2, 1:-1] + c[2:, 1:-1] + c[1:-1, :-2] + c[1:-1, 2:] - 4 * c[1:-1, 1:-1]).var()) if min(c.shape) > 2 else 0.0
-
-
-def edge_density(luma: np.ndarray) -> float:
-    """Mean Sobel magnitude of values in 0..1."""
-    c = np.asarray(luma, float)
-    gx = c[:-2, 2:] + 2 * c[1:-1, 2:] + c[2:, 2:] - c[:-2, :-2] - 2 * c[1:-1, :-2] - c[2:, :-2]
-    gy = c[2:, :-2] + 2 * c[2:, 1:-1] + c[2:, 2:] - c[:-2, :-2] - 2 * c[:-2, 1:-1] - c[:-2, 2:]
-    return float(np.hypot(gx, gy).mean()) if gx.size else 0.0
-
-
-def hsv_histogram(rgb: np.ndarray, bins: tuple[int, int, int] = (16, 4, 4)) -> np.ndarray:
-    c = np.asarray(rgb, float).reshape(-1, 3) / 255
-    v, low = c.max(1), c.min(1)
-    d = v - low
-    s = np.where(v > 0, d / np.maximum(v, 1e-12), 0.0)
-    r, g, b = c.T
-    safe = np.maximum(d, 1e-12)
-    h = np.where(d == 0, 0, np.where(v == r, (g - b) / safe % 6, np.where(v == g, (b - r) / safe + 2, (r - g) / safe + 4))) / 6
-    at = [np.minimum((x * n).astype(int), n - 1) for x, n in zip((h, s, v), bins, strict=True)]
-    out = np.bincount((at[0] * bins[1] + at[1]) * bins[2] + at[2], minlength=bins[0] * bins[1] * bins[2]).astype(float)
-    return out / max(1.0, out.sum())
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            parts = []
+            for rows, rgb in _stacks(pdf["width"], pdf["height"], pdf["pixels"].tolist()):
+                if side:
+                    rgb = np.stack([I.resized(x, side, side) for x in rgb])
+                y = I.luma(rgb)
+                part = pdf.iloc[rows][keep].copy()
+                part["brightness"], part["lap_var"], part["edge"] = y.reshape(len(y), -1).mean(1) / 255, I.laplacian_variance(y), I.edge_density(y / 255)
+                part["luma"], part["luma_hist"], part["hsv_hist"] = list(y.reshape(len(y), -1) / 255), list(I.luma_histogram(y)), list(I.hsv_histogram(rgb))
+                parts.append(part)
+            if parts:
+                yield pd.concat(parts)
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", brightness double, lap_var double, edge double, luma array<double>, luma_hist array<double>, hsv_hist array<double>"
+    return frames.mapInPandas(run, schema)

@@ -114,8 +114,8 @@ def fill_crop(source_w: Column, source_h: Column, target_w: Column, target_h: Co
 
 
 def roll_degrees(left_eye: Column, right_eye: Column, most: float = 35.0) -> Column:
-    """The roll that levels the eyes, or 0 beyond the largest angle that is corrected."""
-    angle = F.degrees(F.atan2(right_eye["y"] - left_eye["y"], right_eye["x"] - left_eye["x"]))
+    """The roll that levels the eyes, of which the subject's left one is to the right in the image; 0 beyond the largest angle that is corrected."""
+    angle = F.degrees(F.atan2(left_eye["y"] - right_eye["y"], left_eye["x"] - right_eye["x"]))
     return F.when(F.abs(angle) <= most, angle).otherwise(F.lit(0.0))
 
 

@@ -99,20 +99,28 @@ def conflict(a: Piece, b: Piece, apart: float = 0.35) -> bool:
     return any(a.frames[f] is None or b.frames[f] is None or iou(a.frames[f], b.frames[f]) < apart for f in a.frames.keys() & b.frames.keys())
 
 
-def goes_on(a: Piece, b: Piece, gap: float, reach: float = 1.5, scale: float | None = None, overlap: bool = False) -> bool:
-    """Whether one tracklet continues another in time and place; false without boxes."""
+def _goes_on_from(x: tuple | None, y: tuple | None, reach: float, scale: float | None = None) -> bool:
     from sightline.operators.tracking import drift
 
-    away = max(a.start, b.start) - min(a.end, b.end) if overlap else min(abs(a.end - b.start), abs(b.end - a.start))
-    if away > gap:
-        return False
-    x, y = (a.last_box, b.first_box) if a.end <= b.start else (a.first_box, b.last_box)
     if x is None or y is None:
         return False
     w, v = x[2] - x[0], y[2] - y[0]
     return drift(x, y) <= reach and (scale is None or min(w, v) / max(w, v, 1) >= scale)
 
 
+def follows(a: Piece, b: Piece, gap: float, reach: float = 1.5) -> bool:
+    """Whether b starts within gap of a's end, where a's last box was; false without boxes."""
+    return abs(a.end - b.start) <= gap and _goes_on_from(a.last_box, b.first_box, reach)
+
+
+def adjoins(a: Piece, b: Piece, gap: float, reach: float = 1.5, scale: float = 0.5) -> bool:
+    """Whether one tracklet continues the other, whichever is earlier, in time, place and size; overlaps count as no gap."""
+    if max(a.start, b.start) - min(a.end, b.end) > gap:
+        return False
+    x, y = (a.last_box, b.first_box) if a.end <= b.start else (a.first_box, b.last_box)
+    return _goes_on_from(x, y, reach, scale)
+
+
 def _numbered(groups: list[list[Piece]]) -> dict[int, int]:
     """tracklet id -> person from 1: by falling number of detections, then start."""
     groups = sorted(groups, key=lambda g: (-sum(p.n for p in g), min(p.start for p in g)))
@@ -158,7 +166,7 @@ def propagate_labels(pieces: list[Piece], least: float = 0.65, k: int = 8, round
     for p in pieces:
         if p.vector is None:
             for q in usable:
-                if allowed(p.id, label[q.id]) and goes_on(q, p, gap):
+                if allowed(p.id, label[q.id]) and follows(q, p, gap):
                     holders[label[p.id]].discard(p.id)
                     label[p.id] = label[q.id]
                     holders[label[q.id]].add(p.id)
@@ -200,7 +208,7 @@ def agglomerate(pieces: list[Piece], fallback: float = FALLBACK) -> dict[int, in
         groups[at[0]] += groups.pop(at[1])
     for p in orphans:
         for g in groups:
-            if not any(apart(p, q) for q in g) and any(goes_on(q, p, 1000.0, scale=0.5, overlap=True) for q in g):
+            if not any(apart(p, q) for q in g) and any(adjoins(q, p, 1000.0) for q in g):
                 g.append(p)
                 break
         else:
@@ -247,12 +255,26 @@ class Registry:
         if choice is not None and best >= self.least:
             old, seen = self.persons[choice]
             merged = profile([old.weighted, *vectors], [old.quality * old.members, *[piece.quality] * len(vectors)])
-            self.persons[choice] = (merged, [*seen, piece])
+            self.persons[choice] = (merged, [*seen, self._places(piece)])
             return choice
-        self.persons[self.next_id] = (mine, [piece])
+        self.persons[self.next_id] = (mine, [self._places(piece)])
         self.next_id += 1
         return self.next_id - 1
 
+    @staticmethod
+    def _places(piece: Piece) -> Piece:
+        """What conflicts are decided by: a person keeps no vectors but its profile."""
+        return Piece(piece.id, piece.start, piece.end, piece.n, None, frames=piece.frames)
+
+    def all_persons(self) -> list[int]:
+        return list(self.persons)
+
+    def profile_of(self, person: int) -> Profile | None:
+        return self.persons.get(person, (None, []))[0]
+
+    def reset(self) -> None:
+        self.persons, self.next_id = {}, 1
+
 
 def register(pieces: list[Piece], least: float = 0.46) -> dict[int, int]:
     registry = Registry(least)

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from sightline.functions import geometry as G
 
 
+#: Vectors a block of a matrix product.
+BLOCK = 16_384
+
+
 def box_pairs(d: DataFrame, key: list[str]) -> DataFrame:
     """a, b, iou, over_smaller of all pairs of detections that share key (a frame, whose number of faces is small)."""
     a = d.select(*key, F.col("det_id").alias("a"), F.col("box").alias("box_a"))
@@ -32,8 +36,7 @@ def cannot_link(d: DataFrame, video: str, frame: str, track: str, order: str, ap
 def knn(vectors: DataFrame, key: str, vector: str, k: int, blocks: int | None = None) -> DataFrame:
     """key, neighbour, rank, sim: the k nearest of each unit vector by cosine, itself left out, ties to the smaller id. Exact: vectors are dealt into
     blocks, and each pair of blocks is one matrix product in one task, of which only the k best a row leave it."""
-    spark = vectors.sparkSession
-    blocks = blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    blocks = blocks or max(1, -(-vectors.count() // BLOCK))
     dealt = vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     asks = dealt.select(F.col("block").alias("ask"), other.alias("have"), "id", "v", F.lit(True).alias("asking"))
@@ -67,6 +70,12 @@ def knn_edges(neighbours: DataFrame, key: str, conflicts: DataFrame, least: floa
     return pairs.join(conflicts.select("a", "b"), ["a", "b"], "left_anti").select(key, "neighbour", "sim")
 
 
+def strongest(edges: DataFrame, key: str, most: int = 16) -> DataFrame:
+    """The most similar neighbours of each key, ties to the smaller id."""
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("sim"), "neighbour"))
+    return edges.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
 def linkage(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     """a, b, members_a, members_b, sim: mean pairwise cosine of all groups' members, which for dot products is the dot product of the means; so
     one sum a group and component, and no pairs of vectors."""
@@ -114,7 +123,7 @@ def crop_plans(d: DataFrame, key: list[str], frame_width: int, frame_height: int
     from sightline.operators.crops import plan_crop
 
     names = [*key, "det_id"]
-    grouped = d.groupBy(*key).agg(F.collect_list(F.struct("det_id", "box")).alias("faces"))
+    grouped = d.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("det_id", "box"))).alias("faces"))
 
     def run(batches: Iterator):
         import pandas as pd

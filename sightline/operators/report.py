@@ -10,6 +10,10 @@ from sightline.functions import geometry as G
 from sightline.operators import temporal as T
 
 
+#: Colours and tapes that cards cycle through by place.
+COLOURS, TAPES = 5, 6
+
+
 def appearances(points: DataFrame, key: list[str], gap: int, least: int) -> DataFrame:
     """key, index from 0, start_us, end_us, n_det of each appearance of points(key, us, det_id)."""
     rows = T.gap_segments(points.withColumn("end", F.col("us")), key, "us", "end", gap, "det_id")
@@ -28,7 +32,7 @@ def timeline(scored: DataFrame, key: str, gap: int, least: int) -> DataFrame:
 def totals(found: DataFrame, key: str) -> DataFrame:
     """One row: unique_people, total_appearances, and the most seen person, the first on ties."""
     each = found.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return each.agg(F.count(F.lit(1)).alias("unique_people"), F.sum("n").alias("total_appearances"), F.max_by(key, F.struct("n", -F.col(key))).alias("most_seen"))
+    return each.agg(F.count(F.lit(1)).alias("unique_people"), F.sum("n").alias("total_appearances"), F.min_by(key, F.struct(-F.col("n"), F.col(key))).alias("most_seen"))
 
 
 def prominence(tracklets: DataFrame) -> DataFrame:
@@ -50,7 +54,20 @@ def collage(persons: DataFrame, group: str, order: str) -> DataFrame:
     w = W.partitionBy(group).orderBy(order)
     placed = persons.withColumn("slot", (F.row_number().over(w) - 1)).withColumn("of", F.count(F.lit(1)).over(W.partitionBy(group)))
     tilt = F.element_at(F.array(*map(F.lit, G.TILT)), (F.col("slot") % len(G.TILT) + 1).cast("int"))
-    return placed.withColumn("s", G.grid_slot(F.col("slot"), F.col("of"))).select(group, "person_id", "slot", "s.*", tilt.alias("rotation"))
+    colour, tape = F.col("slot") % COLOURS, F.col("slot") % TAPES
+    return placed.withColumn("s", G.grid_slot(F.col("slot"), F.col("of"))).select(group, "person_id", "slot", "s.*", tilt.alias("rotation"), colour.alias("colour"), tape.alias("tape"))
+
+
+def ordered_timeline(entries: DataFrame, group: list[str], key: str) -> DataFrame:
+    """entries(key, index, start_us, ...) with position from 0 in the order they are shown in: by entry, then person, then index."""
+    return entries.withColumn("position", F.row_number().over(W.partitionBy(*group).orderBy("start_us", key, "index")) - 1)
+
+
+def outcomes(videos: DataFrame, detections: DataFrame) -> DataFrame:
+    """video_id, detections, subjects, status of each of videos(video_id): "no_faces" where nothing is detected, else "ok"."""
+    seen = detections.groupBy("video_id").agg(F.count(F.lit(1)).alias("detections"), F.count_distinct("person_id").alias("subjects"))
+    both = videos.select("video_id").distinct().join(seen, "video_id", "left").fillna({"detections": 0, "subjects": 0})
+    return both.withColumn("status", F.when(F.col("detections") == 0, "no_faces").otherwise("ok"))
 
 
 def run_statistics(frames: DataFrame, detections: DataFrame, elapsed_s: float | None = None) -> DataFrame:

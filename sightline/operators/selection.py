@@ -36,3 +36,31 @@ def refine_needed(best: DataFrame) -> DataFrame:
     needs = ~F.col("has_crop") | ~F.col("solo") | ~F.col("clean") | (F.col("sharpness") < 40)
     fallback = F.when(F.col("solo"), 1000.0).otherwise(0.0) + F.when(F.col("clean"), 500.0).otherwise(0.0) + F.least(F.col("sharpness"), F.lit(45.0))
     return best.withColumn("needs_decode", needs).withColumn("acceptable", F.col("solo") & F.col("clean") & (F.col("sharpness") >= 45)).withColumn("fallback_score", fallback)
+
+
+def refine_pick(candidates: DataFrame, key: list[str], most: int = 1) -> DataFrame:
+    """key, det_id, source of the shot that represents each key, from candidates(key, rank, det_id, needs_decode, and of the second look clean, solo, sharpness or null
+    where it failed): the first as it is if it needs no second look ("existing"); else the first of the most best that is clean, solo and sharp enough
+    ("verified"); else the one of highest fallback score, the earlier on ties ("fallback"); else the first ("unverified")."""
+    seen = F.col("clean").isNotNull()
+    good = seen & F.col("clean") & F.col("solo") & (F.col("sharpness") >= 45)
+    score = F.when(F.col("clean"), 1000.0).otherwise(0.0) + F.when(F.col("solo"), 500.0).otherwise(0.0) + F.least(F.col("sharpness"), F.lit(45.0))
+    tried = F.col("rank") <= most
+    shots = candidates.groupBy(*key).agg(
+        F.min_by("det_id", "rank").alias("first"), F.min_by("needs_decode", "rank").alias("needs"),
+        F.min_by(F.when(good & tried, F.col("det_id")), F.when(good & tried, F.col("rank"))).alias("good"),
+        F.max_by("det_id", F.when(seen & tried, F.struct(score.alias("s"), (-F.col("rank")).alias("r")))).alias("fallback"))
+    keep = ~F.col("needs")
+    source = F.when(keep, "existing").when(F.col("good").isNotNull(), "verified").when(F.col("fallback").isNotNull(), "fallback").otherwise("unverified")
+    return shots.select(*key, F.when(keep, F.col("first")).otherwise(F.coalesce("good", "fallback", "first")).alias("det_id"), source.alias("source"))
+
+
+def planned_inferences(scored: DataFrame, key: list[str], n: int, least: float = 0.0) -> DataFrame:
+    """One row: tracks, and how many faces an embedder would be asked for."""
+    each = top_faces(scored, key, n, least).groupBy(*key).agg(F.count(F.lit(1)).alias("faces"))
+    return each.agg(F.count(F.lit(1)).alias("tracks"), F.coalesce(F.sum("faces"), F.lit(0)).alias("inferences"))
+
+
+def usable(detections: DataFrame, least: float) -> DataFrame:
+    """Detections with an embedding and of at least this recognition quality."""
+    return detections.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & (F.col("recognition_quality") >= least))

@@ -108,3 +108,15 @@ def scenes(cuts: DataFrame, totals: DataFrame, key: str, at: str, total: str) ->
     w = W.partitionBy(key).orderBy("start")
     out = bounds.join(totals, key).where((F.col("start") < F.col(total)) | (F.col("start") == 0)).select(key, total, "start", F.lead("start").over(w).alias("next"), F.row_number().over(w).alias("scene_id"), F.count(F.lit(1)).over(W.partitionBy(key)).alias("n"))
     return out.select(key, "scene_id", "start", F.coalesce("next", total).alias("end"), F.when(F.col("n") == 1, 1.0).otherwise(0.95).alias("confidence"))
+
+
+def recent(rows: DataFrame, key: list[str], order: list[str], value: str, most: int = 200) -> DataFrame:
+    """rows with recent, the values of the last most rows of each key up to this one, the oldest first."""
+    return rows.withColumn("recent", F.collect_list(value).over(W.partitionBy(*key).orderBy(*order).rowsBetween(1 - most, 0)))
+
+
+def carried_faces(frames: DataFrame, detections: DataFrame, key: list[str]) -> DataFrame:
+    """detections of all frames(key, frame_index, source_frame): a still frame has the faces of its source frame again, with its own index and carried set."""
+    at = frames.select(*key, F.col("frame_index").alias("shown_at"), F.col("source_frame").alias("frame_index"))
+    found = at.join(detections, [*key, "frame_index"]).withColumn("carried", F.col("shown_at") != F.col("frame_index"))
+    return found.drop("frame_index").withColumnRenamed("shown_at", "frame_index")

@@ -1,12 +1,16 @@
-"""Trackers, whose steps depend on order: one Python function a video, over its bounded number of sampled frames."""
+"""Trackers, whose steps depend on order: one Python function a stretch of a video that no track outlives."""
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 Rect = tuple[float, float, float, float]
 
@@ -80,11 +84,38 @@ class Face:
     tracking_id: int | None = None
 
 
+#: Vectors that a track remembers, of which the last one is compared.
+MEMORY = 8
+
+
 @dataclass
 class Track:
     id: int
     filter: KalmanBox
-    faces: list[Face] = field(default_factory=list)
+    memory: deque = field(default_factory=lambda: deque(maxlen=MEMORY))
+    n: int = 0
+
+    def see(self, face: Face) -> None:
+        self.n += 1
+        if face.embedding:
+            self.memory.append(face.embedding)
+
+
+def _grid(rects: list[Rect]) -> np.ndarray:
+    return np.array(rects, float).reshape(-1, 4)
+
+
+def overlaps(a: list[Rect], b: list[Rect]) -> tuple[np.ndarray, np.ndarray]:
+    """iou() and drift() of each of a with each of b."""
+    x, y = _grid(a)[:, None], _grid(b)[None]
+    w = np.minimum(x[..., 2], y[..., 2]) - np.maximum(x[..., 0], y[..., 0])
+    h = np.minimum(x[..., 3], y[..., 3]) - np.maximum(x[..., 1], y[..., 1])
+    inter = np.where((w > 0) & (h > 0), w * h, 0.0)
+    area = lambda r: (r[..., 2] - r[..., 0]) * (r[..., 3] - r[..., 1])
+    union = area(x) + area(y) - inter
+    shared = np.where((inter > 0) & (union > 0), np.minimum(1.0, inter / np.where(union > 0, union, 1.0)), 0.0)
+    away = np.hypot((x[..., 0] + x[..., 2] - y[..., 0] - y[..., 2]) / 2, (x[..., 1] + x[..., 3] - y[..., 1] - y[..., 3]) / 2)
+    return shared, away / np.maximum(np.maximum(x[..., 2] - x[..., 0], y[..., 2] - y[..., 0]), 1.0)
 
 
 def _greedy(scores: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
@@ -111,22 +142,24 @@ class Tracker:
             ended, self.active, self.epoch = self.active, [], epoch
         boxes = [f.box or (0.0, 0.0, 100.0, 100.0) for f in faces]
         predicted = [t.filter.predict() for t in self.active]
-        scores = []
-        for i, (track, p) in enumerate(zip(self.active, predicted, strict=True)):
-            memory = next((f.embedding for f in reversed(track.faces) if f.embedding), None)
-            for j, b in enumerate(boxes):
-                look = cosine(memory, faces[j].embedding)
-                score = 0.5 * (0.5 if look is None else look) + 0.3 * iou(p, b) + 0.2 * max(0.0, min(1.0, 1 - drift(p, b) / 1.5))
-                if score >= self.least:
-                    scores.append((score, i, j))
         ids = [0] * len(faces)
-        for i, j in _greedy(scores):
-            self.active[i].filter.update(boxes[j])
-            self.active[i].faces.append(faces[j])
-            ids[j] = self.active[i].id
+        if predicted and boxes:
+            shared, away = overlaps(predicted, boxes)
+            look = np.full(shared.shape, 0.5)
+            for i, track in enumerate(self.active):
+                for j, face in enumerate(faces if track.memory else []):
+                    seen = cosine(track.memory[-1], face.embedding)
+                    look[i, j] = 0.5 if seen is None else seen
+            score = 0.5 * look + 0.3 * shared + 0.2 * (1 - away / 1.5).clip(0.0, 1.0)
+            at = np.argwhere(score >= self.least)
+            for i, j in _greedy([(score[i, j], i, j) for i, j in at.tolist()]):
+                self.active[i].filter.update(boxes[j])
+                self.active[i].see(faces[j])
+                ids[j] = self.active[i].id
         for j, b in enumerate(boxes):
             if not ids[j]:
-                self.active.append(Track(self.next_id, KalmanBox(b), [faces[j]]))
+                self.active.append(Track(self.next_id, KalmanBox(b)))
+                self.active[-1].see(faces[j])
                 ids[j] = self.next_id
                 self.next_id += 1
         ended += [t for t in self.active if t.filter.since > self.max_age]
@@ -188,19 +221,39 @@ def build_tracklets(faces: list[Face], max_gap: int = 2) -> dict[int, int]:
     return {f.det_id: k for k, t in enumerate(ordered) for f in t}
 
 
-def by_video(d: DataFrame, assign: Callable[[list[Face]], dict[int, int]], name: str) -> DataFrame:
-    """video_id, det_id and the id that assign gives, one call a video; d(video_id, det_id, frame_index, box)."""
-
-    def run(pdf):
-        has_epoch = "epoch" in pdf
-        faces = [Face(int(r.det_id), int(r.frame_index), None if r.box is None else tuple(float(r.box[c]) for c in ("left", "top", "right", "bottom")), int(r.epoch) if has_epoch else 0) for r in pdf.itertuples()]
-        ids = assign(faces)
+def faces_of(pdf) -> list[Face]:
+    """Rows of detections as faces; epoch, embedding and tracking_id count where there are such columns."""
+    n = len(pdf)
+    boxes = [None if b is None else (float(b["left"]), float(b["top"]), float(b["right"]), float(b["bottom"])) for b in pdf["box"]]
+    column = lambda name, otherwise: pdf[name].tolist() if name in pdf else [otherwise] * n
+    vectors = [None if v is None else [float(x) for x in v] for v in column("embedding", None)]
+    marks = [None if m is None or m != m else int(m) for m in column("tracking_id", None)]
+    return [Face(int(i), int(f), b, 0 if e is None or e != e else int(e), v, m) for i, f, b, e, v, m in zip(pdf["det_id"].tolist(), pdf["frame_index"].tolist(), boxes, column("epoch", 0), vectors, marks, strict=True)]
+
+
+def by_video(d: DataFrame, assign: Callable[[list[Face]], dict[int, int]], name: str, apart: int = 6, first: int = 1) -> DataFrame:
+    """video_id, det_id and the id that assign gives, counted from first by video; d(video_id, det_id, frame_index, box) and, if it has them, epoch,
+    embedding and tracking_id. No track outlives an epoch or a pause of apart frames, so each stretch between these is a call of its own, and ids
+    are counted on from one stretch to the next."""
+    columns = [c for c in ("video_id", "det_id", "frame_index", "box", "epoch", "embedding", "tracking_id") if c in d.columns]
+    w = W.partitionBy("video_id").orderBy("frame_index")
+    breaks = F.col("frame_index") - F.lag("frame_index").over(w) > apart
+    if "epoch" in columns:
+        breaks = breaks | (F.coalesce("epoch", F.lit(0)) != F.coalesce(F.lag("epoch").over(w), F.lit(0)))
+    frames = d.groupBy("video_id", "frame_index").agg(F.min("epoch").alias("epoch")) if "epoch" in columns else d.select("video_id", "frame_index").distinct()
+    pieces = frames.withColumn("starts", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn("piece", F.sum("starts").over(w)).select("video_id", "frame_index", "piece")
+
+    def run(key, pdf):
+        ids = assign(faces_of(pdf))
         out = pdf[["video_id", "det_id"]].copy()
+        out["piece"] = int(key[1])
         out[name] = [ids[int(i)] for i in out.det_id]
         return out
 
-    columns = [c for c in ("video_id", "det_id", "frame_index", "box", "epoch") if c in d.columns]
-    return d.select(*columns).groupBy("video_id").applyInPandas(run, f"video_id long, det_id long, {name} int")
+    found = d.select(*columns).join(pieces, ["video_id", "frame_index"]).groupBy("video_id", "piece").applyInPandas(run, f"video_id long, det_id long, piece long, {name} int")
+    sizes = found.groupBy("video_id", "piece").agg((F.max(name) + 1 - first).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("video_id").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return found.join(sizes.select("video_id", "piece", before.alias("before")), ["video_id", "piece"]).select("video_id", "det_id", (F.col(name) + F.col("before")).cast("int").alias(name))
 
 
 def kalman_path(d: DataFrame) -> DataFrame:
@@ -208,10 +261,11 @@ def kalman_path(d: DataFrame) -> DataFrame:
 
     def run(pdf):
         out, now = [], None
-        for r in pdf.sort_values(["us", "det_id"]).itertuples():
-            b = tuple(float(r.box[c]) for c in ("left", "top", "right", "bottom"))
+        pdf = pdf.sort_values(["us", "det_id"])
+        for v, person, i, box in zip(pdf["video_id"], pdf["person_id"], pdf["det_id"], pdf["box"], strict=True):
+            b = (float(box["left"]), float(box["top"]), float(box["right"]), float(box["bottom"]))
             p = now.predict() if now else b
-            out.append((r.video_id, r.person_id, r.det_id, (p[0] + p[2]) / 2, (p[1] + p[3]) / 2))
+            out.append((v, person, i, (p[0] + p[2]) / 2, (p[1] + p[3]) / 2))
             if now is None:
                 now = KalmanBox(b)
             else:

@@ -49,7 +49,7 @@ SEGMENTS = (
     + f"g3 AS (SELECT *, max(CASE WHEN end_us - start_us >= {LEAST} THEN 1 ELSE 0 END) OVER (PARTITION BY person_id) AS any_long, row_number() OVER (PARTITION BY person_id ORDER BY end_us - start_us DESC, seg) AS rn FROM g2), "
     + f"g AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY seg) - 1 AS idx FROM g3 WHERE end_us - start_us >= {LEAST} OR (any_long = 0 AND rn = 1)), "
 )
-TRACKLETS = "tr AS (SELECT video_id, person_id, person_id * 1000 + seg AS id, start_us, end_us, n_det, fl, ft, ll, lt FROM g2), "
+TRACKLETS = "tr AS (SELECT video_id, person_id, person_id * 1048576 + seg AS id, start_us, end_us, n_det, fl, ft, ll, lt FROM g2), "
 IDENTITIES = "i AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, (vec_id * 31 % 97) / 96.0::DOUBLE AS q, label AS cohort, vec_id % 25 AS co FROM embeddings), "
 IOU = "CASE WHEN least(a.l, b.l) + 120 > greatest(a.l, b.l) AND least(a.t, b.t) + 160 > greatest(a.t, b.t) THEN (least(a.l, b.l) + 120 - greatest(a.l, b.l)) * (least(a.t, b.t) + 160 - greatest(a.t, b.t)) ELSE 0 END"
 PAIRS = f"pr AS (SELECT a.video_id, a.frame_index, a.det_id AS a, b.det_id AS b, a.person_id AS pa, b.person_id AS pb, a.l AS al, a.t AS ta, b.l AS bl, b.t AS tb, ({IOU})::DOUBLE AS inter FROM s a JOIN s b ON a.video_id = b.video_id AND a.frame_index = b.frame_index AND a.det_id < b.det_id), "
@@ -114,5 +114,88 @@ ORACLE = {
         SELECT o.video_id, o.id, coalesce(nr.host, o.id) AS host FROM tr o LEFT JOIN nr ON nr.video_id = o.video_id AND nr.id = o.id AND r = 1 WHERE o.n_det = 1"""),
     "q_captions": _sql(SEGMENTS, "SELECT person_id, 'Person ' || person_id AS label, n || CASE WHEN n = 1 THEN ' appearance' ELSE ' appearances' END AS caption, 'x' || n AS short_caption, lpad(n::VARCHAR, greatest(2, length(n::VARCHAR))::INT, '0') AS padded FROM (SELECT person_id, count(*) AS n FROM g GROUP BY person_id)"),
     "q_run_statistics": _sql(CHANGES, ", x AS (SELECT delta < 0.035 AND cut IS NULL AND p_frame_index IS NOT NULL AS is_static FROM ru) SELECT (SELECT count(*) FROM x) AS frames, (SELECT sum(is_static::INT) FROM x)::BIGINT AS static_frames, count(*) AS detections, count(DISTINCT user_id) AS subjects, round((max(us) - min(us)) / 1e6, 3) AS duration_s FROM ev"),
-    "q_collage_layout": _sql(SEGMENTS + TRACKLETS + "ps AS (SELECT video_id, person_id, row_number() OVER (PARTITION BY video_id ORDER BY person_id) - 1 AS slot, count(*) OVER (PARTITION BY video_id) AS n FROM (SELECT DISTINCT video_id, person_id FROM tr)), k0 AS (SELECT *, CASE WHEN n = 1 THEN 1 WHEN n <= 4 THEN 2 WHEN n <= 9 THEN 3 ELSE 4 END AS cols FROM ps), k1 AS (SELECT *, ceil(n / cols::DOUBLE) AS rws, CASE WHEN cols >= 4 THEN 40.0::DOUBLE ELSE 60.0 END AS mg, CASE WHEN cols >= 4 THEN 14.0::DOUBLE ELSE 22.0 END AS gt FROM k0), k2 AS (SELECT *, (1080.0 - mg * 2 - gt * (cols - 1)) / cols AS cw, (1420.0 - gt * (rws - 1)) / rws AS chh FROM k1), k3 AS (SELECT *, least(least(cw, chh * 0.78) / 0.78, chh) AS h FROM k2), k4 AS (SELECT *, least(least(cw, chh * 0.78), h * 0.78) AS w, floor(slot / cols::DOUBLE) AS rw FROM k3), k5 AS (SELECT *, least(cols, n - rw * cols) AS ir FROM k4), ", "SELECT video_id, person_id, slot::INT AS slot, round((1080.0 - (ir * w + gt * (ir - 1))) / 2 + (slot % cols) * (w + gt) + w / 2, 4) AS cx, round(370.0 + (1420.0 - (rws * h + gt * (rws - 1))) / 2 + rw * (h + gt) + h / 2, 4) AS cy, round(w, 4) AS w, round(h, 4) AS h, ([-4.5, 3.8, -2.6, 4.2, -3.4, 2.9, -4.0, 3.2])[slot % 8 + 1]::DOUBLE AS rotation FROM k5"),
+    "q_collage_layout": _sql(SEGMENTS + TRACKLETS + "ps AS (SELECT video_id, person_id, row_number() OVER (PARTITION BY video_id ORDER BY person_id) - 1 AS slot, count(*) OVER (PARTITION BY video_id) AS n FROM (SELECT DISTINCT video_id, person_id FROM tr)), k0 AS (SELECT *, CASE WHEN n = 1 THEN 1 WHEN n <= 4 THEN 2 WHEN n <= 9 THEN 3 ELSE 4 END AS cols FROM ps), k1 AS (SELECT *, ceil(n / cols::DOUBLE) AS rws, CASE WHEN cols >= 4 THEN 40.0::DOUBLE ELSE 60.0 END AS mg, CASE WHEN cols >= 4 THEN 14.0::DOUBLE ELSE 22.0 END AS gt FROM k0), k2 AS (SELECT *, (1080.0 - mg * 2 - gt * (cols - 1)) / cols AS cw, (1420.0 - gt * (rws - 1)) / rws AS chh FROM k1), k3 AS (SELECT *, least(least(cw, chh * 0.78) / 0.78, chh) AS h FROM k2), k4 AS (SELECT *, least(least(cw, chh * 0.78), h * 0.78) AS w, floor(slot / cols::DOUBLE) AS rw FROM k3), k5 AS (SELECT *, least(cols, n - rw * cols) AS ir FROM k4), ", "SELECT video_id, person_id, slot::INT AS slot, round((1080.0 - (ir * w + gt * (ir - 1))) / 2 + (slot % cols) * (w + gt) + w / 2, 4) AS cx, round(370.0 + (1420.0 - (rws * h + gt * (rws - 1))) / 2 + rw * (h + gt) + h / 2, 4) AS cy, round(w, 4) AS w, round(h, 4) AS h, ([-4.5, 3.8, -2.6, 4.2, -3.4, 2.9, -4.0, 3.2])[slot % 8 + 1]::DOUBLE AS rotation, (slot % 5)::INT AS colour, (slot % 6)::INT AS tape FROM k5"),
+}
+
+FACES = (
+    EVENTS + ", f0 AS (SELECT event_id AS e, user_id % 10 AS video_id, user_id AS person_id, event_id AS det_id, (us - 1704067200000000) // 3600000000 AS frame_index, us, value * 3.0 AS sharpness, "
+    + "(event_id * 37) % 1300 - 150 AS l, (event_id * 53) % 2100 - 150 AS t, 30 + (event_id * 7) % 300 AS w, 40 + (event_id * 11) % 380 AS h FROM ev), f AS (SELECT *, l + w AS r, t + h AS b FROM f0), "
+)
+_INTER = "(greatest(0, least(a.r, b.r) - greatest(a.l, b.l)) * greatest(0, least(a.b, b.b) - greatest(a.t, b.t)))::DOUBLE"
+FACE_PAIRS = FACES + f"fp AS (SELECT a.det_id AS a, b.det_id AS b, {_INTER} AS inter, (a.w * a.h + b.w * b.h)::DOUBLE - {_INTER} AS uni, least(a.w, b.w)::DOUBLE / greatest(a.w, b.w, 1) AS scale, sqrt(((a.l + a.r - b.l - b.r) / 2.0::DOUBLE) ^ 2 + ((a.t + a.b - b.t - b.b) / 2.0::DOUBLE) ^ 2) / greatest(a.w, b.w, 1) AS drift, a.person_id % 3 = b.person_id % 3 AS same, ((a.det_id + b.det_id) * 41 % 101) / 100.0::DOUBLE AS look FROM f a JOIN f b ON a.video_id = b.video_id AND a.frame_index = b.frame_index AND a.det_id < b.det_id), fq AS (SELECT *, inter / uni AS iou FROM fp), "
+
+
+def _suppressed(table: str) -> str:
+    """nm(video_id, frame_index, det_id, keep): one box of a frame after another, by falling area, against those kept before."""
+    box = "{'l': k.l, 't': k.t, 'r': k.r, 'b': k.b}"
+    clash = "len(list_filter(nm.kept, lambda y: (greatest(0, least(y.r, k.r) - greatest(y.l, k.l)) * greatest(0, least(y.b, k.b) - greatest(y.t, k.t)))::DOUBLE / least((y.r - y.l) * (y.b - y.t), (k.r - k.l) * (k.b - k.t)) > 0.40)) = 0"
+    return (
+        f"rk AS (SELECT video_id, frame_index, det_id, l, t, r, b, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY (r - l) * (b - t) DESC, det_id) AS n FROM {table}), "
+        f"nm AS (SELECT k.video_id, k.frame_index, k.det_id, k.n, [{box}] AS kept, true AS keep FROM rk k WHERE n = 1 UNION ALL "
+        f"SELECT k.video_id, k.frame_index, k.det_id, k.n, CASE WHEN {clash} THEN list_append(nm.kept, {box}) ELSE nm.kept END, {clash} FROM nm JOIN rk k ON k.video_id = nm.video_id AND k.frame_index = nm.frame_index AND k.n = nm.n + 1), "
+    )
+
+
+_MEETS = "c.cl < o.r AND o.l < c.cr AND c.ct < o.b AND o.t < c.cb"
+_hold = lambda l, t, r, b: f"CASE WHEN {r} > {l} AND {b} > {t} AND {l} <= c.gl AND {t} <= c.gt AND {r} >= c.gr AND {b} >= c.gb THEN ({r} - {l}) * ({b} - {t}) ELSE -1 END"  # noqa: E731, E741
+_PLAN = (
+    FACES + "q0 AS (SELECT *, floor(0.18 * w + 0.5)::BIGINT AS dx, floor(0.18 * h + 0.5)::BIGINT AS dy, (l + r) / 2.0::DOUBLE AS cx, (t + b) / 2.0::DOUBLE AS cy, least(2.6::DOUBLE * w, 1080) AS cw FROM f), "
+    + "q1 AS (SELECT *, cw / 0.8::DOUBLE AS ch, greatest(0, l - dx) AS gl, greatest(0, t - dy) AS gt, least(1080, r + dx) AS gr, least(1920, b + dy) AS gb FROM q0), "
+    + "q2 AS (SELECT *, floor(cw + 0.5)::BIGINT AS iw, floor(ch + 0.5)::BIGINT AS ih FROM q1), "
+    + "q3 AS (SELECT *, least(greatest(floor(cx - cw / 2 + 0.5)::BIGINT, 0), greatest(0, 1080 - iw)) AS cl, least(greatest(floor(cy - 0.42::DOUBLE * ch + 0.5)::BIGINT, 0), greatest(0, 1920 - ih)) AS ct FROM q2), "
+    + "ot AS (SELECT x.video_id, x.frame_index, x.det_id, y.l, y.t, y.r, y.b, row_number() OVER (PARTITION BY x.video_id, x.frame_index, x.det_id ORDER BY (y.r - y.l) * (y.b - y.t) DESC, y.det_id) AS ka, row_number() OVER (PARTITION BY x.video_id, x.frame_index, x.det_id ORDER BY y.det_id) AS kb FROM f x JOIN f y ON x.video_id = y.video_id AND x.frame_index = y.frame_index AND (x.l, x.t, x.r, x.b) <> (y.l, y.t, y.r, y.b)), "
+    + "c1 AS (SELECT video_id, frame_index, det_id, 0::BIGINT AS k, gl, gt, gr, gb, cl, ct, cl + iw AS cr, ct + ih AS cb FROM q3 UNION ALL SELECT video_id, frame_index, det_id, k, gl, gt, gr, gb, "
+    + "CASE WHEN m >= 0 AND a1 <> m AND a2 = m THEN nr ELSE cl END, CASE WHEN m >= 0 AND a1 <> m AND a2 <> m AND a3 <> m THEN nb ELSE ct END, CASE WHEN m >= 0 AND a1 = m THEN nl ELSE cr END, CASE WHEN m >= 0 AND a1 <> m AND a2 <> m AND a3 = m THEN nt ELSE cb END "
+    + "FROM (SELECT *, CASE WHEN meets THEN greatest(a1, a2, a3, a4) ELSE -1 END AS m FROM (SELECT c.video_id, c.frame_index, c.det_id, o.ka AS k, c.gl, c.gt, c.gr, c.gb, c.cl, c.ct, c.cr, c.cb, o.l AS nl, o.t AS nt, o.r AS nr, o.b AS nb, "
+    + f"{_MEETS} AS meets, {_hold('c.cl', 'c.ct', 'o.l', 'c.cb')} AS a1, {_hold('o.r', 'c.ct', 'c.cr', 'c.cb')} AS a2, {_hold('c.cl', 'c.ct', 'c.cr', 'o.t')} AS a3, {_hold('c.cl', 'o.b', 'c.cr', 'c.cb')} AS a4 "
+    + "FROM c1 c JOIN ot o ON o.video_id = c.video_id AND o.frame_index = c.frame_index AND o.det_id = c.det_id AND o.ka = c.k + 1))), "
+    + "e1 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY video_id, frame_index, det_id ORDER BY k DESC) = 1), "
+    + "c2 AS (SELECT e1.video_id, e1.frame_index, e1.det_id, 0::BIGINT AS k, e1.gl, e1.gr, q3.cx, e1.cl, e1.ct, e1.cr, e1.cb FROM e1 JOIN q3 USING (video_id, frame_index, det_id) UNION ALL "
+    + f"SELECT c.video_id, c.frame_index, c.det_id, o.kb, c.gl, c.gr, c.cx, CASE WHEN {_MEETS} AND (o.l + o.r) / 2.0::DOUBLE < c.cx AND o.r <= c.gl THEN greatest(c.cl, o.r) ELSE c.cl END, c.ct, "
+    + f"CASE WHEN {_MEETS} AND (o.l + o.r) / 2.0::DOUBLE >= c.cx AND o.l >= c.gr THEN least(c.cr, o.l) ELSE c.cr END, c.cb FROM c2 c JOIN ot o ON o.video_id = c.video_id AND o.frame_index = c.frame_index AND o.det_id = c.det_id AND o.kb = c.k + 1), "
+    + "e2 AS (SELECT * FROM c2 QUALIFY row_number() OVER (PARTITION BY video_id, frame_index, det_id ORDER BY k DESC) = 1), "
+    + "e3 AS (SELECT e2.video_id, e2.frame_index, e2.det_id, q3.l, q3.r, q3.h, e2.cx, greatest(0, cl) AS cl0, greatest(0, e2.ct) AS ct, least(1080, cr) AS cr0, least(1920, cb) AS cb FROM (SELECT * EXCLUDE (gl, gr) FROM e2) e2 JOIN (SELECT video_id, frame_index, det_id, l, r, h FROM q3) q3 USING (video_id, frame_index, det_id)), "
+    + "e4 AS (SELECT *, cx < 540 AND (r <= 540 OR cx < 0.85::DOUBLE * 540) AS lefty, cx > 540 AND (l >= 540 OR cx > 1.15::DOUBLE * 540) AS righty FROM e3), "
+    + "c AS (SELECT video_id, frame_index, det_id, h, CASE WHEN NOT lefty AND righty AND greatest(cl0, 540) < r THEN greatest(cl0, 540) ELSE cl0 END AS cl, ct, CASE WHEN lefty AND least(cr0, 540) > l THEN least(cr0, 540) ELSE cr0 END AS cr, cb FROM e4), "
+    + f"cr AS (SELECT c.video_id, c.frame_index, c.det_id, bool_or({_MEETS}) AS hit FROM c JOIN ot o USING (video_id, frame_index, det_id) GROUP BY 1, 2, 3), "
+)
+
+PIXELS = "px AS (SELECT vec_id, label::BIGINT AS video_id, i, i % 8 AS x, i // 8 AS y, floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, embedding[i + 1]::DOUBLE + 0.5::DOUBLE)) * 255)::INT AS r, floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, embedding[(i * 7 + 3) % 64 + 1]::DOUBLE + 0.5::DOUBLE)) * 255)::INT AS g, floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, embedding[(i * 5 + 1) % 64 + 1]::DOUBLE + 0.5::DOUBLE)) * 255)::INT AS b FROM (SELECT vec_id, label, embedding, unnest(range(64)) AS i FROM embeddings)), ly AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS v FROM px), "
+_NEAR = "nb AS (SELECT vec_id, x, y, v, " + ", ".join(f"lag(v, {k}) OVER w AS m{k}, lead(v, {k}) OVER w AS p{k}" for k in (1, 7, 8, 9)) + " FROM ly WINDOW w AS (PARTITION BY vec_id ORDER BY i)), "
+_HSV = "hs AS (SELECT vec_id, greatest(r, g, b) / 255.0::DOUBLE AS hi, (greatest(r, g, b) - least(r, g, b)) / 255.0::DOUBLE AS d, r / 255.0::DOUBLE AS rr, g / 255.0::DOUBLE AS gg, b / 255.0::DOUBLE AS bb FROM px), h1 AS (SELECT vec_id, hi, d, CASE WHEN d = 0 THEN 0.0::DOUBLE WHEN hi = rr THEN (gg - bb) / d + CASE WHEN gg < bb THEN 6 ELSE 0 END WHEN hi = gg THEN (bb - rr) / d + 2 ELSE (rr - gg) / d + 4 END AS h6 FROM hs), "
+
+ORACLE |= {
+    "q_nms": _sql(DETECTIONS + "bx AS (SELECT video_id, frame_index, det_id, l, t, l + 120 AS r, t + 160 AS b FROM s), " + _suppressed("bx"), "SELECT video_id, frame_index, det_id FROM nm WHERE keep"),
+    "q_face_nms": _sql(FACES + _suppressed("f"), "SELECT video_id, frame_index, det_id FROM nm WHERE keep"),
+    "q_kalman": _sql(DETECTIONS + """o AS (SELECT video_id, person_id, det_id, l + 60.0::DOUBLE AS mx, t + 80.0::DOUBLE AS my, row_number() OVER (PARTITION BY video_id, person_id ORDER BY us, det_id) AS n FROM s),
+        kf AS (SELECT video_id, person_id, det_id, n, mx AS ox, my AS oy, mx AS x, 0.0::DOUBLE AS vx, my AS y, 0.0::DOUBLE AS vy, 10.0::DOUBLE AS p, 100.0::DOUBLE AS pv FROM o WHERE n = 1
+        UNION ALL SELECT video_id, person_id, det_id, n, px, py, x, vx + 0.5 * g * (mx - x), y, vy + 0.5 * g * (my - y), p * (1 - g), pv FROM (SELECT *, px + g * (mx - px) AS x, py + g * (my - py) AS y FROM
+        (SELECT o.video_id, o.person_id, o.det_id, o.n, o.mx, o.my, k.x + k.vx AS px, k.y + k.vy AS py, k.vx, k.vy, k.p + (1.0 + k.pv) AS p, k.pv + 0.01::DOUBLE AS pv, (k.p + (1.0 + k.pv)) / (k.p + (1.0 + k.pv) + 1.0) AS g
+        FROM kf k JOIN o ON o.video_id = k.video_id AND o.person_id = k.person_id AND o.n = k.n + 1))), """, "SELECT video_id, person_id, det_id, round(ox, 4) AS predicted_x, round(oy, 4) AS predicted_y FROM kf"),
+    "q_crop_plan": _sql(_PLAN, 'SELECT video_id, frame_index, det_id, cl::INT AS "left", ct::INT AS top, c.cr::INT AS "right", cb::INT AS bottom, NOT coalesce(hit, false) AS is_clean, CASE WHEN cb > ct THEN round(h::DOUBLE / (cb - ct), 6) ELSE 1.0 END AS coverage FROM c LEFT JOIN cr USING (video_id, frame_index, det_id)'),
+    "q_face_gates": _sql(FACES, "SELECT det_id, count(*) OVER (PARTITION BY video_id, frame_index) AS on_screen, w >= 0.045 * 1080 AS wide, sharpness >= 25 AS sharp, l >= 0 AND t >= 0 AND r <= 1080 AND b <= 1920 AS inside FROM f WHERE l < 1080 AND r > 0 AND t < 1920 AND b > 0"),
+    "q_face_quality": _sql(FACES, "SELECT det_id, round(least(1.0, greatest(0.0, 0.35 * sharpness / (sharpness + 150.0) + 0.30 * greatest(0.0, least(1.0, 1 - (0.5 * abs((e * 13) % 121 - 60) / 45.0::DOUBLE + 0.3 * abs((e * 31) % 91 - 45) / 35.0::DOUBLE + 0.2 * abs((e * 17) % 81 - 40) / 30.0::DOUBLE))) + 0.20 * least(1.0, least(w, h) / 112.0::DOUBLE) + 0.15 * (CASE WHEN l >= 16.2 AND t >= 28.8 AND r <= 1063.8 AND b <= 1891.2 THEN 0.6 ELSE 0.1 END + 0.4 * (e % 6) / 5.0::DOUBLE))), 6) AS quality FROM f"),
+    "q_face_pairs": _sql(FACE_PAIRS, "SELECT a, b, round(CASE WHEN scale >= 0.55 AND (iou >= 0.3 OR drift <= 1.1 OR (same AND iou > 0.1)) AND look >= 0.25 THEN iou + 0.4 * greatest(0.0, least(1.0, 1 - drift / 1.1)) + CASE WHEN same THEN 0.5 ELSE 0.0 END + 0.25 * look ELSE 0.0 END, 6) AS score, round(0.5 * look + 0.3 * iou + 0.2 * greatest(0.0, least(1.0, 1 - drift / 1.5)), 6) AS association FROM fq"),
+    "q_scaled_boxes": _sql(FACES + "sc AS (SELECT *, 0.5::DOUBLE + (e % 7) / 4.0::DOUBLE AS s FROM f), ", 'SELECT det_id, least(greatest(trunc(l * s)::INT, 0), 1080)::INT AS "left", least(greatest(trunc(t * s)::INT, 0), 1920)::INT AS top, least(greatest(trunc(r * s)::INT, 0), 1080)::INT AS "right", least(greatest(trunc(b * s)::INT, 0), 1920)::INT AS bottom FROM sc'),
+    "q_fill_crops": _sql(FACES + "z AS (SELECT det_id, w::DOUBLE AS w, h::DOUBLE AS h, CASE WHEN w::DOUBLE / h > 0.75 THEN h * 0.75::DOUBLE ELSE w END AS cw, CASE WHEN w::DOUBLE / h > 0.75 THEN h ELSE w / 0.75::DOUBLE END AS ch FROM f), ", 'SELECT det_id, round((w - cw) / 2, 6) AS "left", round((h - ch) * 0.35, 6) AS top, round((w + cw) / 2, 6) AS "right", round((h - ch) * 0.35 + ch, 6) AS bottom FROM z'),
+    "q_roll": _sql(FACES + "z AS (SELECT det_id, degrees(atan2(((e * 7) % 120 - (e * 11) % 100)::DOUBLE, ((e * 3) % 200 - (e * 5) % 90)::DOUBLE)) AS a FROM f), ", "SELECT det_id, CASE WHEN abs(a) <= 35 THEN round(a, 6) ELSE 0.0 END AS roll FROM z"),
+    "q_frame_sizes": _sql(FACES + "z AS (SELECT det_id, e % 4 IN (1, 3) AS turned, CASE WHEN e % 11 <> 0 THEN 320 + e % 1700 ELSE 1080 END AS w0, CASE WHEN e % 13 <> 0 THEN 240 + (e * 3) % 2300 ELSE 1920 END AS h0 FROM f), z1 AS (SELECT det_id, CASE WHEN turned THEN h0 ELSE w0 END AS dw, CASE WHEN turned THEN w0 ELSE h0 END AS dh FROM z), z2 AS (SELECT *, least(1.0::DOUBLE, 480.0::DOUBLE / greatest(dw, dh)) AS s FROM z1), ", "SELECT det_id, dw::INT AS display_width, dh::INT AS display_height, greatest(16, (floor(dw * s / 2) * 2)::INT)::INT AS width, greatest(16, (floor(dh * s / 2) * 2)::INT)::INT AS height FROM z2"),
+    "q_best_overlap": _sql(FACES + "mv AS (SELECT video_id, frame_index, det_id + 1000000000 AS det_id, l + e % 5 * 15 AS l, t + e % 3 * 20 AS t, r + e % 7 * 12 AS r, b + e % 4 * 10 AS b FROM f), " + f"pr AS (SELECT a.det_id, b.det_id AS match, {_INTER} AS inter, ((a.r - a.l) * (a.b - a.t) + (b.r - b.l) * (b.b - b.t))::DOUBLE - {_INTER} AS uni FROM f a JOIN mv b USING (video_id, frame_index)), ", "SELECT det_id, match, round(inter / uni, 6) AS iou FROM pr WHERE inter / uni >= 0.3 QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY inter / uni DESC, match) = 1"),
+    "q_refine_pick": _sql(DETECTIONS + """p1 AS (SELECT *, max(has_crop::INT) OVER (PARTITION BY person_id) AS any_crop FROM s), p2 AS (SELECT *, max(portrait::INT) OVER (PARTITION BY person_id) AS any_p FROM p1 WHERE has_crop OR any_crop = 0),
+        rk AS (SELECT person_id, det_id, row_number() OVER (PARTITION BY person_id ORDER BY portrait DESC, clean DESC, visible DESC, (sharpness >= 40) DESC, round(rq, 9) DESC, round(frontality, 9) DESC, round(sharpness, 9) DESC, det_id) AS rank, NOT has_crop OR NOT solo OR NOT clean OR sharpness < 40 AS needs FROM p2 WHERE portrait OR any_p = 0),
+        sk AS (SELECT *, det_id % 9 <> 0 AS seen, det_id % 4 <> 0 AS c2, det_id % 3 = 0 AS s2, (det_id * 43 % 100)::DOUBLE AS h2 FROM rk),
+        sc AS (SELECT *, seen AND c2 AND s2 AND h2 >= 45 AS good, CASE WHEN c2 THEN 1000 ELSE 0 END + CASE WHEN s2 THEN 500 ELSE 0 END + least(h2, 45) AS score FROM sk WHERE rank <= 3),
+        ag AS (SELECT person_id, arg_min(det_id, rank) AS first, arg_min(needs, rank) AS needs, arg_min(det_id, rank) FILTER (good) AS good, arg_max(det_id, (score, -rank)) FILTER (seen) AS fallback FROM sc GROUP BY person_id), """,
+        "SELECT person_id, CASE WHEN NOT needs THEN first ELSE coalesce(good, fallback, first) END AS det_id, CASE WHEN NOT needs THEN 'existing' WHEN good IS NOT NULL THEN 'verified' WHEN fallback IS NOT NULL THEN 'fallback' ELSE 'unverified' END AS source FROM ag"),
+    "q_planned_inferences": _sql(DETECTIONS + "p1 AS (SELECT *, max((rq >= 0.55)::INT) OVER (PARTITION BY person_id) AS any_q FROM s), p2 AS (SELECT person_id, least(2, count(*)) AS n FROM p1 WHERE rq >= 0.55 OR any_q = 0 GROUP BY person_id), ", "SELECT count(*) AS tracks, sum(n)::BIGINT AS inferences FROM p2"),
+    "q_usable": _sql(DETECTIONS, "SELECT det_id, round(rq, 6) AS recognition_quality FROM s WHERE rq >= 0.5 AND person_id % 3 <> 0 AND person_id IN (SELECT vec_id FROM embeddings)"),
+    "q_strongest": _sql(IDENTITIES + SIMS, "SELECT a AS tracklet_id, b AS neighbour, rank::INT AS rank FROM kn WHERE rank <= 3"),
+    "q_outcomes": _sql(EVENTS + ", v AS (SELECT unnest(range(14)) AS video_id), d AS (SELECT user_id % 10 AS video_id, count(*) AS n, count(DISTINCT user_id) AS u FROM ev GROUP BY 1), ", "SELECT v.video_id, coalesce(n, 0)::BIGINT AS detections, coalesce(u, 0)::BIGINT AS subjects, CASE WHEN n IS NULL THEN 'no_faces' ELSE 'ok' END AS status FROM v LEFT JOIN d USING (video_id)"),
+    "q_ordered_timeline": _sql(SEGMENTS, "SELECT person_id % 10 AS video_id, (row_number() OVER (PARTITION BY person_id % 10 ORDER BY start_us, person_id, idx) - 1)::INT AS position, person_id, idx AS index FROM g"),
+    "q_carried_faces": _sql(CHANGES + "st AS (SELECT frame_index, delta < 0.035 AND cut IS NULL AND p_frame_index IS NOT NULL AS is_static FROM ru), sr AS (SELECT frame_index, max(CASE WHEN NOT is_static THEN frame_index END) OVER (ORDER BY frame_index) AS src FROM st), de AS (SELECT (us - 1704067200000000) // 3600000000 AS src, event_id AS det_id FROM ev), ", "SELECT frame_index, det_id, src <> frame_index AS carried FROM sr JOIN de USING (src)"),
+    "q_recent": _sql(DETECTIONS, "SELECT person_id, det_id, (count(*) OVER w)::INT AS n, round(sum(sharpness) OVER w, 6) AS sum FROM s WINDOW w AS (PARTITION BY person_id ORDER BY us, det_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)"),
+    "q_image_measures": _sql(PIXELS + _NEAR + "ins AS (SELECT vec_id, 4 * v - m1 - p1 - m8 - p8 AS lap, sqrt(((m7 + 2 * p1 + p9 - m9 - 2 * m1 - p7) / 255) ^ 2 + ((p7 + 2 * p8 + p9 - m9 - 2 * m8 - m7) / 255) ^ 2) AS sob FROM nb WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6), mi AS (SELECT vec_id, var_pop(lap) AS lv, avg(sob) AS ed FROM ins GROUP BY 1), mb AS (SELECT vec_id, avg(v) / 255 AS br FROM ly GROUP BY 1), ", "SELECT vec_id AS frame_index, round(br, 6) AS brightness, round(lv, 4) AS lap_var, round(ed, 6) AS edge FROM mi JOIN mb USING (vec_id)"),
+    "q_image_histograms": _sql(PIXELS + _HSV + "bn AS (SELECT vec_id, 'luma_hist' AS kind, trunc(v / 256 * 31.99::DOUBLE)::INT AS bin FROM ly UNION ALL SELECT vec_id, 'hsv_hist', (trunc(h6 * 60 / 360 * 15.99::DOUBLE)::INT * 4 + trunc(CASE WHEN hi > 0 THEN d / hi ELSE 0 END * 3.99::DOUBLE)::INT) * 4 + trunc(hi * 3.99::DOUBLE)::INT FROM h1), ", "SELECT vec_id AS frame_index, kind, bin::INT AS bin, round(count(*) / 64.0::DOUBLE, 6) AS share FROM bn GROUP BY 1, 2, 3"),
+    "q_luma_delta": _sql(PIXELS + "fr AS (SELECT vec_id, lag(vec_id) OVER (PARTITION BY video_id ORDER BY vec_id) AS p FROM (SELECT DISTINCT vec_id, video_id FROM px)), dl AS (SELECT fr.vec_id, avg(abs(a.v - b.v)) / 255 AS d FROM fr JOIN ly a ON a.vec_id = fr.vec_id JOIN ly b ON b.vec_id = fr.p AND b.i = a.i GROUP BY 1), ", "SELECT DISTINCT px.video_id, px.vec_id AS frame_index, coalesce(round(d, 4), 1.0) AS delta FROM px LEFT JOIN dl USING (vec_id)"),
+    "q_cell_embedding": _sql(PIXELS + "bl AS (SELECT *, lag(b, 1) OVER w AS lb, lag(b, 8) OVER w AS tb FROM ly WINDOW w AS (PARTITION BY vec_id ORDER BY i)), mo AS (SELECT vec_id, i, unnest([r / 255.0::DOUBLE, g / 255.0::DOUBLE, b / 255.0::DOUBLE, v / 255.0::DOUBLE, CASE WHEN x > 0 AND y > 0 THEN abs(v - lb) + abs(v - tb) ELSE 0.0 END / 255.0::DOUBLE, (r - b) / 255.0::DOUBLE, (g - r) / 255.0::DOUBLE, v / (r + 1.0::DOUBLE)]) AS m, unnest(range(8)) AS k FROM bl), nm AS (SELECT vec_id, greatest(1e-8, sqrt(sum(m * m))) AS n FROM mo GROUP BY 1), ", "SELECT vec_id AS frame_index, (i * 8 + k)::INT AS i, round(m / n, 5) + 0.0 AS x FROM mo JOIN nm USING (vec_id)"),
 }

@@ -63,7 +63,7 @@ def analyse(scored: DataFrame, epochs: DataFrame | None = None, gap_us: int = 1_
     return {
         "tracks": tracks,
         "persons": people,
-        "timeline": timeline.select(*key, "index", "start_us", "end_us"),
+        "timeline": P.ordered_timeline(timeline.select(*key, "index", "start_us", "end_us"), ["video_id"], "person_id"),
         "best_shots": L.rank_shots(seen, key).where("rank = 1").select(*key, "det_id"),
-        "totals": P.totals(timeline.withColumn("subject", F.col("video_id") * 1_000_000 + F.col("person_id")), "subject"),
+        "totals": P.totals(timeline.withColumn("subject", F.struct("video_id", "person_id")), "subject"),
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.functions import embedders as E
 from sightline.functions import geometry as G
 from sightline.functions import scores as S
 from sightline.functions import vectors as V
@@ -44,7 +45,7 @@ def _tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.gap_segments(d, ["person_id"], "us", "end", GAP, "det_id")
     at = F.struct("us", "det_id")
     out = rows.groupBy("video_id", "person_id", "seg").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n_det"), F.min_by("box", at).alias("first_box"), F.max_by("box", at).alias("last_box"))
-    return out.withColumn("id", F.col("person_id") * 1000 + F.col("seg"))
+    return out.withColumn("id", F.col("person_id") * (1 << 20) + F.col("seg"))
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +327,7 @@ def q_captions(spark, sf_dir):
 @query
 def q_collage_layout(spark, sf_dir):
     persons = _tracklets(spark, sf_dir).select("video_id", "person_id").distinct()
-    return P.collage(persons, "video_id", "person_id").select("video_id", "person_id", "slot", *[_r(c, 4) for c in ("cx", "cy", "w", "h")], "rotation")
+    return P.collage(persons, "video_id", "person_id").select("video_id", "person_id", "slot", *[_r(c, 4) for c in ("cx", "cy", "w", "h")], "rotation", "colour", "tape")
 
 
 @query
@@ -362,7 +363,8 @@ def q_nms(spark, sf_dir):
 
 @query
 def q_crop_plan(spark, sf_dir):
-    return R.crop_plans(X.detections(spark, sf_dir), ["video_id", "frame_index"], X.FRAME_WIDTH, X.FRAME_HEIGHT)
+    plans = R.crop_plans(X.faces(spark, sf_dir), ["video_id", "frame_index"], X.FRAME_WIDTH, X.FRAME_HEIGHT)
+    return plans.withColumn("coverage", F.round("coverage", 6))
 
 
 @query
@@ -372,12 +374,12 @@ def q_tracks(spark, sf_dir):
 
 @query
 def q_tracklets(spark, sf_dir):
-    return K.by_video(X.detections(spark, sf_dir), K.build_tracklets, "tracklet_id")
+    return K.by_video(X.detections(spark, sf_dir), K.build_tracklets, "tracklet_id", apart=2, first=0)
 
 
 @query
 def q_kalman(spark, sf_dir):
-    return K.kalman_path(X.detections(spark, sf_dir))
+    return K.kalman_path(X.detections(spark, sf_dir)).select("video_id", "person_id", "det_id", _r("predicted_x", 4), _r("predicted_y", 4))
 
 
 @query
@@ -393,3 +395,150 @@ def q_agglomerative(spark, sf_dir):
 @query
 def q_registry(spark, sf_dir):
     return C.by_cohort(X.identities(spark, sf_dir), "cohort", lambda p: C.register(p, 0.3))
+
+
+def _frame_box():
+    return G.box(F.lit(0), F.lit(0), F.lit(X.FRAME_WIDTH), F.lit(X.FRAME_HEIGHT))
+
+
+@query
+def q_face_gates(spark, sf_dir):
+    """Which faces are on screen, of these wide enough and sharp; and how many on-screen ones of any width share the frame."""
+    d = X.faces(spark, sf_dir)
+    shown = d.where(G.intersects(d.box, _frame_box()) & (G.width(d.box) > 0) & (G.height(d.box) > 0))
+    context = shown.withColumn("on_screen", F.count(F.lit(1)).over(T.W.partitionBy("video_id", "frame_index")))
+    return context.select("det_id", "on_screen", (G.width(F.col("box")) >= 0.045 * X.FRAME_WIDTH).alias("wide"), (F.col("sharpness") >= 25).alias("sharp"), G.contains(_frame_box(), F.col("box")).alias("inside"))
+
+
+@query
+def q_face_nms(spark, sf_dir):
+    return R.suppress_overlaps(X.faces(spark, sf_dir), ["video_id", "frame_index"]).select("video_id", "frame_index", "det_id")
+
+
+@query
+def q_face_quality(spark, sf_dir):
+    d = X.faces(spark, sf_dir)
+    return d.select("det_id", F.round(S.face_quality_fast(d.sharpness, d.yaw, d.pitch, d.roll, d.box, F.lit(X.FRAME_WIDTH), F.lit(X.FRAME_HEIGHT), d.landmarks), 6).alias("quality"))
+
+
+@query
+def q_face_pairs(spark, sf_dir):
+    """Match score with every gate at work: sizes, drift, ids and appearance differ."""
+    d = X.faces(spark, sf_dir)
+    side = lambda c: d.select("video_id", "frame_index", F.col("det_id").alias(c), F.col("box").alias(f"box_{c}"), (F.col("person_id") % 3).alias(f"mark_{c}"))
+    pairs = side("a").join(side("b"), ["video_id", "frame_index"]).where("a < b")
+    look = ((F.col("a") + F.col("b")) * 41 % 101) / 100.0
+    return pairs.select("a", "b", F.round(G.match_score(F.col("box_a"), F.col("box_b"), F.col("mark_a") == F.col("mark_b"), look), 6).alias("score"), F.round(G.association_score(F.col("box_a"), F.col("box_b"), look), 6).alias("association"))
+
+
+@query
+def q_scaled_boxes(spark, sf_dir):
+    d = X.faces(spark, sf_dir)
+    b = G.scale_box(d.box, 0.5 + (d.det_id % 7) / 4.0, F.lit(X.FRAME_WIDTH), F.lit(X.FRAME_HEIGHT))
+    return d.select("det_id", b.alias("b")).select("det_id", "b.left", "b.top", "b.right", "b.bottom")
+
+
+@query
+def q_fill_crops(spark, sf_dir):
+    d = X.faces(spark, sf_dir)
+    crop = G.fill_crop(G.width(d.box).cast("double"), G.height(d.box).cast("double"), F.lit(300.0), F.lit(400.0))
+    return d.select("det_id", crop.alias("b")).select("det_id", *[F.round(f"b.{c}", 6).alias(c) for c in ("left", "top", "right", "bottom")])
+
+
+@query
+def q_roll(spark, sf_dir):
+    return X.faces(spark, sf_dir).select("det_id", F.round(G.roll_degrees(F.col("left_eye_at"), F.col("right_eye_at")), 6).alias("roll"))
+
+
+@query
+def q_frame_sizes(spark, sf_dir):
+    shown = X.display_size(F.col("rotation"), F.col("width"), F.col("height"))
+    d = X.faces(spark, sf_dir).select("det_id", shown[0].alias("display_width"), shown[1].alias("display_height"))
+    small = X.scaled_size(F.col("display_width"), F.col("display_height"), 480)
+    return d.select("det_id", "display_width", "display_height", small[0].alias("width"), small[1].alias("height"))
+
+
+@query
+def q_best_overlap(spark, sf_dir):
+    """Boxes found again where they have moved."""
+    d = X.faces(spark, sf_dir)
+    e, b = F.col("det_id"), F.col("box")
+    moved = d.select("video_id", "frame_index", (e + 1_000_000_000).alias("det_id"), G.box(b["left"] + e % 5 * 15, b["top"] + e % 3 * 20, b["right"] + e % 7 * 12, b["bottom"] + e % 4 * 10).alias("box"))
+    return R.best_overlap(d, moved, ["video_id", "frame_index"]).select("det_id", "match", _r("iou"))
+
+
+@query
+def q_refine_pick(spark, sf_dir):
+    e = F.col("det_id")
+    again = F.when(e % 9 != 0, e % 4 != 0)
+    ranked = L.refine_needed(L.rank_shots(_scored(spark, sf_dir), ["person_id"])).select("person_id", "det_id", "rank", "needs_decode", again.alias("clean"), (e % 3 == 0).alias("solo"), (e * 43 % 100).cast("double").alias("sharpness"))
+    return L.refine_pick(ranked, ["person_id"], 3)
+
+
+@query
+def q_planned_inferences(spark, sf_dir):
+    return L.planned_inferences(_scored(spark, sf_dir), ["person_id"], 2, 0.55)
+
+
+@query
+def q_usable(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("person_id"), "embedding")
+    return L.usable(_scored(spark, sf_dir).join(vectors.where("person_id % 3 <> 0"), "person_id", "left"), 0.5).select("det_id", _r("recognition_quality"))
+
+
+@query
+def q_strongest(spark, sf_dir):
+    return R.strongest(R.knn(X.identities(spark, sf_dir), "tracklet_id", "centroid", 7).drop("rank"), "tracklet_id", 3).select("tracklet_id", "neighbour", "rank")
+
+
+@query
+def q_outcomes(spark, sf_dir):
+    videos = spark.range(0, 14).select(F.col("id").alias("video_id"))
+    return P.outcomes(videos, X.detections(spark, sf_dir))
+
+
+@query
+def q_ordered_timeline(spark, sf_dir):
+    t = P.timeline(_scored(spark, sf_dir), "person_id", GAP, LEAST).withColumn("video_id", F.col("person_id") % 10)
+    return P.ordered_timeline(t, ["video_id"], "person_id").select("video_id", "position", "person_id", "index")
+
+
+@query
+def q_carried_faces(spark, sf_dir):
+    frames = T.carry_forward(_changes(spark, sf_dir)).select("frame_index", "source_frame")
+    return T.carried_faces(frames, X.detections(spark, sf_dir), []).select("frame_index", "det_id", "carried")
+
+
+@query
+def q_recent(spark, sf_dir):
+    d = T.recent(X.detections(spark, sf_dir), ["person_id"], ["us", "det_id"], "sharpness", 8)
+    return d.select("person_id", "det_id", F.size("recent").alias("n"), F.round(V.total(F.col("recent")), 6).alias("sum"))
+
+
+def _measured(spark, sf_dir):
+    return E.image_measures(X.images(spark, sf_dir), ["video_id", "frame_index"])
+
+
+@query
+def q_image_measures(spark, sf_dir):
+    return _measured(spark, sf_dir).select("frame_index", _r("brightness"), _r("lap_var", 4), _r("edge"))
+
+
+@query
+def q_image_histograms(spark, sf_dir):
+    m = _measured(spark, sf_dir)
+    each = lambda c: m.select("frame_index", F.lit(c).alias("kind"), F.posexplode(c).alias("bin", "share"))
+    return each("luma_hist").unionByName(each("hsv_hist")).where("share > 0").select("frame_index", "kind", "bin", _r("share"))
+
+
+@query
+def q_luma_delta(spark, sf_dir):
+    m = T.with_previous(_measured(spark, sf_dir), ["luma"], ["video_id"])
+    delta = F.when(F.col("prev_luma").isNull(), 1.0).otherwise(V.mean_absolute_difference(F.col("prev_luma"), F.col("luma")))
+    return m.select("video_id", "frame_index", F.round(delta, 4).alias("delta"))
+
+
+@query
+def q_cell_embedding(spark, sf_dir):
+    vectors = X.images(spark, sf_dir).select("frame_index", E.cell_embedding(F.col("width"), F.col("height"), F.col("pixels")).alias("v"))
+    return vectors.select("frame_index", F.posexplode("v").alias("i", "x")).select("frame_index", "i", (F.round("x", 5) + 0.0).alias("x"))

@@ -45,6 +45,27 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d
 
 
+def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an event again, with boxes of many sizes of which some are small or outside the frame, and pitch, landmarks, eyes, rotation and sides of its video."""
+    e = F.col("event_id")
+    left, top = (e * 37) % 1300 - 150, (e * 53) % 2100 - 150
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return events(spark, sf_dir).select(
+        (F.col("user_id") % 10).alias("video_id"), F.col("user_id").alias("person_id"), e.alias("det_id"), F.floor((F.col("us") - EPOCH) / HOUR).alias("frame_index"), F.col("us"),
+        G.box(left, top, left + 30 + (e * 7) % 300, top + 40 + (e * 11) % 380).alias("box"), (F.col("value") * 3.0).alias("sharpness"),
+        ((e * 13) % 121 - 60).alias("yaw"), ((e * 31) % 91 - 45).alias("pitch"), ((e * 17) % 81 - 40).alias("roll"), ((e % 6) / 5.0).alias("landmarks"),
+        point((e * 3) % 200, (e * 7) % 120).alias("left_eye_at"), point((e * 5) % 90, (e * 11) % 100).alias("right_eye_at"),
+        (e % 4 * 90).cast("int").alias("rotation"), F.when(e % 11 != 0, 320 + e % 1700).cast("int").alias("width"), F.when(e % 13 != 0, 240 + (e * 3) % 2300).cast("int").alias("height"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image of 8 x 8 pixels an embedding, its video the label: red, green and blue from three of the components."""
+    at = lambda i: F.element_at("embedding", (i % 64 + 1).cast("int")).cast("double")
+    byte = lambda x: F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x + 0.5)) * 255).cast("int")
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(byte(at(i)), byte(at(i * 7 + 3)), byte(at(i * 5 + 1))))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("frame_index"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.flatten(pixel).alias("pixels"))
+
+
 def with_context(d: DataFrame) -> DataFrame:
     """Detections with solo (the only one of its video's frame) and others (boxes of the frame that differ from its own)."""
     frame = W.partitionBy("video_id", "frame_index")
