@@ -47,7 +47,17 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: cuts the lineage and outlives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialise() gave and that nothing reads any more: what followed from them is in tables of its own."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -76,6 +86,11 @@ def get_file(uri: str) -> bytes:
         return source.read()
 
 
+def exists(uri: str) -> bool:
+    system, path = filesystem(uri)
+    return system.get_file_info(path).type == fs.FileType.File
+
+
 def mapped(uri: str) -> np.ndarray:
     """The bytes of a file: memory-mapped where the shared store is mounted, else read into this process; never copied to a local disk."""
     system, path = filesystem(uri)

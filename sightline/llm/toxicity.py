@@ -186,7 +186,7 @@ def probability(x: Column, model: dict) -> Column:
 
 
 def _learnt(rows: DataFrame, labels: DataFrame) -> tuple[dict, DataFrame]:
-    """A model {vocabulary, weight, bias} of rows(doc_id, held, text, ...), and rows with their features x, written to the shared folder."""
+    """A model {vocabulary, weight, bias} of rows(doc_id, held, text), and doc_id, held and features x of each row, written to the shared folder."""
     marks = labels.where(~held_out(labels["doc_id"])).where("toxic is not null").select(labels["doc_id"].alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = min(max(marks.agg(F.avg("toxic").alias("p")).first()["p"] or 0.0, 1e-4), 0.9)
@@ -226,8 +226,8 @@ def _learnt(rows: DataFrame, labels: DataFrame) -> tuple[dict, DataFrame]:
     return model | {"weight": weight[:-1], "bias": float(weight[-1]) - threshold(found_p, found_u, prior)}, table
 
 
-def _rows(docs: DataFrame, *more: Column) -> DataFrame:
-    return docs.select(*more, docs["doc_id"].alias("doc_id"), held_out(docs["doc_id"]).alias("held"), common.text_of(docs).alias("text"))
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].alias("doc_id"), held_out(docs["doc_id"]).alias("held"), common.text_of(docs).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
@@ -251,6 +251,7 @@ def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold; see detect() for nulls, empty texts, repeated rows and missing labels. An empty
-    table gives no rows. Rows are written to the shared folder beside their features, so that texts are cut into words twice and not three times."""
-    model, table = _learnt(_rows(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")), labels)
-    return table.where(probability(F.col("x"), model) < threshold).select("row.*")
+    table gives no rows. Texts stay where they are read: their features are worked out again for the filter, which costs less than a copy of all texts."""
+    model, table = _learnt(_rows(docs), labels)
+    common.discard(table)
+    return docs.where(probability(features(common.text_of(docs), model["vocabulary"]), model) < threshold)
