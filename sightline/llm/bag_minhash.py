@@ -229,7 +229,9 @@ def _verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     stream = members.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return common.materialise(stream.mapInArrow(check, "a binary, b binary"), "links")
+    links = common.materialise(stream.mapInArrow(check, "a binary, b binary"), "links")
+    common.discard(pairs)
+    return links
 
 
 def _join_rest(sig: np.ndarray, blobs: list[bytes], comp: np.ndarray, side: np.ndarray, cross: bool):
@@ -307,7 +309,9 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sigs = signed.where("key is not null").select("key", "sig").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("sig"))).where("n = 1").select("key", "sig")
     more = common.materialise(_left_over(placed.join(mixed, "band").join(sigs, "key"), blobs), "more-links")
     if not more.isEmpty():
-        comps = common.materialise(components(links.unionByName(more)), "components")
+        old, comps = comps, common.materialise(components(links.unionByName(more)), "components")
+        common.discard(old)
+    common.discard(banded, needed, blobs, links, placed, more)
     return signed, comps
 
 
@@ -328,6 +332,7 @@ def classes(docs: DataFrame) -> DataFrame:
     signed, comps = _labelled(docs)
     rows = signed.select("doc_id", "t", "key").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     rows = common.materialise(rows.select("doc_id", "t", "comp"), "classes")
+    common.discard(signed, comps)
     firsts = rows.where("comp is not null").groupBy("comp").agg(_first(F.col("doc_id"), F.col("t")).alias("first"))
     own = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("t").alias("t"))
     return rows.join(firsts, "comp", "left").select("doc_id", "t", F.coalesce(F.col("first"), own).alias("first")).select("doc_id", "t", F.col("first.doc_id").alias("class_id"), "first")
@@ -342,10 +347,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs, all columns, of each class: that of the least doc_id, null last, then of the least digests of text and row. Rows
     without words (null, empty, white space) all stay; of repeated rows one stays; an empty table gives no rows; column names don't matter."""
-    found = classes(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("t") == F.col("first.t"))).select(F.col("doc_id").alias("keep_id"), F.col("t").alias("keep_t")).distinct()
+    stands = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("t") == F.col("first.t"))
+    same = classes(docs).groupBy("doc_id", "t").agg(F.bool_or(stands).alias("stands"), F.count(F.lit(1)).alias("n"))
+    doubtful = same.where("not stands or n > 1").select(F.col("doc_id").alias("doubt_id"), F.col("t").alias("doubt_t"), "stands", F.xxhash64("doc_id", "t").alias("mark"))
+    doubtful = common.materialise(doubtful, "doubtful")
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(doubtful.select(F.col("mark").alias("t"))))
+
+    @F.pandas_udf("boolean")
+    def marked(marks):
+        bits = sent.value
+        return type(marks)(bits[marks.to_numpy() % len(bits)].astype(bool))
+
     text = common.text_of(docs)
+    # rows that stay whatever the others are need no shuffle; the bit map lets some of them through to the join besides those in doubt
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("t"), text.rlike(common.WORD).alias("words"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("digest"))
-    kept = packed.join(stays, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("t") == F.col("keep_t")))
-    copy = F.row_number().over(Window.partitionBy("keep_id", "keep_t").orderBy("digest"))
-    return kept.withColumn("copy", copy).where("copy = 1 or not words").select("row.*")
+    packed = packed.withColumn("marked", marked(F.xxhash64("id", "t")))
+    some = packed.where("marked").join(doubtful, F.col("id").eqNullSafe(F.col("doubt_id")) & (F.col("t") == F.col("doubt_t")), "left").where("stands is null or stands")
+    copy = F.row_number().over(Window.partitionBy("id", "t").orderBy("digest"))
+    some = some.withColumn("copy", F.when(F.col("stands") & F.col("words"), copy).otherwise(1)).where("copy = 1")
+    return packed.where("not marked").select("row.*").unionByName(some.select("row.*"))
