@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,13 +19,19 @@ from sightline.llm import common
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Most repeated payloads that are sent to all executors, some 60 bytes each.
+#: Most repeated payloads that are sent to all executors, the most frequent ones, some 60 bytes each; bits of a digest by which the rest are told from
+#: payloads that occur once.
 SENT = 200_000
-#: Most bytes that one gzip member may unpack to.
-MEMBER_LIMIT = 1 << 28
+PREFIX_BITS = 20
+#: Bytes of an archive that are aimed at, and bytes unpacked at a time.
+ARCHIVE = 1 << 26
+PIECE = 1 << 20
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _START = re.compile(rb"WARC/1\.[01]\r?\n|\x1f\x8b\x08")
+_ID = re.compile(r"-?[0-9]{1,19}")
+_LINE_END = re.compile(rb"\r\n")
+_BODY = re.compile(rb"\r\n\r\n")
 _NAME = re.compile(rb"([^\r\n:]*):")
 _HTTP_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)", re.I)
 
@@ -39,6 +47,23 @@ def base32(hexadecimal: Column) -> Column:
     return F.translate(F.concat(*parts), digits, BASE32)
 
 
+def _with_first(plain: DataFrame, groups: DataFrame) -> DataFrame:
+    """plain(sha, ...) with the first page of its payload, null where that occurs once. The most frequent payloads are joined by broadcast. Of the others,
+    if there are more than can be sent, only rows that share a digest's prefix with a repeated payload are shuffled."""
+    frequent = common.materialise(groups.orderBy(F.desc("n"), "sha").limit(SENT).select("sha", "first", F.lit(True).alias("sent")), "frequent-payloads")
+    rows = plain.join(F.broadcast(frequent), "sha", "left")
+    rest = common.materialise(groups.join(F.broadcast(frequent.select("sha")), "sha", "left_anti").select("sha", "first"), "rarer-payloads")
+    if rest.isEmpty():
+        return rows.drop("sent")
+    prefix = F.shiftright(F.conv(F.substring("sha", 1, 8), 16, 10).cast("long"), 32 - PREFIX_BITS)
+    some = rest.select(prefix.alias("prefix")).distinct().withColumn("near", F.lit(True))  # at most 2**PREFIX_BITS rows
+    marked = rows.withColumn("prefix", prefix).join(F.broadcast(some), "prefix", "left")
+    asked = F.col("sent").isNull() & F.col("near").isNotNull()
+    names = [*plain.columns, "first"]
+    looked_up = marked.where(asked).select(*plain.columns).join(rest, "sha", "left")
+    return marked.where(~asked).select(*names).unionByName(looked_up.select(*names))
+
+
 def records(pages: DataFrame) -> DataFrame:
     """page_id, record: the text of one WARC record for each row of pages(page_id, url, html).
 
@@ -48,10 +73,8 @@ def records(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
     plain = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
-    groups = plain.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    groups = common.materialise(groups, "repeated-payloads")
-    # payloads go through a shuffle only where too many of them repeat for the list to be sent out
-    all_rows = plain.join(F.broadcast(groups) if groups.count() <= SENT else groups, "sha", "left")
+    groups = plain.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    all_rows = _with_first(plain, common.materialise(groups, "repeated-payloads"))
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     name = lambda c: F.concat(F.lit("<urn:sightline:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
@@ -70,37 +93,54 @@ def records(pages: DataFrame) -> DataFrame:
     return all_rows.select("page_id", F.concat(head, block, F.lit("\r\n\r\n")).alias("record"))
 
 
-def write_archives(pages: DataFrame, folder: str, records_per_file: int = 20_000) -> None:
-    """Write plain archives below folder through Spark's own committer. Its text sink ends each value with a line feed, which is the record's last byte."""
+def write_archives(pages: DataFrame, folder: str, records_per_file: int | None = None) -> None:
+    """Write plain archives below folder through Spark's own committer, of about ARCHIVE bytes by the mean size of a record. Its text sink ends each value
+    with a line feed, which is the record's last byte. An empty table writes none."""
+    if records_per_file is None:
+        size = pages.agg(F.avg(F.coalesce(F.octet_length(pages["html"].cast("string")), F.lit(0)) + 600).alias("b")).first()["b"] or 600
+        records_per_file = max(1, int(ARCHIVE / size))
     rows = records(pages).select(F.expr("substring(record, 1, length(record) - 1)").alias("value"))
     rows.write.option("maxRecordsPerFile", records_per_file).text(folder)
 
 
-def parse(data: bytes, at: int) -> tuple[dict, int] | str:
-    """The record of a version line at a place and where it ends, or why it is not valid."""
+#: Header lines that a record has once.
+ONCE = ("warc-type", "warc-record-id", "warc-date", "content-length")
+#: What parse() says of data that end within a record.
+SHORT = "length does not lead to the end of a record"
+OPEN = "no end of headers"
+
+
+def parse(data, at: int) -> tuple[dict, int] | str:
+    """The record of a version line at a place of bytes or a memory view and where it ends, or why it is not valid."""
     if not (start := _VERSION.match(data, at)):
         return "no version line"
     fields, at = {}, start.end()
-    while not data.startswith(b"\r\n", at):
+    while not _LINE_END.match(data, at):
         if not (name := _NAME.match(data, at)):
-            return "bad header line" if at < len(data) else "no end of headers"
-        end = data.find(b"\r\n", name.end())
-        if end < 0:
-            return "no end of headers"
-        fields[name[1].strip().lower().decode("latin-1")] = data[name.end() : end].strip().decode("utf-8", "replace")
-        at = end + 2
-    if not fields.get("content-length", "").isdigit():
+            return "bad header line" if at < len(data) - 1 else OPEN
+        end = _LINE_END.search(data, name.end())
+        if not end:
+            return OPEN
+        key = bytes(name[1]).strip().lower().decode("latin-1")
+        if key in fields and key in ONCE:
+            return "a header line twice"
+        fields[key] = bytes(data[name.end() : end.start()]).strip().decode("utf-8", "replace")
+        at = end.end()
+    if not (length := fields.get("content-length", "")).isascii() or not length.isdigit():
         return "no length"
-    body, size = at + 2, int(fields["content-length"])
-    if body + size + 4 > len(data) or data[body + size : body + size + 4] != b"\r\n\r\n":
-        return "length does not lead to the end of a record"
+    body, size = at + 2, int(length)
+    if body + size + 4 > len(data):
+        return SHORT
+    if bytes(data[body + size : body + size + 4]) != b"\r\n\r\n":
+        return "no end of a record where its length leads"
     block = data[body : body + size]
     if (digest := fields.get("warc-block-digest", "")).startswith("sha1:") and digest[5:] != base32_sha1(block):
         return "block digest differs"
     kind, payload = fields.get("warc-type", ""), block
     stated = None
     if "application/http" in fields.get("content-type", ""):
-        header, _, payload = block.partition(b"\r\n\r\n")
+        middle = _BODY.search(block)
+        header, payload = (block[: middle.start()], block[middle.end() :]) if middle else (block, block[:0])
         if m := _HTTP_LENGTH.search(header):
             stated = int(m[1])
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -109,76 +149,152 @@ def parse(data: bytes, at: int) -> tuple[dict, int] | str:
             return "payload digest differs"
         digest, stated = base32_sha1(payload), len(payload)
     page, first = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
+    if not all(x is None or _ID.fullmatch(x) for x in (page, first)):
+        return "an id that is no number"
     return {"record_type": kind, "uri": fields.get("warc-target-uri"), "record_id": fields.get("warc-record-id"), "page_id": int(page) if page else None, "refers_to": int(first) if first else None, "payload_bytes": len(payload) if stated is None else stated, "payload_digest": digest, "payload": payload}, body + size + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """What a gzip member at a place holds, checked by its CRC, and where it ends."""
-    unpack = zlib.decompressobj(31)
-    try:
-        out = unpack.decompress(data[at:], MEMBER_LIMIT)
-    except zlib.error as e:
-        return f"gzip: {e}"
-    if not unpack.eof:
-        return "gzip: member too long or cut off"
-    return out, len(data) - len(unpack.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
-    """("record", offset, length, record) and ("gap", offset, length, reason) in order; together they cover every byte.
-
-    Where a check fails, the next version line or gzip member that passes all checks is searched for, and the bytes before it
-    are quarantined. An empty archive gives nothing.
+class _Member:
+    """What a gzip member at a place unpacks to, piece by piece: never more than a record and a piece at once if its records are sound."""
+
+    def __init__(self, data, at: int) -> None:
+        self.data, self.at, self.unpack = data, at, zlib.decompressobj(31)
+        self.buffer, self.dropped, self.why, self.end, self.damage = bytearray(), 0, "", None, at
+
+    def more(self) -> bool:
+        """Unpack another piece; False at the end of the member or where it is damaged (why)."""
+        if self.why or self.end is not None:
+            return False
+        waiting = self.unpack.unconsumed_tail
+        if not waiting and self.at >= len(self.data):
+            self.why, self.damage = "gzip: member cut off", len(self.data)
+            return False
+        if not waiting:
+            waiting = self.data[self.at : self.at + PIECE]
+            self.at += len(waiting)
+        before = self.unpack.copy()
+        try:
+            self.buffer += self.unpack.decompress(waiting, PIECE)
+        except zlib.error as e:
+            self.why = f"gzip: {e}"
+            self.damage = self.at
+            with contextlib.suppress(zlib.error):  # again byte by byte, for what unpacks before the damage
+                for at in range(len(waiting)):
+                    self.damage = self.at - len(waiting) + at
+                    self.buffer += before.decompress(waiting[at : at + 1])
+            return True
+        if self.unpack.eof:
+            self.end = self.at - len(self.unpack.unused_data)
+        return True
+
+    def entries(self) -> Iterator[tuple[str, int, int | None, dict | str]]:
+        """Records and gaps of the unpacked bytes with their places there. A gap at the end of a damaged member has no length."""
+        at, gap, why = 0, None, ""  # gap counts from the member's beginning, at from the buffer's
+        while True:
+            if at >= len(self.buffer) and not self.more():
+                break
+            if at >= len(self.buffer):
+                continue
+            with memoryview(self.buffer) as view:
+                one = parse(view, at)
+                if not isinstance(one, str):
+                    one[0]["payload"] = bytes(one[0]["payload"])
+            if isinstance(one, str) and (one in (OPEN, SHORT) or len(self.buffer) - at < 1 << 16) and self.more():
+                continue
+            if not isinstance(one, str):
+                if gap is not None:
+                    yield "gap", gap, self.dropped + at - gap, why
+                    gap = None
+                yield "record", self.dropped + at, one[1] - at, one[0]
+                at = one[1]
+            else:
+                if gap is None:
+                    gap, why = self.dropped + at, one
+                following = _START.search(self.buffer, at + 1)
+                at = following.start() if following else max(at + 1, len(self.buffer) - 16)
+            if at >= PIECE:
+                del self.buffer[:at]
+                self.dropped, at = self.dropped + at, 0
+        if gap is not None and not self.why:
+            yield "gap", gap, self.dropped + len(self.buffer) - gap, why
+        elif self.why:
+            yield "gap", self.dropped + at if gap is None else gap, None, self.why
+
+
+def salvage(data) -> Iterator[tuple[str, int, int, dict | str]]:
+    """("record", offset, length, record) and ("gap", offset, length, reason) in order of bytes or a memory view; the distinct ranges cover every byte once.
+
+    Where a check fails, the next version line or gzip member that passes all checks is searched for, and the bytes before it are quarantined.
+    The records and gaps of one gzip member have the member's range; a record's inner_offset and inner_length are its place in what the member
+    unpacks to, and a gap's reason states its own. A damaged member gives the sound records before the damage; its range reaches to the next start that
+    passes. An empty archive gives nothing.
     """
     at, gap, why = 0, None, ""
+    held: list[tuple[str, dict | str]] = []  # of a damaged member, whose end is not known yet
+    damage, given = 0, Counter()
+    mark = lambda r: (r["record_id"], r["record_type"], r["payload_digest"], r["payload_bytes"])
+
+    def close(end: int):
+        if held:
+            yield from ((kind, gap, end - gap, what) for kind, what in held)
+        else:
+            yield "gap", gap, end - gap, why
+
     while at < len(data):
-        found: list[tuple[int, int, dict]] | str
-        if data[at : at + 3] == b"\x1f\x8b\x08":
-            member = _member(data, at)
-            if isinstance(member, str):
-                found = member
-            else:
-                inside = list(salvage(member[0]))
-                good = [r for kind, _, _, r in inside if kind == "record"]
-                found = [(at, member[1], r) for r in good] if good else "member without a valid record"
-                if good and len(good) < len(inside):
-                    if gap is not None:
-                        yield "gap", gap, at - gap, why
-                        gap = None
-                    for kind, _, _, r in inside:
-                        yield kind, at, member[1] - at, r
-                    at = member[1]
+        if bytes(data[at : at + 3]) == b"\x1f\x8b\x08":
+            member = _Member(data, at)
+            inside = []
+            for kind, start, length, what in member.entries():
+                place = f"{'?' if length is None else length} bytes at {start} of the member"
+                inside.append((kind, what | {"inner_offset": start, "inner_length": length} if kind == "record" else f"{what}: {place}"))
+            good = any(kind == "record" for kind, _ in inside)
+            if good or member.end is not None:
+                if gap is not None:
+                    yield from close(at)
+                    gap, held = None, []
+                if member.end is not None:
+                    yield from ((kind, at, member.end - at, what) for kind, what in inside or [("gap", "member without a record")])
+                    at = member.end
                     continue
+                gap, held, damage = at, inside, member.damage
+                given = Counter(mark(what) for kind, what in inside if kind == "record")
+            elif gap is None:
+                gap, why = at, member.why
         else:
             one = parse(data, at)
-            found = one if isinstance(one, str) else [(at, one[1], one[0])]
-        if isinstance(found, str):
+            if not isinstance(one, str) and at < damage and given[mark(one[0])] > 0:
+                given[mark(one[0])] -= 1  # stored without compression in the damaged member, which has given it
+                at = one[1]
+                continue
+            if not isinstance(one, str):
+                if gap is not None:
+                    yield from close(at)
+                    gap, held = None, []
+                yield "record", at, one[1] - at, one[0]
+                at = one[1]
+                continue
             if gap is None:
-                gap, why = at, found
-            following = _START.search(data, at + 1)
-            at = following.start() if following else len(data)
-            continue
-        if gap is not None:
-            yield "gap", gap, at - gap, why
-            gap = None
-        for start, end, record in found:
-            yield "record", start, end - start, record
-        at = found[0][1]
+                gap, why = at, one
+        following = _START.search(data, at + 1)
+        at = following.start() if following else len(data)
     if gap is not None:
-        yield "gap", gap, len(data) - gap, why
+        yield from close(len(data))
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """One row a record or gap of all archives below path: kind, path, offset, length, reason (of gaps), page_id, record_id, uri, record_type,
-    payload_bytes, payload_digest, refers_to and, if asked for, payload. A task holds one archive at a time, so archives should be of up to some hundred MB."""
+    payload_bytes, payload_digest, refers_to and, if asked for, payload. A record without a page id or a reference has null there; empty archives and folders
+    without any give no rows. A task holds one archive at a time as it was read; a file must be below 2 GB."""
     extra = ", payload binary" if payload else ""
 
     def make():
         def each(batch):
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
-                for kind, start, length, found in salvage(data.as_py()):
+                for kind, start, length, found in salvage(memoryview(data.as_buffer())):
                     r = found if kind == "record" else {"reason": found}
+                    if payload and kind == "record":
+                        r = r | {"payload": bytes(r["payload"])}
                     size += len(r.get("payload", b"")) if payload else 100
                     rows.append(r | {"kind": kind, "path": name, "offset": start, "length": length})
                     if size > 1 << 24:
@@ -201,7 +317,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
 def archive_round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of pages, as read back from archives written below folder.
 
-    An empty table gives no rows; other columns are ignored."""
+    Null and empty html are empty payloads; see records() for null ids and urls and for repeated rows. An empty table gives no rows; other columns are ignored."""
     write_archives(pages, folder)
     read = read_archives(pages.sparkSession, folder)
     return read.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
