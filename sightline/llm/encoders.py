@@ -13,6 +13,8 @@ import numpy as np
 
 #: Entries a worker's memo may hold, in an older and a newer half; the older goes when the newer is full.
 MEMO = 800_000
+#: Longest chunk that stays in a memo, in characters.
+KEPT = 256
 #: White space that parts two chunks; a text is never cut elsewhere.
 #: The characters that byte-level vocabularies write for the 256 bytes: printable Latin-1 ones for themselves, the rest from U+0100 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -40,6 +42,7 @@ class WordEncoder:
         self.merges = self.tokenizer.model.tokenize
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.limit = memo // 2
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -58,7 +61,9 @@ class WordEncoder:
             written = "".join([_BYTE_CHARS[b] for b in low.encode()])
         ids = self.memo.get(low)
         if ids is None:
-            ids = self.memo[low] = array(self.code, [t.id for t in self.merges(written)]).tobytes()
+            ids = array(self.code, [t.id for t in self.merges(written)]).tobytes()
+            if len(low) <= KEPT:
+                self.memo[low] = ids
         return ids
 
     def _learn(self, chunks: set[str]) -> None:
@@ -84,7 +89,10 @@ class WordEncoder:
         cut = [t.translate(_BREAKS).split(" ") if "\t" in t or "\r" in t or "\x0b" in t or "\x0c" in t else t.replace("\n", " ").split(" ") for t in texts]
         self._need(cut)
         get = self.memo.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        out = [b"".join(map(get, chunks)) for chunks in cut]
+        while self.long:
+            self.memo.pop(self.long.pop(), None)
+        return out
 
     def _need(self, cut: list[list[str]]) -> None:
         seen: set[str] = set()
@@ -97,7 +105,9 @@ class WordEncoder:
             old = self.old
             kept = {c: old[c] for c in missing if c in old}
             self.memo.update(kept)
-            self._learn(missing.difference(kept))
+            new = missing.difference(kept)
+            self._learn(new)
+            self.long += [c for c in new if len(c) > KEPT]
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(b) // self.dtype.itemsize for b in self.encode(texts)]

@@ -32,7 +32,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     The stored counts at cache_path (a Parquet table: tokenizer digest, content digest, n_tokens) are joined by digest; only the
     distinct contents that are missing there are encoded, whole, and appended. A null text counts as empty (0 tokens); repeated
     rows and null ids each keep their row; an empty table gives no rows; other columns are ignored. Copies of one content meet
-    in one row before the shuffle of texts, so a large group of copies costs one encoding.
+    in one row before the shuffle of texts, so a large group of copies costs one encoding. A content that two runs have stored
+    at once counts once.
     """
     spark = docs.sparkSession
     version = file_digest(tokenizer_path)
@@ -58,5 +59,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
         return each
 
     common.arrow_map(misses, make, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
+    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
     return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
