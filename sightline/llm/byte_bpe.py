@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 from sightline.llm import common
 
+#: Longest piece that stays in a memo, in characters.
+KEPT = 256
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -165,7 +167,10 @@ class ByteBpe:
             if len(s) != 1:
                 memo[u] = b"".join([memo[w] for w in s])
         get = memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, units)), "<u4") for units in cut]
+        out = [np.frombuffer(b"".join(map(get, units)), "<u4") for units in cut]
+        for u in {x for x in (*new, *words) if len(x) > KEPT}:
+            memo.pop(u, None)
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self._gather(self.bytes_table, ids)
@@ -185,7 +190,8 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array<int>) of every row of docs(doc_id, text)."""
+    """doc_id and ids (array<int>) of every row of docs(doc_id, text). A null or empty text has no ids; texts are encoded whole, however long; repeated
+    rows and null ids keep their rows; an empty table gives none; other columns are ignored."""
 
     def make():
         import pyarrow as pa
