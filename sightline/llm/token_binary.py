@@ -18,6 +18,8 @@ from sightline.llm import common
 from sightline.llm.encoders import encoder
 
 MAGIC = b"SLTB1\n"
+#: Documents a shard, which one task sorts.
+SHARD = 200_000
 #: For each control byte the lengths of its four numbers.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
@@ -76,13 +78,15 @@ def read_block(uri: str) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def encode_to_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = 2, shards: int | None = None, block_ids: int = 8_000_000) -> DataFrame:
     """Encode docs(doc_id, text) and write block files below folder, in ascending doc_id order (null first, equal ids by content).
 
-    Returns the manifest (shard, first, seq, path, n_docs, n_ids, start, ranks): one row a block. A null text is empty and holds the end id
+    Returns the manifest (shard, first, path, n_docs, n_ids, start, ranks): one row a block. A null text is empty and holds the end id
     only; rows with equal ids stay rows; an empty table writes no block. Ids rank by frequency over all documents; the table is
     bounded by the vocabulary. Encoded ids are shuffled once by ranges of doc_id, and stored so that they are encoded once.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 10_000).alias("b")).first()["b"] or []
+    folder = common.qualified(spark, folder)
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD))
+    at = [k / shards for k in range(1, shards)] or [0.5]
+    bounds = docs.agg(F.percentile_approx(docs["doc_id"].cast("long"), at, max(10_000, 20 * shards)).alias("b")).first()["b"] or []
     bounds = np.unique(np.array(bounds, np.int64))
 
     def make():
@@ -125,30 +129,32 @@ def encode_to_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: i
     def blocks(batches):
         import pyarrow as pa
 
-        shard, ids, codes, size = None, [], [], 0
+        shard, ids, codes, size, seq, place = None, [], [], 0, 0, 0
 
         def flush():
             path = f"{folder}/block-{uuid.uuid4().hex}.sltb"
             write_block(path, ids, [len(c) // dtype.itemsize for c in codes], rank_of[np.frombuffer(b"".join(codes), dtype)])
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "first": pa.array([ids[0]], pa.int64()), "seq": pa.array([zlib.crc32(codes[0])], pa.int64()), "path": [path], "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([size], pa.int64())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "first": pa.array([ids[0]], pa.int64()), "place": pa.array([place], pa.int64()), "seq": pa.array([seq], pa.int64()), "path": [path], "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([size], pa.int64())})
 
         for batch in batches:
-            for s, i, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if ids and (s != shard or size >= block_ids):
+            for s, i, c, at in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if ids and (s != shard or at != place or size >= block_ids):
                     yield flush()
-                    ids, codes, size = [], [], 0
-                shard = s
+                    ids, codes, size, seq = [], [], 0, seq + 1
+                shard, place = s, at
                 ids.append(i)
                 codes.append(c)
                 size += len(c) // dtype.itemsize
         if ids:
             yield flush()
 
-    manifest = common.materialise(stored.mapInArrow(blocks, "shard int, first long, seq long, path string, n_docs long, n_ids long"), "token-manifest")
+    # a shard is one file in order; tasks read it in ranges, whose places and running numbers keep that order
+    ranges = stored.select("shard", "doc_id", "ids", F.col("_metadata.file_block_start").alias("place"))
+    manifest = common.materialise(ranges.mapInArrow(blocks, "shard int, first long, place long, seq long, path string, n_docs long, n_ids long"), "token-manifest")
     total = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     before = manifest.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", F.coalesce(total, F.lit(0)).alias("before"))
-    inside = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("first", "seq", "path").rowsBetween(Window.unboundedPreceding, -1))
-    return manifest.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "shard").select("shard", "first", "seq", "path", "n_docs", "n_ids", (F.col("before") + F.col("inside")).alias("start"), F.lit(table).alias("ranks"))
+    inside = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("place", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    return manifest.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "shard").select("shard", "first", "path", "n_docs", "n_ids", (F.col("before") + F.col("inside")).alias("start"), F.lit(table).alias("ranks"))
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
