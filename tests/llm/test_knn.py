@@ -40,8 +40,27 @@ def test_recall(spark, monkeypatch, cell):
     check(spark, rows, 10)
 
 
+def test_widths_and_repeated_queries(spark):
+    """Vectors of another width are no candidates; one id with two vectors asks with both and counts once for others."""
+    rows = [(i, [float(i), 1.0]) for i in range(1, 40)] + [(100 + i, [float(i), 1.0, 2.0]) for i in range(1, 5)] + [(0, [5.2, 1.0]), (0, [30.3, 1.0]), (100, [1.0, 1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = N.nearest(df, df["vec_id"] % 100 == 0, 3, confidence=1 - 1e-9).collect()
+    by = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in got)
+    assert [x[2:] for x in by if x[0] == 100] == [(101, 0.0), (102, 1.0), (103, 2.0)]
+    assert sorted(x[1] for x in by if x[0] == 0) == [1, 1, 2, 2, 3, 3] and {x[2] for x in by if x[0] == 0} == {4, 5, 6, 29, 30, 31}
+
+
+def test_a_large_cell_is_searched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 50)
+    monkeypatch.setattr(N, "QUERIES", 8)
+    monkeypatch.setattr(N, "SAMPLE", 40)
+    rng = np.random.default_rng(5)
+    check(spark, list(enumerate(rng.normal(size=(900, 6)))), 10)
+
+
 def test_small_tables(spark):
     check(spark, [], 5)
+    check(spark, [(0, None), (10, [0.0, 0.0])], 5)
     check(spark, [(0, [1.0, 2.0])], 5)
     check(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (10, [3.0, 4.0])], 5)
 

@@ -80,6 +80,39 @@ def fill(sizes, cap=3):
     return target
 
 
+def test_repeated_rows_keep_to_targets(spark):
+    """Rows without ids, and one row many times, are documents of their own: quotas hold among them."""
+    rows = [(None, "w " * 20 + str(i), "a") for i in range(50)] + [(1, "v " * 30, "a")] * 40 + [(i, words(25, i), "b") for i in range(2, 90)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert len(got) == len(rows) and len(target) == 2
+    assert all(abs(taken[s] - target[s]) <= 15 for s in target)
+    assert sum(len(r["text"].split()) for r in mixing.mixed_documents(frame(spark, rows)).collect()) == sum(taken.values())
+
+
+def test_duals(spark):
+    """The tilted rates against plain bisection of each source's words over its documents."""
+    rng = np.random.default_rng(3)
+    sizes = {"a": rng.integers(1, 80, 200), "b": rng.integers(1, 80, 300), "c": rng.integers(1, 20, 100)}
+    groups = spark.createDataFrame([("s" + k, int(x), 1) for k, v in sizes.items() for x in v], "key string, size long, n long").groupBy("key", "size").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    sources = mixing.targets(groups)
+    want = fill({k: int(v.sum()) for k, v in sizes.items()})
+    mean = sum(v.sum() for v in sizes.values()) / sum(map(len, sizes.values()))
+    for r in mixing.balance(groups, sources).collect():
+        x = sizes[r["key"][1:]]
+        words_at = lambda lam, x=x: float((np.minimum(3.0, np.exp(np.minimum(lam * x / mean, 2.0))) * x).sum())
+        low, high = -100.0, 100.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if words_at(mid) < want[r["key"][1:]] else (low, mid)
+        assert words_at(r["lam"]) == pytest.approx(want[r["key"][1:]], rel=1e-6)
+        assert r["lam"] == pytest.approx(high, abs=1e-4) or words_at(high) >= 3 * x.sum() - 1e-6
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_mixing(spark, seed):
     rng = np.random.default_rng(seed)
@@ -176,46 +209,77 @@ def test_elias_fano():
     rng = np.random.default_rng(2)
     for n, top in ((1, 0), (1, 10**9), (500, 3), (3000, 10**6), (2000, 2**45)):
         v = np.sort(rng.integers(0, top, n, endpoint=True))
-        raw = np.frombuffer(b"x" + b"".join(p.tobytes() for p in EliasFano.build(v).parts()), np.uint8)
-        e, end = EliasFano.view(raw, 1)
+        raw = np.frombuffer(b"x" * 8 + b"".join(p.tobytes() for p in EliasFano.build(v).parts()), np.uint8)
+        e, end = EliasFano.view(raw, 8)
         assert end == len(raw) and np.array_equal(e.access(np.arange(n)), v)
         q = np.concatenate([v, v + 1])
         at = e.find(q, np.zeros(len(q), int), np.full(len(q), n))
         assert np.array_equal(at >= 0, np.isin(q, v)) and np.array_equal(v[at[at >= 0]], q[at >= 0])
 
 
-def test_lm_scores(spark):
-    rng = np.random.default_rng(8)
-    rows = [(i, " ".join(rng.choice(["the", "The", "a", "cat", "é", "dog,", "x" + str(i)], 30)), "s") for i in range(120)] + [(500, "", "s"), (501, None, "s"), (None, "the cat", "s"), (3, "a\ta\x0ba", "s")]
-    got = lm_scoring.score_documents(frame(spark, rows), common.shared_path(spark, "lm")).collect()
-    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+def brute_lm(rows):
+    """Base score and score of each row in plain dictionaries, without quantisation."""
+    split = lambda t: [*(t or "").encode().lower().split(), None]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    train = [tokens(t) for i, t, _ in rows if not held(i)]
+    train = [split(t) for i, t, _ in rows if not held(i)]
     c = collections.Counter(w for ts in train for w in ts)
-    pairs, contexts = collections.Counter(), collections.Counter()
+    pairs, of_first, threes = collections.Counter(), collections.Counter(), collections.Counter()
     for ts in train:
-        for a, b in zip(["<s>", *ts], ts, strict=False):
-            pairs[a, b] += 1
-            contexts[a] += 1
+        for k, w in enumerate(ts):
+            before = ts[k - 1] if k else "<s>"
+            pairs[before, w] += 1
+            of_first[before] += 1
+            if k:
+                threes[ts[k - 2] if k > 1 else "<s>", before, w] += 1
     n, v = sum(c.values()), len(c)
-    p1 = lambda w: (c[w] + 1) / (n + v + 1)
-    want = collections.Counter()
+    out = []
     for i, t, _ in rows:
-        ts = tokens(t)
-        base = sum(math.log10(p1(w)) for w in ts)
-        score = sum(math.log10((pairs[a, w] + lm_scoring.MU * p1(w)) / (contexts[a] + lm_scoring.MU)) for a, w in zip(["<s>", *ts], ts, strict=False))
-        want[i, held(i), len(ts), sum(c[w] > 0 for w in ts), n, round(base, 6), round(score, 0)] += 1
-    for r in got:
-        near = [k for k in want if k[:5] == (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) and abs(k[5] - r["base_score"]) < 1e-5 and abs(k[6] - r["score"]) < 0.5 + 0.01 * r["n_tokens"]]
-        assert near
-    assert len(got) == len(rows)
+        base = score = 0.0
+        ts = split(t)
+        for k, w in enumerate(ts):
+            p1 = (c[w] + 1) / (n + v + 1)
+            b = ts[k - 1] if k else "<s>"
+            p = (pairs[b, w] + lm_scoring.WORD * p1) / (of_first[b] + lm_scoring.WORD)
+            a = ts[k - 2] if k > 1 else "<s>"
+            if k and pairs[a, b]:
+                p = (threes[a, b, w] + lm_scoring.PAIR * p) / (pairs[a, b] + lm_scoring.PAIR)
+            base, score = base + math.log10(p1), score + math.log10(p)
+        out.append((i, held(i), len(ts), sum(c[w] > 0 for w in ts), n, base, score))
+    return out
+
+
+@pytest.mark.parametrize("local", [21, 1])
+def test_lm_scores(spark, monkeypatch, local):
+    """Against brute force: shares are a code of 256 over their range in log10, so a token is off by 1/510 of it at most, and counts up to 128 are exact."""
+    monkeypatch.setattr(lm_scoring, "LOCAL", local)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["the", "The", "a", "cat", "é", "dog,", "x" + str(i), "x" + str(i % 9)], 30)), "s") for i in range(120)]
+    rows += [(500, "", "s"), (501, None, "s"), (None, "the cat", "s"), (3, "a\ta\x0ba", "s"), (502, "the cat a " * 3000, "s"), (7, rows[7][1], "s"), (7, rows[7][1], "s")]
+    got = lm_scoring.score_documents(frame(spark, rows), common.shared_path(spark, "lm")).collect()
+    want = sorted(brute_lm(rows), key=str)
+    got = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(sorted(got, key=lambda x: str(x[:5]) + f"{x[5]:.3f}"), sorted(want, key=lambda x: str(x[:5]) + f"{x[5]:.3f}"), strict=True):
+        assert g[5] == pytest.approx(w[5], rel=1e-9) and abs(g[6] - w[6]) <= 0.006 * w[2] + 1e-6
     assert lm_scoring.score_documents(frame(spark, rows[:1]).limit(0), common.shared_path(spark, "lm")).count() == 0
+    alone = lm_scoring.score_documents(frame(spark, rows).where("crc32(cast(doc_id as string)) % 7 = 2"), common.shared_path(spark, "lm")).collect()
+    assert alone and all(r["held_out"] and r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] == 0 for r in alone)
+
+
+def test_sums_are_written_and_read():
+    rng = np.random.default_rng(1)
+    for top in (1, 9, 2**33):
+        columns, counts = lm_scoring.add_up([rng.integers(0, top, 500, endpoint=True) for _ in range(3)], rng.integers(1, 2**35, 500))
+        back, n = lm_scoring.read_sums(lm_scoring.write_sums(columns, counts), 3)
+        assert all(np.array_equal(x, y) for x, y in zip(back, columns, strict=True)) and np.array_equal(n, counts)
 
 
 def test_split_contexts():
     count, below = np.array([1000, 1000, 10]), np.array([0, 0, 1000])
-    got = lm_scoring._shard_of(np.array([0, 0, 1]), np.array([0, 99, 5]), count, below, 1010, 100, 10)
+    got = lm_scoring.shard_of(below, count, np.array([0, 99, 5]), 1010, 100, 10)
     assert got[0] == 0 and got[1] >= 8 and got[2] == 9
+    huge = lm_scoring.shard_of(np.array([15 * 10**12]), np.array([10**12]), np.array([10**10]), 16 * 10**12, 10**10, 2_000_000)
+    assert 0 <= huge[0] < 2_000_000
 
 
 # ---- toxicity
@@ -244,9 +308,50 @@ def test_toxicity(spark):
     assert clean == {r["doc_id"] for r in got if r["score"] < 0.5}
     none = toxicity.detect(docs, marks.where("toxic = 0")).collect()
     assert len({r["score"] for r in none}) == 1
+    assert toxicity.reject_toxic(docs, marks).columns == docs.columns
     assert toxicity.detect(docs.limit(0), marks).count() == 0
 
 
+def test_risk_and_gradient():
+    """Sums and their gradient against a plain computation and finite differences, and training against the same steps on plain lists."""
+    rng = np.random.default_rng(6)
+    sets = [sorted(rng.choice(7, rng.integers(0, 6), replace=False).tolist()) for _ in range(40)]
+    x = [np.array(s, np.int16).tobytes() for s in sets]
+    n_p, n_u = rng.integers(0, 3, 40).astype(float), rng.integers(1, 4, 40).astype(float)
+    w = rng.normal(size=8)
+
+    def plain(w):
+        out = np.zeros(3)
+        for s, p, u in zip(sets, n_p, n_u, strict=True):
+            z = sum(w[c] for c in s) + w[-1]
+            out += [p * math.log1p(math.exp(-z)), p * math.log1p(math.exp(z)), u * math.log1p(math.exp(z))]
+        return out
+
+    risk, gradient = toxicity.risk_sums(x, n_p, n_u, w)
+    assert risk == pytest.approx(plain(w))
+    for k in range(8):
+        step = np.zeros(8)
+        step[k] = 1e-6
+        assert gradient[:, k] == pytest.approx((plain(w + step) - plain(w - step)) / 2e-6, abs=1e-4)
+    prior = 0.3
+    trained = toxicity.train(lambda v: toxicity.risk_sums(x, n_p, n_u, v), 7, n_p.sum(), n_u.sum(), prior)
+
+    def objective(v):
+        r = plain(v)
+        return prior * r[0] / n_p.sum() + max(0, r[2] / n_u.sum() - prior * r[1] / n_p.sum())
+
+    start = np.append(np.zeros(7), math.log(prior / (1 - prior)))
+    assert objective(trained) < objective(start)
+
+
+def test_threshold():
+    found_p, found_u = np.zeros(2 * toxicity.MARGIN * toxicity.BINS), np.zeros(2 * toxicity.MARGIN * toxicity.BINS)
+    found_p[4000:4100] = 1
+    found_u[2000:2800] = 1
+    found_u[4000:4100] = 1
+    assert 2800 <= (toxicity.threshold(found_p, found_u, 1 / 9) + toxicity.MARGIN) * toxicity.BINS <= 4000
+
+
 def test_toxicity_is_learnt_from_whole_texts(spark):
     rows = [(i, words(60, i) + " x" * 5_000 + (" idiot moron" if i % 5 == 0 else " fine"), "s") for i in range(400)]
     marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
@@ -279,6 +384,42 @@ def test_long_url(spark):
     assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in got) == [(1, 1, "response"), (2, 30, "response"), (3, 1, "revisit"), (4, 1, "response")]
 
 
+def test_more_repeated_payloads_than_are_sent(spark, monkeypatch):
+    rows, df = pages(spark)
+    more = df.unionByName(spark.createDataFrame([(100 + i, "u", f"<p>{i // 3}</p>", "x") for i in range(60)], df.schema))
+    key = lambda d: sorted(map(str, warc.archive_round_trip(d, common.shared_path(spark, "archives")).collect()))
+    want = key(more)
+    for sent, bits in ((1, 20), (3, 1)):
+        monkeypatch.setattr(warc, "SENT", sent)
+        monkeypatch.setattr(warc, "PREFIX_BITS", bits)
+        assert key(more) == want
+
+
+def test_members(spark, monkeypatch):
+    """Ranges cover every byte of a file once and inner ranges what a member unpacks to; damage costs only what lies behind it in its member."""
+    import gzip
+
+    records = [r for r in archive(spark) if len(r) < 5000] * 3
+    noise = b"junk" * 5
+    for piece in (1 << 20, 300):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        inside = records[0] + noise + b"".join(records[1:])
+        whole = noise + gzip.compress(inside) + b"".join(records[:2])
+        found = list(warc.salvage(memoryview(whole)))
+        ranges = sorted({(a, n) for _, a, n, _ in found})
+        assert sum(n for _, n in ranges) == len(whole) and all(a + n == b for (a, n), (b, _) in itertools.pairwise(ranges))
+        assert [k for k, *_ in found] == ["gap", "record", "gap", *["record"] * (len(records) - 1), "record", "record"]
+        assert [r["inner_length"] for _, a, _, r in found if isinstance(r, dict) and a == len(noise)] == list(map(len, records))
+        member = gzip.compress(inside, 0)
+        cut = list(warc.salvage(member[: len(member) - len(records[-1]) // 2] + records[0]))
+        assert sum(k == "record" for k, *_ in cut) == len(records) - 1 + 1
+        assert sum(n for _, n in {(a, n) for _, a, n, _ in cut}) == len(member) - len(records[-1]) // 2 + len(records[0])
+    big = b"x" * (3 << 20)
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + big
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    assert [(k, r["payload_bytes"]) for k, _, _, r in warc.salvage(gzip.compress(one))] == [("record", len(big))]
+
+
 def archive(spark):
     return [(r["record"]).encode() for r in warc.records(pages(spark)[1]).collect()]
 

@@ -57,6 +57,33 @@ def test_counts(spark, tmp_path):
     assert token_counts.count_tokens(docs.limit(0), WORD, path + "2").count() == 0
 
 
+def test_counts_stored_twice(spark, tmp_path):
+    """Two runs that store one content at once don't double rows."""
+    path, docs = f"file://{tmp_path}/cache", table(spark, [(1, "one two"), (2, "one two"), (3, None)])
+    first = sorted(map(str, token_counts.count_tokens(docs, WORD, path).collect()))
+    token_counts.read_cache(spark, path).write.mode("append").parquet(path + "-copy")
+    spark.read.parquet(path + "-copy").write.mode("append").parquet(path)
+    assert sorted(map(str, token_counts.count_tokens(docs, WORD, path).collect())) == first and len(first) == 3
+
+
+def test_long_chunks_leave_the_memo():
+    e, b = WordEncoder(WORD), ByteBpe(RANKS, P.PATTERN)
+    for t in ("x" * 5000 + " short", "é" * 3000, "ab" * 2000 + "."):
+        e.encode([t])
+        b.encode([t])
+    assert max(map(len, [*e.memo, *e.old])) <= 256 and max(map(len, [*b.memo, *b.old])) <= 256
+
+
+@pytest.mark.parametrize("block", [1, 7, 40, 8_000_000])
+def test_starts_ascend(spark, block):
+    """Null and repeated ids over several blocks: starts follow the order of ids."""
+    rows = [(None, f"word {i} " * (i % 5 + 1)) for i in range(30)] + [(5, f"again {i}") for i in range(30)] + [(i, "x y") for i in range(6, 12)]
+    got = token_binary.read_files(token_binary.encode_to_files(table(spark, rows), WORD, common.shared_path(spark, "blocks"), shards=3, block_ids=block)).collect()
+    got = sorted(got, key=lambda r: r["start"])
+    assert [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got] == sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got)
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist() and len(got) == len(rows)
+
+
 def test_piece_counts(spark, tmp_path):
     import sentencepiece
 
