@@ -199,3 +199,84 @@ ORACLE |= {
     "q_luma_delta": _sql(PIXELS + "fr AS (SELECT vec_id, lag(vec_id) OVER (PARTITION BY video_id ORDER BY vec_id) AS p FROM (SELECT DISTINCT vec_id, video_id FROM px)), dl AS (SELECT fr.vec_id, avg(abs(a.v - b.v)) / 255 AS d FROM fr JOIN ly a ON a.vec_id = fr.vec_id JOIN ly b ON b.vec_id = fr.p AND b.i = a.i GROUP BY 1), ", "SELECT DISTINCT px.video_id, px.vec_id AS frame_index, coalesce(round(d, 4), 1.0) AS delta FROM px LEFT JOIN dl USING (vec_id)"),
     "q_cell_embedding": _sql(PIXELS + "bl AS (SELECT *, lag(b, 1) OVER w AS lb, lag(b, 8) OVER w AS tb FROM ly WINDOW w AS (PARTITION BY vec_id ORDER BY i)), mo AS (SELECT vec_id, i, unnest([r / 255.0::DOUBLE, g / 255.0::DOUBLE, b / 255.0::DOUBLE, v / 255.0::DOUBLE, CASE WHEN x > 0 AND y > 0 THEN abs(v - lb) + abs(v - tb) ELSE 0.0 END / 255.0::DOUBLE, (r - b) / 255.0::DOUBLE, (g - r) / 255.0::DOUBLE, v / (r + 1.0::DOUBLE)]) AS m, unnest(range(8)) AS k FROM bl), nm AS (SELECT vec_id, greatest(1e-8, sqrt(sum(m * m))) AS n FROM mo GROUP BY 1), ", "SELECT vec_id AS frame_index, (i * 8 + k)::INT AS i, round(m / n, 5) + 0.0 AS x FROM mo JOIN nm USING (vec_id)"),
 }
+
+# ---- order-dependent operators as recursions: one node, merge, tracklet or pick after another
+
+_NODES = IDENTITIES + "nd AS (SELECT cohort, vec_id, v, q, co, row_number() OVER (PARTITION BY cohort ORDER BY vec_id) AS k, count(*) OVER (PARTITION BY cohort) AS n FROM i), "
+_NEAR_NODES = _NODES + "ns AS (SELECT a.cohort, a.k AS a, b.k AS b, a.co = b.co AND a.k <> b.k AS foe, a.q AS qa, b.q AS qb, round(least(1.0, greatest(-1.0, list_dot_product(a.v, b.v))), 12) AS sim FROM nd a JOIN nd b USING (cohort)), "
+_LABELS = _NEAR_NODES + """ed AS (SELECT cohort, a, b, sim, r FROM (SELECT *, row_number() OVER (PARTITION BY cohort, a ORDER BY sim DESC, b) AS r FROM ns) WHERE r <= 8 AND a <> b AND sim >= 0.35 AND NOT foe),
+ en AS (SELECT cohort, a, list(b ORDER BY r) AS bs, list(sim ORDER BY r) AS ss FROM ed GROUP BY cohort, a),
+ fn AS (SELECT cohort, a, list(b) AS fs FROM ns WHERE foe GROUP BY cohort, a),
+ st AS (SELECT nd.cohort, nd.k, nd.n, en.bs, en.ss, coalesce(fn.fs, []) AS fs FROM nd LEFT JOIN en ON en.cohort = nd.cohort AND en.a = nd.k LEFT JOIN fn ON fn.cohort = nd.cohort AND fn.a = nd.k),
+ lp AS (SELECT cohort, 0::BIGINT AS step, list(vec_id ORDER BY k) AS lab FROM nd GROUP BY cohort
+   UNION ALL SELECT cohort, step + 1, CASE WHEN len(vote) = 0 THEN lab ELSE list_concat(list_concat(lab[:k - 1], [list_reverse_sort(vote)[1].l]), lab[k + 1:]) END
+   FROM (SELECT cohort, step, k, lab, list_transform(list_distinct(ok), lambda l: {'s': list_sum(list_transform(list_filter(range(1, len(bs) + 1), lambda j: lab[bs[j]] = l), lambda j: ss[j])), 'f': -list_position(list_transform(bs, lambda j: lab[j]), l), 'l': l}) AS vote
+     FROM (SELECT lp.cohort, lp.step, st.k, lp.lab, coalesce(st.bs, []) AS bs, coalesce(st.ss, []) AS ss, list_filter(list_transform(coalesce(st.bs, []), lambda j: lp.lab[j]), lambda l: NOT list_contains(list_transform(st.fs, lambda j: lp.lab[j]), l)) AS ok
+       FROM lp JOIN st ON st.cohort = lp.cohort AND st.k = lp.step % st.n + 1 WHERE lp.step < 15 * st.n))),
+ fl AS (SELECT cohort, unnest(lab) AS l, unnest(range(1, len(lab) + 1)) AS k FROM lp QUALIFY step = max(step) OVER (PARTITION BY cohort)),
+ gp AS (SELECT cohort, l, row_number() OVER (PARTITION BY cohort ORDER BY count(*) DESC, min(k)) AS person FROM fl GROUP BY cohort, l), """
+_MERGED = _NEAR_NODES + """im AS (SELECT cohort, list_sort(list(sim)) AS l FROM ns WHERE foe AND a < b GROUP BY cohort),
+ th AS (SELECT cohort, least(0.62, greatest(0.30, CASE WHEN len(l) >= 5 THEN l[floor((len(l) - 1) * 0.95 + 0.5)::INT + 1] + 0.06 ELSE 0.45 END)) AS t FROM (SELECT DISTINCT cohort FROM nd) LEFT JOIN im USING (cohort)),
+ pl AS (SELECT cohort, list({'a': a, 'b': b, 's': sim, 'foe': foe, 'q': least(qa, qb)} ORDER BY a, b) AS ps, any_value(n) AS n FROM ns JOIN (SELECT DISTINCT cohort, n FROM nd) USING (cohort) WHERE a < b GROUP BY cohort),
+ ag AS (SELECT cohort, 0::BIGINT AS step, list(k ORDER BY k) AS lab FROM nd GROUP BY cohort
+   UNION ALL SELECT cohort, step + 1, list_transform(lab, lambda g: CASE WHEN g = y THEN x ELSE g END)
+   FROM (SELECT c.cohort, c.step, c.lab, c.x, c.y, row_number() OVER (PARTITION BY c.cohort ORDER BY c.s DESC, c.x, c.y) AS best, c.s, c.q FROM
+     (SELECT cohort, step, any_value(lab) AS lab, least(ga, gb) AS x, greatest(ga, gb) AS y, avg(s) AS s, bool_or(foe) AS foe, min(q) AS q FROM
+       (SELECT ag.cohort, ag.step, ag.lab, ag.lab[p.a] AS ga, ag.lab[p.b] AS gb, p.s, p.foe, p.q FROM ag JOIN pl USING (cohort), unnest(pl.ps) AS u(p)) WHERE ga <> gb GROUP BY cohort, step, least(ga, gb), greatest(ga, gb)) c WHERE NOT c.foe) b JOIN th USING (cohort) WHERE best = 1 AND s > -1 AND s >= t + (1 - q) * 0.03),
+ fl AS (SELECT cohort, unnest(lab) AS l, unnest(range(1, len(lab) + 1)) AS k FROM ag QUALIFY step = max(step) OVER (PARTITION BY cohort)),
+ gp AS (SELECT cohort, l, row_number() OVER (PARTITION BY cohort ORDER BY count(*) DESC, min(k)) AS person FROM fl GROUP BY cohort, l), """
+_REGISTERED = _NODES + """un AS (SELECT *, list_transform(v, lambda x: x / greatest(1e-8, sqrt(list_dot_product(v, v)))) AS u FROM nd),
+ rg AS (SELECT cohort, 0::BIGINT AS step, n, []::STRUCT(w DOUBLE[], b DOUBLE[], qm DOUBLE, fr BIGINT[])[] AS ps, 0::BIGINT AS person FROM (SELECT DISTINCT cohort, n FROM nd)
+  UNION ALL SELECT cohort, step + 1, n, CASE WHEN pick IS NULL THEN list_append(ps, {'w': u, 'b': v, 'qm': q, 'fr': [co]})
+     ELSE list_concat(list_append(ps[:pick - 1], {'w': list_transform(mw, lambda x: x / greatest(1e-8, sqrt(list_dot_product(mw, mw)))), 'b': CASE WHEN ps[pick].qm >= q THEN ps[pick].w ELSE v END, 'qm': ps[pick].qm + q, 'fr': list_append(ps[pick].fr, co)}), ps[pick + 1:]) END,
+     coalesce(pick, len(ps) + 1)
+  FROM (SELECT *, list_transform(range(1, len(v) + 1), lambda d: coalesce(ps[pick].w[d], 0.0) * greatest(0.05, coalesce(ps[pick].qm, 0.0)) + v[d] * greatest(0.05, q)) AS mw FROM
+   (SELECT *, CASE WHEN len(sc) > 0 AND list_reverse_sort(sc)[1].s >= 0.3 THEN list_reverse_sort(sc)[1].j END AS pick FROM
+    (SELECT *, list_transform(list_filter(near, lambda x: NOT list_contains(ps[x.j].fr, co)), lambda x: {'s': least(1.0, greatest(-1.0, 0.6 * x.d + 0.2 * list_dot_product(ps[x.j].b, v) + 0.1 * list_dot_product(ps[x.j].b, u) + 0.1 * list_dot_product(v, ps[x.j].w))), 'd': x.d, 'f': x.f, 'j': x.j}) AS sc FROM
+     (SELECT r.cohort, r.step, r.n, r.ps, un.v, un.u, un.q, un.co, list_slice(list_reverse_sort(list_transform(range(1, len(r.ps) + 1), lambda j: {'d': list_dot_product(r.ps[j].w, un.u), 'f': -j, 'j': j})), 1, 5) AS near
+      FROM rg r JOIN un ON un.cohort = r.cohort AND un.k = r.step + 1))))), """
+_FACES_BY_FRAME = DETECTIONS + "ff AS (SELECT video_id, frame_index AS fr, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) AS fk, list({'d': det_id::BIGINT, 'l': l::DOUBLE, 't': t::DOUBLE} ORDER BY det_id) AS faces FROM s GROUP BY video_id, frame_index), "
+_tx, _ty = "tk.tr[a]", "tk.faces[b]"
+_t_inter = f"greatest(0.0, 120 - abs({_tx}.x - 60 - {_ty}.l)) * greatest(0.0, 160 - abs({_tx}.y - 80 - {_ty}.t))"
+_t_score = f"0.25 + 0.3 * ({_t_inter}) / (38400 - ({_t_inter})) + 0.2 * greatest(0.0, least(1.0, 1 - sqrt(({_tx}.x - 60 - {_ty}.l) ^ 2 + ({_tx}.y - 80 - {_ty}.t) ^ 2) / 120.0 / 1.5))"
+_t_state = "{{'id': {id}, 'x': {x}, 'vx': {vx}, 'y': {y}, 'vy': {vy}, 'p': {p}, 'pv': {pv}, 'since': {since}, 'used': {used}}}"
+_t_aged = _t_state.format(id="x.id", x="x.x + x.vx", vx="x.vx", y="x.y + x.vy", vy="x.vy", p="x.p + (1.0 + x.pv)", pv="x.pv + 0.01", since="x.since + 1", used="false")
+_t_born = _t_state.format(id="nx + k", x="faces[k].l + 60", vx="0.0::DOUBLE", y="faces[k].t + 80", vy="0.0::DOUBLE", p="111.0::DOUBLE", pv="100.01::DOUBLE", since="1", used="false")
+_t_hit = _t_state.format(id="o.id", x="nxx", vx="o.vx + 0.5 * g * (f.l + 60 - nxx)", y="nyy", vy="o.vy + 0.5 * g * (f.t + 80 - nyy)", p="o.p * (1 - g)", pv="o.pv", since="0", used="true")
+_TRACKS = _FACES_BY_FRAME + f"""al AS (SELECT video_id, unnest(range(min(fr), max(fr) + 1)) AS fr FROM ff GROUP BY video_id), af AS (SELECT al.video_id, al.fr, coalesce(ff.faces, []) AS faces FROM al LEFT JOIN ff ON ff.video_id = al.video_id AND ff.fr = al.fr),
+  tk AS (SELECT video_id, fr, faces, []::STRUCT(id BIGINT, x DOUBLE, vx DOUBLE, y DOUBLE, vy DOUBLE, p DOUBLE, pv DOUBLE, since BIGINT, used BOOLEAN)[] AS tr, 0::BIGINT AS nx, []::STRUCT(d BIGINT, id BIGINT)[] AS got FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY fr) AS n FROM af) WHERE n = 1
+  UNION ALL SELECT video_id, CASE WHEN i IS NULL THEN fr + 1 ELSE fr END, CASE WHEN i IS NULL THEN nfaces ELSE list_concat(faces[:j - 1], faces[j + 1:]) END,
+    CASE WHEN i IS NULL THEN list_concat(list_transform(list_filter(tr, lambda x: x.since <= 4), lambda x: {_t_aged}), list_transform(range(1, len(faces) + 1), lambda k: {_t_born}))
+      ELSE list_concat(list_append(tr[:i - 1], {_t_hit}), tr[i + 1:]) END,
+    CASE WHEN i IS NULL THEN nx + len(faces) ELSE nx END,
+    CASE WHEN i IS NULL THEN list_transform(range(1, len(faces) + 1), lambda k: {{'d': faces[k].d, 'id': nx + k}}) ELSE [{{'d': f.d, 'id': o.id}}] END
+  FROM (SELECT *, o.x + g * (f.l + 60 - o.x) AS nxx, o.y + g * (f.t + 80 - o.y) AS nyy FROM (SELECT *, tr[i] AS o, faces[j] AS f, tr[i].p / (tr[i].p + 1.0) AS g FROM
+   (SELECT *, -list_reverse_sort(ps)[1].i AS i, -list_reverse_sort(ps)[1].j AS j FROM
+    (SELECT tk.*, n.faces AS nfaces, list_filter(flatten(list_transform(range(1, len(tk.tr) + 1), lambda a: list_transform(range(1, len(tk.faces) + 1), lambda b: {{'s': CASE WHEN tk.tr[a].used THEN 0.0 ELSE {_t_score} END, 'i': -a, 'j': -b}}))), lambda x: x.s >= 0.40) AS ps
+     FROM tk LEFT JOIN af n ON n.video_id = tk.video_id AND n.fr = tk.fr + 1 WHERE tk.faces IS NOT NULL))))),
+  gt AS (SELECT video_id, unnest(got) AS g FROM tk), """
+_iw = lambda a, b: f"greatest(0.0, least({a}.l, {b}.l) + 120 - greatest({a}.l, {b}.l)) * greatest(0.0, least({a}.t, {b}.t) + 160 - greatest({a}.t, {b}.t))"
+_dr = lambda a, b: f"sqrt(({a}.l - {b}.l) ^ 2 + ({a}.t - {b}.t) ^ 2) / 120.0"
+_TRACKLETS = _FACES_BY_FRAME + f"""tk AS (SELECT video_id, 1::BIGINT AS fk, fr, faces, []::STRUCT(id BIGINT, l DOUBLE, t DOUBLE, last BIGINT, used BOOLEAN)[] AS tr, 0::BIGINT AS nx, []::STRUCT(d BIGINT, id BIGINT)[] AS got FROM ff WHERE fk = 1
+  UNION ALL SELECT video_id, CASE WHEN i IS NULL THEN fk + 1 ELSE fk END, CASE WHEN i IS NULL THEN nfr ELSE fr END, CASE WHEN i IS NULL THEN nfaces ELSE list_concat(faces[:j - 1], faces[j + 1:]) END,
+    CASE WHEN i IS NULL THEN list_concat(list_transform(list_filter(tr, lambda x: x.last >= nfr - 2), lambda x: {{'id': x.id, 'l': x.l, 't': x.t, 'last': x.last, 'used': false}}), CASE WHEN fr >= nfr - 2 THEN list_transform(range(1, len(faces) + 1), lambda k: {{'id': nx + k - 1, 'l': faces[k].l, 't': faces[k].t, 'last': fr, 'used': false}}) ELSE [] END)
+      ELSE list_concat(list_append(tr[:i - 1], {{'id': tr[i].id, 'l': faces[j].l, 't': faces[j].t, 'last': fr, 'used': true}}), tr[i + 1:]) END,
+    CASE WHEN i IS NULL THEN nx + len(faces) ELSE nx END,
+    CASE WHEN i IS NULL THEN list_transform(range(1, len(faces) + 1), lambda k: {{'d': faces[k].d, 'id': nx + k - 1}}) ELSE [{{'d': faces[j].d, 'id': tr[i].id}}] END
+  FROM (SELECT *, -list_reverse_sort(ps)[1].i AS i, -list_reverse_sort(ps)[1].j AS j FROM
+    (SELECT tk.*, n.fr AS nfr, n.faces AS nfaces, list_filter(flatten(list_transform(range(1, len(tk.tr) + 1), lambda a: list_transform(range(1, len(tk.faces) + 1), lambda b: {{'s': CASE WHEN tk.tr[a].used THEN 0.0 ELSE coalesce((SELECT_SCORE), 0.0) END, 'i': -a, 'j': -b}}))), lambda x: x.s > 0) AS ps
+     FROM tk LEFT JOIN ff n ON n.video_id = tk.video_id AND n.fk = tk.fk + 1 WHERE tk.faces IS NOT NULL))),
+  gt AS (SELECT video_id, fr, unnest(got) AS g FROM (SELECT video_id, got, lag(fr) OVER () AS fr FROM tk)), """
+_g_inter, _g_drift = _iw(_tx, _ty), _dr(_tx, _ty)
+_g_score = f"CASE WHEN ({_g_inter}) / (38400 - ({_g_inter})) >= 0.3 OR {_g_drift} <= 1.1 THEN ({_g_inter}) / (38400 - ({_g_inter})) + 0.4 * greatest(0.0, least(1.0, 1 - {_g_drift} / 1.1)) + 0.25 ELSE 0.0 END"
+_TRACKLETS = _TRACKLETS.replace('(SELECT_SCORE)', _g_score)
+_TRACKLETS = _TRACKLETS.replace("gt AS (SELECT video_id, fr, unnest(got) AS g FROM (SELECT video_id, got, lag(fr) OVER () AS fr FROM tk)), ", "gt AS (SELECT video_id, unnest(got) AS g FROM tk), ga AS (SELECT gt.video_id, g.d AS det_id, g.id AS id, s.frame_index AS fr FROM gt JOIN s ON s.det_id = g.d), gb AS (SELECT video_id, id, min(fr) AS first, max(fr) AS last FROM ga GROUP BY 1, 2), gc AS (SELECT gb.*, (SELECT min(ff.fr) FROM ff WHERE ff.video_id = gb.video_id AND ff.fr > gb.last + 2) AS closed FROM gb), gd AS (SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY first, closed NULLS LAST, id) - 1 AS tracklet_id FROM gc), ")
+
+_PERSONS = "SELECT cohort, vec_id AS tracklet_id, person::INT AS person_id FROM fl JOIN gp USING (cohort, l) JOIN nd USING (cohort, k)"
+ORACLE |= {
+    "q_label_prop": _sql(_LABELS, _PERSONS),
+    "q_agglomerative": _sql(_MERGED, _PERSONS),
+    "q_registry": _sql(_REGISTERED, "SELECT rg.cohort, vec_id AS tracklet_id, person::INT AS person_id FROM rg JOIN nd ON nd.cohort = rg.cohort AND nd.k = rg.step"),
+    "q_tracks": _sql(_TRACKS, "SELECT video_id, g.d AS det_id, g.id::INT AS track_id FROM gt"),
+    "q_tracklets": _sql(_TRACKLETS, "SELECT ga.video_id, ga.det_id, gd.tracklet_id::INT AS tracklet_id FROM ga JOIN gd USING (video_id, id)"),
+}
