@@ -227,6 +227,7 @@ def _verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        common.release()
 
     stream = members.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
     links = common.materialise(stream.mapInArrow(check, "a binary, b binary"), "links")
@@ -286,6 +287,8 @@ def _left_over(rows: DataFrame, blobs: DataFrame) -> DataFrame:
                     column.append(value)
         if now:
             yield out()
+        group = None
+        common.release()
 
     return spread.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(stream, "a binary, b binary")
 

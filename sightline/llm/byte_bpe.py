@@ -64,7 +64,7 @@ class PerfectHash:
 class ByteBpe:
     """Encoder and decoder for a file of ranks (base64 token, rank)."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 800_000) -> None:
+    def __init__(self, path: str, pattern: str, memo: int = 400_000) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.find = regex.compile(pattern).findall

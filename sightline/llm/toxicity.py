@@ -117,6 +117,8 @@ def _reduced(rows: DataFrame, names: list[str], start: Callable[[], object], ste
             step(state, *batch.columns)
         if some:
             yield pa.RecordBatch.from_pydict(finish(state), schema=kind)
+        del state
+        common.release()
 
     return rows.select(*names).mapInArrow(run, fields)
 
@@ -163,12 +165,14 @@ def _background(texts: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
 def features(text: Column, vocabulary: dict[str, int]) -> Column:
     """The columns of a whole text's words in the vocabulary, in order, int16 each."""
 
-    @F.pandas_udf("binary")
-    def columns(texts):
+    @F.pandas_udf("binary", F.PandasUDFType.SCALAR_ITER)
+    def columns(batches):
         import pandas as pd
 
         keys = vocabulary.keys()
-        return pd.Series([np.array(sorted(vocabulary[w] for w in keys & marks_of(t)), np.int16).tobytes() for t in texts])
+        for texts in batches:
+            yield pd.Series([np.array(sorted(vocabulary[w] for w in keys & marks_of(t)), np.int16).tobytes() for t in texts])
+        common.release()
 
     return columns(text)
 
