@@ -99,6 +99,16 @@ def conflict(a: Piece, b: Piece, apart: float = 0.35) -> bool:
     return any(a.frames[f] is None or b.frames[f] is None or iou(a.frames[f], b.frames[f]) < apart for f in a.frames.keys() & b.frames.keys())
 
 
+def conflicts(pieces: list[Piece]) -> set[tuple[int, int]]:
+    """Places (i, j), i < j, of the tracklets that conflict; only those that share a frame are compared."""
+    by_frame: dict = {}
+    for i, p in enumerate(pieces):
+        for f in p.frames:
+            by_frame.setdefault(f, []).append(i)
+    pairs = {(i, j) for here in by_frame.values() for n, i in enumerate(here) for j in here[n + 1 :]}
+    return {(i, j) for i, j in pairs if conflict(pieces[i], pieces[j])}
+
+
 def _goes_on_from(x: tuple | None, y: tuple | None, reach: float, scale: float | None = None) -> bool:
     from sightline.operators.tracking import drift
 
@@ -134,7 +144,7 @@ def propagate_labels(pieces: list[Piece], least: float = 0.65, k: int = 8, round
     if len(pieces) < 2:
         return {p.id: 1 for p in pieces}
     usable = [p for p in pieces if p.vector is not None]
-    bad = {(a.id, b.id) for a in pieces for b in pieces if a.id != b.id and conflict(a, b)}
+    bad = {(pieces[x].id, pieces[y].id) for i, j in conflicts(pieces) for x, y in ((i, j), (j, i))}
     edges: dict[int, list[tuple[int, float]]] = {}
     if usable:
         sims = np.round(np.clip(np.stack([p.vector for p in usable]) @ np.stack([p.vector for p in usable]).T, -1, 1), 12)
@@ -183,37 +193,45 @@ def agglomerate(pieces: list[Piece], fallback: float = FALLBACK) -> dict[int, in
     usable, orphans = [p for p in pieces if p.vector is not None], [p for p in pieces if p.vector is None]
     if not usable:
         return {p.id: k + 1 for k, p in enumerate(pieces)}
-    foe = {(a.id, b.id): conflict(a, b) for a in pieces for b in pieces if a.id < b.id}
-    apart = lambda a, b: foe[min(a.id, b.id), max(a.id, b.id)]
-    sim = lambda a, b: float(np.clip(a @ b, -1, 1))
-    genuine = [sim(x, y) for p in usable for i, x in enumerate(p.members) for y in p.members[i + 1 :]]
-    impostor = [sim(a.vector, b.vector) for i, a in enumerate(usable) for b in usable[i + 1 :] if set(a.frames) & set(b.frames)]
-    threshold = calibrate(genuine, impostor, fallback)
-    groups = [[p] for p in usable]
+    ordered = [*usable, *orphans]
+    foes = np.zeros((len(ordered), len(ordered)), bool)
+    for i, j in conflicts(ordered):
+        foes[i, j] = foes[j, i] = True
+    n = len(usable)
+    vectors = np.stack([p.vector for p in usable])
+    sims = np.clip(vectors @ vectors.T, -1, 1)
+    seen: dict = {}
+    for i, p in enumerate(usable):
+        for f in p.frames:
+            seen.setdefault(f, []).append(i)
+    together = {(i, j) for here in seen.values() for k, i in enumerate(here) for j in here[k + 1 :]}
+    genuine = [float(np.clip(x @ y, -1, 1)) for p in usable for i, x in enumerate(p.members) for y in p.members[i + 1 :]]
+    threshold = calibrate(genuine, [float(sims[i, j]) for i, j in sorted(together)], fallback)
+    # a group stands at the place of its first tracklet; sums of similarities, sizes and conflicts are kept up as groups merge
+    groups: dict[int, list[int]] = {i: [i] for i in range(n)}
+    sums, sizes, sure, apart = sims.copy(), np.ones(n), np.array([p.quality for p in usable], float), foes[:n, :n].copy()
+    open_ = np.triu(np.ones((n, n), bool), 1)
     while len(groups) > 1:
-        best, at = -1.0, None
-        for i, a in enumerate(groups):
-            for j in range(i + 1, len(groups)):
-                b = groups[j]
-                if any(apart(x, y) for x in a for y in b):
-                    continue
-                s = sum(sim(x.vector, y.vector) for x in a for y in b) / (len(a) * len(b))
-                if s > best:
-                    best, at = s, (i, j)
-        if at is None:
-            break
-        sure = min(p.quality for p in groups[at[0]] + groups[at[1]])
-        if best < threshold + (1 - sure) * 0.03:
+        mean = np.where(open_ & ~apart, sums / np.outer(sizes, sizes), -1.0)
+        i, j = divmod(int(mean.argmax()), n)
+        if mean[i, j] <= -1 or mean[i, j] < threshold + (1 - min(sure[i], sure[j])) * 0.03:
             break
-        groups[at[0]] += groups.pop(at[1])
-    for p in orphans:
-        for g in groups:
-            if not any(apart(p, q) for q in g) and any(adjoins(q, p, 1000.0) for q in g):
-                g.append(p)
+        groups[i] += groups.pop(j)
+        sums[i] += sums[j]
+        sums[:, i] += sums[:, j]
+        apart[i] |= apart[j]
+        apart[:, i] |= apart[:, j]
+        sizes[i], sure[i] = sizes[i] + sizes[j], min(sure[i], sure[j])
+        open_[j] = open_[:, j] = False
+    members = list(groups.values())
+    for k, p in enumerate(orphans, n):
+        for g in members:
+            if not foes[k, g].any() and any(adjoins(ordered[q], p, 1000.0) for q in g):
+                g.append(k)
                 break
         else:
-            groups.append([p])
-    return _numbered(groups)
+            members.append([k])
+    return _numbered([[ordered[k] for k in g] for g in members])
 
 
 @dataclass
