@@ -1,5 +1,8 @@
 """From raw documents to token ids: toxic and poor documents go, one of each group of near copies stays, sources are mixed to
-target weights, and what is left is encoded."""
+target weights, and what is left is encoded.
+
+All stages: an empty table gives no rows, columns of any name pass through, and a null or blank text is one without words: toxicity keeps it, quality
+rejects it, near_dedup keeps each such row, mixing keeps it once and byte_bpe gives it no ids (blanks their own). Null sources are one source, null ids are ids like others."""
 
 from __future__ import annotations
 
@@ -14,27 +17,28 @@ from sightline.llm.toxicity import reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go; the classifier learns from docs and the labels of sf_dir outside the held-out fold."""
+    """Documents scored as toxic go; the classifier learns from docs and the labels of sf_dir outside the held-out fold. Repeated rows
+    all stay or go; without labels of toxic documents all stay."""
     return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or whose source does, go."""
+    """Documents that fail the rules, or whose source does, go. Repeated rows each count for their source, and all stay or go."""
     return keep_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of the least doc_id stays."""
+    """Of each class of near copies the document of the least doc_id stays, null ids last, and of its repeated rows one. A document of any length is compared whole."""
     return keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for, up to three times."""
+    """Each document as often as its source's target asks for, up to three times; repeated rows are documents of their own, ties of size are told apart by hash."""
     return mixed_documents(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, repeated or not."""
     import public_tokenizers
 
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
