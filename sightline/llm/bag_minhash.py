@@ -153,7 +153,7 @@ def _signed(docs: DataFrame) -> DataFrame:
         return each
 
     text = common.text_of(docs)
-    return common.arrow_map(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")), make, "doc_id long, t long, key binary, bands array<long>, sig binary")
+    return common.arrow_map(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")), make, "doc_id long, t long, key binary, bands array<long>, sig binary", tidy=True)
 
 
 def _bits(needed: DataFrame) -> np.ndarray:
@@ -191,7 +191,7 @@ def _blobs(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
         return each
 
-    found = common.arrow_map(docs.select(F.xxhash64(text).alias("t"), text.alias("text")), make, "key binary, blob binary").join(needed.select("key"), "key", "left_semi")
+    found = common.arrow_map(docs.select(F.xxhash64(text).alias("t"), text.alias("text")), make, "key binary, blob binary", tidy=True).join(needed.select("key"), "key", "left_semi")
     one = found.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("blob"))).where("copy = 1")
     return common.materialise(one.select("key", "blob"), "shingles")
 

@@ -228,4 +228,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return each
 
-    return common.arrow_map(docs.select("doc_id", common.text_of(docs).alias("text")), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.arrow_map(docs.select("doc_id", common.text_of(docs).alias("text")), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", tidy=True)
