@@ -41,9 +41,12 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, repeated or not."""
     import public_tokenizers
 
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, memo=MEMO)
 
 
+#: Pre-tokens that a worker remembers during a task of byte_bpe: it has held the earlier stages, and an executor has little memory left.
+MEMO = 60_000
+
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_dedup", near_dedup), ("mixing", mixing), ("byte_bpe", byte_bpe)]
 
 #: Training a classifier and minhash are not SQL; tests/llm hold the stages against brute force.

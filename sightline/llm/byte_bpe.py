@@ -172,6 +172,9 @@ class ByteBpe:
             memo.pop(u, None)
         return out
 
+    def forget(self) -> None:
+        self.memo, self.old = {}, {}
+
     def decode(self, ids: np.ndarray) -> bytes:
         return self._gather(self.bytes_table, ids)
 
@@ -184,9 +187,13 @@ class ByteBpe:
 _OTHER_SPACE = regex.compile(r"[^\S \n]").search
 
 
+#: Pre-tokens that a worker remembers.
+MEMO = 400_000
+
+
 @lru_cache(maxsize=2)
-def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+def byte_bpe(path: str, pattern: str, memo: int = MEMO) -> ByteBpe:
+    return ByteBpe(path, pattern, memo)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -210,15 +217,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return common.arrow_map(docs.select("doc_id", common.text_of(docs).alias("text")), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, memo: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text): whole texts are encoded and the ids decoded again.
 
     A null text is empty (no ids). Repeated rows and null ids keep their rows; an empty table gives none; other columns are ignored.
-    Documents stay in their partitions: nothing is shuffled, and a task holds a slice of texts and a bounded memo.
+    Documents stay in their partitions: nothing is shuffled, and a task holds a slice of texts and a bounded memo. memo: so many pre-tokens at most, forgotten
+    after each task, for stages that share workers with others; without it a worker keeps MEMO of them from task to task.
     """
 
     def make():
-        coder = byte_bpe(path, pattern)
+        coder = byte_bpe(path, pattern, memo or MEMO)
 
         def each(batch):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -226,6 +234,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 codes = coder.encode(texts[a:b])
                 yield {"doc_id": ids.slice(a, b - a), "n_tokens": [len(c) for c in codes], "ids_sha256": [hashlib.sha256(coder.decimal(c)).hexdigest() for c in codes], "decoded_sha256": [hashlib.sha256(coder.decode(c)).hexdigest() for c in codes]}
 
+        if memo:
+            each.done = coder.forget
         return each
 
     return common.arrow_map(docs.select("doc_id", common.text_of(docs).alias("text")), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", tidy=True)

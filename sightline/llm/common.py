@@ -126,7 +126,7 @@ def slices(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str, tidy: bool = False) -> DataFrame:
-    """mapInArrow over a function built once a task. It turns a batch into dicts of columns. tidy: the worker gives free memory back after each task, which
+    """mapInArrow over a function built once a task. It turns a batch into dicts of columns; its attribute done, if any, is called at the end. tidy: the worker gives free memory back after each task, which
     costs some 6 % of an encoder's time and is for operators that share workers with others in a pipeline."""
     from pyspark.sql.types import _parse_datatype_string
 
@@ -140,6 +140,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
         for batch in batches:
             for columns in each(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in out], schema=out)
+        getattr(each, "done", lambda: None)()
         if tidy:
             release()
 
