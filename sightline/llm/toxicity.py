@@ -162,6 +162,11 @@ def _background(texts: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
+def _columns_of(texts, vocabulary: dict[str, int]) -> list[bytes]:
+    keys = vocabulary.keys()
+    return [np.array(sorted(vocabulary[w] for w in keys & marks_of(t)), np.int16).tobytes() for t in texts]
+
+
 def features(text: Column, vocabulary: dict[str, int]) -> Column:
     """The columns of a whole text's words in the vocabulary, in order, int16 each."""
 
@@ -169,9 +174,8 @@ def features(text: Column, vocabulary: dict[str, int]) -> Column:
     def columns(batches):
         import pandas as pd
 
-        keys = vocabulary.keys()
         for texts in batches:
-            yield pd.Series([np.array(sorted(vocabulary[w] for w in keys & marks_of(t)), np.int16).tobytes() for t in texts])
+            yield pd.Series(_columns_of(texts, vocabulary))
         common.release()
 
     return columns(text)
@@ -189,6 +193,21 @@ def probability(x: Column, model: dict) -> Column:
     return scored(x)
 
 
+def probability_of_text(text: Column, model: dict) -> Column:
+    """probability() of the features() of whole texts, in one function: two of unlike kinds take a task two Python workers, which live on in the executor."""
+    vocabulary, weight = model["vocabulary"], np.append(model["weight"], model["bias"])
+
+    @F.pandas_udf("double", F.PandasUDFType.SCALAR_ITER)
+    def scored(batches):
+        import pandas as pd
+
+        for texts in batches:
+            yield pd.Series(1 / (1 + np.exp(-margins(_columns_of(texts, vocabulary), weight)[2])))
+        common.release()
+
+    return scored(text)
+
+
 def _learnt(rows: DataFrame, labels: DataFrame) -> tuple[dict, DataFrame]:
     """A model {vocabulary, weight, bias} of rows(doc_id, held, text), and doc_id, held and features x of each row, written to the shared folder."""
     marks = labels.where(~held_out(labels["doc_id"])).where("toxic is not null").select(labels["doc_id"].alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -258,4 +277,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     table gives no rows. Texts stay where they are read: their features are worked out again for the filter, which costs less than a copy of all texts."""
     model, table = _learnt(_rows(docs), labels)
     common.discard(table)
-    return docs.where(probability(features(common.text_of(docs), model["vocabulary"]), model) < threshold)
+    return docs.where(probability_of_text(common.text_of(docs), model) < threshold)

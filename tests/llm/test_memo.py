@@ -2,6 +2,7 @@
 
 import public_tokenizers
 from sightline.llm import byte_bpe as B
+from sightline.llm import toxicity as T
 
 
 def test_a_stage_forgets_its_pretokens(spark, monkeypatch):
@@ -25,3 +26,13 @@ def test_a_stage_forgets_its_pretokens(spark, monkeypatch):
     B.round_trip(docs, path, public_tokenizers.PATTERN, memo=100)
     coder = B.byte_bpe(path, public_tokenizers.PATTERN, 100)
     assert made["rows"] == 300 and not coder.memo and not coder.old
+
+
+def test_rejecting_takes_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(i, f"awful text {i}" if i % 4 == 0 else f"plain words {i}" if i % 9 else None) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 600, 2)], "doc_id long, toxic int")
+    kept = T.reject_toxic(docs, labels)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # each such node of a task has a worker of its own
+    scores = {r["doc_id"]: r["score"] for r in T.detect(docs, labels).collect()}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, s in scores.items() if s < 0.5) and 0 < kept.count() < 600
