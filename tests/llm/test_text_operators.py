@@ -62,6 +62,33 @@ def test_bad_hosts_go_and_clean_ones_stay(spark):
     assert keep_documents(frame(spark, good)).columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_quality_writes_no_texts(spark):
+    """What the filter leaves in the shared folder is small beside the texts: it stayed until the pipeline's end."""
+    from pathlib import Path
+
+    folder = Path(common.shared_root(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    docs = [(i, words(1000, i), "ab"[i % 2]) for i in range(60)] + [(100, "spam " * 40, "a")]
+    before = size()
+    kept = keep_documents(frame(spark, docs))
+    assert kept.count() == 60
+    assert size() - before < 0.1 * sum(len(t) for _, t, _ in docs)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_quality_filter_keeps_what_judge_keeps(spark, monkeypatch, bits):
+    """Also where the bit map is full, so that kept rows are measured again."""
+    from sightline.llm import host_quality
+
+    monkeypatch.setattr(host_quality, "MARK_BITS", bits)
+    rows = [(i, words(30 + i, i), ["s", None, "t", "bad"][i % 4]) for i in range(200)] + [(300 + i, "# " * 40 + words(40, i), "bad") for i in range(60)]
+    rows += [(400 + i, t, ["s", None, "t"][i % 3]) for i, t in enumerate(QUALITY)] + [(3, words(33, 3), "bad"), (500, words(40), "s"), (501, words(40), "bad")]
+    docs = frame(spark, rows)
+    want = collections.Counter(r["doc_id"] for r in judge(docs).collect() if r["kept"])
+    assert 100 < sum(want.values()) < len(rows) - 60
+    assert collections.Counter(r["doc_id"] for r in keep_documents(docs).collect()) == want
+
+
 # ---- mixing
 
 def fill(sizes, cap=3):
