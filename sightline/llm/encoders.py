@@ -22,6 +22,16 @@ _BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + n) for n, b in enumera
 _BREAKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
+class _Memo(dict):
+    """Looks each chunk up once and asks learn for those it lacks, without sets of a text's chunks beside it."""
+
+    def __init__(self, learn) -> None:
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.learn(chunk)
+
+
 class WordEncoder:
     """tokenizers files whose pre-tokens never span white space and drop it: the ids of a text are those of its chunks between
     ASCII white space, one after another. Chunks are looked up in a bounded memo and only new ones are encoded by the library."""
@@ -40,9 +50,8 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.merges = self.tokenizer.model.tokenize
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = _Memo(self._learn)
         self.old: dict[str, bytes] = {}
-        self.long: list[str] = []
         self.limit = memo // 2
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -66,49 +75,42 @@ class WordEncoder:
                 self.memo[low] = ids
         return ids
 
-    def _learn(self, chunks: set[str]) -> None:
-        memo, plain, rest = self.memo, self._plain, []
-        for mark in (".", ","):
-            if mark not in memo:
-                memo[mark] = self._library([mark])[0]
-        for c in chunks:
+    def _learn(self, c: str) -> bytes:
+        """The ids of one chunk that the memo lacks."""
+        ids = self.old.get(c)
+        if ids is None:
             # letters and one full stop or comma are two pre-tokens
-            ids = plain(c[:-1]) if c[-1:] in (".", ",") else plain(c)
+            mark = c[-1:] if c[-1:] in (".", ",") else ""
+            ids = self._plain(c[:-1]) if mark else self._plain(c)
             if ids is None:
-                rest.append(c)
-            else:
-                memo[c] = ids + memo[c[-1]] if c[-1] in ".," else ids
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            memo.update(zip(part, self._library(part), strict=True))
+                ids = self._whole(c)
+            elif mark:
+                ids += self._of_mark(mark)
+        if len(c) <= KEPT:
+            self.memo[c] = ids
+        return ids
+
+    def _of_mark(self, mark: str) -> bytes:
+        ids = self.memo.get(mark)
+        if ids is None:
+            ids = self.memo[mark] = self._whole(mark)
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts as little-endian bytes of self.dtype."""
         if not self.by_chunk:
             return self._library(texts)
-        cut = [t.translate(_BREAKS).split(" ") if "\t" in t or "\r" in t or "\x0b" in t or "\x0c" in t else t.replace("\n", " ").split(" ") for t in texts]
-        self._need(cut)
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, chunks)) for chunks in cut]
-        while self.long:
-            self.memo.pop(self.long.pop(), None)
+        out = []
+        for t in texts:
+            if len(self.memo) >= self.limit:
+                self.old, self.memo = self.memo, _Memo(self._learn)
+            chunks = t.translate(_BREAKS).split(" ") if "\t" in t or "\r" in t or "\x0b" in t or "\x0c" in t else t.replace("\n", " ").split(" ")
+            out.append(b"".join(map(self.memo.__getitem__, chunks)))
         return out
 
-    def _need(self, cut: list[list[str]]) -> None:
-        seen: set[str] = set()
-        for chunks in cut:
-            seen.update(chunks)
-        missing = seen.difference(self.memo)  # of a dict, not of its keys: walks the smaller side
-        if len(self.memo) + len(missing) > self.limit:
-            self.old, self.memo, missing = self.memo, {}, seen
-        if missing:
-            old = self.old
-            kept = {c: old[c] for c in missing if c in old}
-            self.memo.update(kept)
-            new = missing.difference(kept)
-            self._learn(new)
-            self.long += [c for c in new if len(c) > KEPT]
-
     def count(self, texts: list[str]) -> list[int]:
         return [len(b) // self.dtype.itemsize for b in self.encode(texts)]
 

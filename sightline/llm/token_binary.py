@@ -111,8 +111,9 @@ def encode_to_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: i
 
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for code in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(code, dtype))
+            codes = batch.column(0).to_pylist()
+            for a, b in common.slices(codes):  # many documents a count, each of which fills an array of the vocabulary's size
+                n = np.bincount(np.frombuffer(b"".join(codes[a:b]), dtype))
                 if len(n) > len(total):
                     total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
                 total[: len(n)] += n

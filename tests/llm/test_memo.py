@@ -36,3 +36,23 @@ def test_rejecting_takes_one_worker_a_task(spark):
     assert plan.count("ArrowEvalPython") == 1  # each such node of a task has a worker of its own
     scores = {r["doc_id"]: r["score"] for r in T.detect(docs, labels).collect()}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, s in scores.items() if s < 0.5) and 0 < kept.count() < 600
+
+
+def test_chunks_are_looked_up_once():
+    """No sets of a text's chunks are made beside the memo, and a memo that is too small gives the same ids."""
+    import collections
+    import sys
+
+    from sightline.llm.encoders import WordEncoder
+
+    texts = [f"Word{i} other, plain. {'x' * 300} \tit's {i} naïve 世界 <|endoftext|>\n" + " ".join("abcdefgh"[k % 8 :] + "ijk"[: k % 3] for k in range(i, i + 30)) for i in range(40)] + ["", " ", ". ,"]
+    coder, small = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), WordEncoder(public_tokenizers.path("word_bpe_49k.json"), memo=20)
+    want = coder._library(texts)
+    assert coder.encode(texts) == want and small.encode(texts + texts) == want + want
+    calls = collections.Counter()
+    sys.setprofile(lambda _, event, what: calls.update([what.__name__]) if event == "c_call" else None)
+    try:
+        again = coder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert again == want and "difference" not in calls and max(map(len, coder.memo)) <= 256
