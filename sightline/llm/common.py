@@ -125,6 +125,27 @@ def slices(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings or binaries, one value after another and not copied, and where values begin in them (and the last one ends). Null is empty."""
+    if column.null_count:
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
+    _, at, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(at, np.int64 if column.type in (pa.large_string(), pa.large_binary()) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
+def byte_slices(offsets: np.ndarray, size: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive values with at most so many bytes each; a longer value stands alone."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str, tidy: bool = False) -> DataFrame:
     """mapInArrow over a function built once a task. It turns a batch into dicts of columns; its attribute done, if any, is called at the end. tidy: the worker gives free memory back after each task, which
     costs some 6 % of an encoder's time and is for operators that share workers with others in a pipeline."""

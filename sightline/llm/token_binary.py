@@ -90,15 +90,20 @@ def encode_to_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: i
     bounds = np.unique(np.array(bounds, np.int64))
 
     def make():
+        import pyarrow as pa
+
         coder = encoder(tokenizer_path)
-        end = np.array([] if end_id is None else [end_id], coder.dtype).tobytes()
 
         def each(batch):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in common.slices(texts):
-                codes = [x + end for x in coder.encode(texts[a:b])]
-                shard = [0 if i is None else int(np.searchsorted(bounds, i, "left")) for i in ids[a:b]]
-                yield {"shard": shard, "doc_id": ids[a:b], "ids": codes}
+            ids, texts = batch.column(0), batch.column(1)
+            shard = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, ids.fill_null(0).to_numpy(), "left"))
+            for a, b in common.byte_slices(common.flat(texts)[1]):
+                codes, counts = coder.encode_arrow(texts.slice(a, b - a))
+                if end_id is not None:
+                    codes, counts = np.insert(codes, np.cumsum(counts), end_id), counts + 1
+                places = np.concatenate([[0], np.cumsum(counts)]) * coder.dtype.itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(places), pa.py_buffer(codes)])
+                yield {"shard": shard[a:b], "doc_id": ids.slice(a, b - a), "ids": packed}
 
         return each
 
@@ -111,9 +116,9 @@ def encode_to_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: i
 
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            codes = batch.column(0).to_pylist()
-            for a, b in common.slices(codes):  # many documents a count, each of which fills an array of the vocabulary's size
-                n = np.bincount(np.frombuffer(b"".join(codes[a:b]), dtype))
+            codes = common.flat(batch.column(0))[0].view(dtype)
+            for a in range(0, len(codes), 1 << 20):  # many documents a count, each of which fills an array of the vocabulary's size
+                n = np.bincount(codes[a : a + (1 << 20)])
                 if len(n) > len(total):
                     total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
                 total[: len(n)] += n

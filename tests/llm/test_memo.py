@@ -56,3 +56,37 @@ def test_chunks_are_looked_up_once():
     finally:
         sys.setprofile(None)
     assert again == want and "difference" not in calls and max(map(len, coder.memo)) <= 256
+
+
+def test_repeated_chunks_are_looked_up_once():
+    """A chunk that texts repeat costs one look at the memo a slice of texts, not one a word; punctuation that ends a word is not learnt with it."""
+    from sightline.llm.encoders import WordEncoder
+
+    coder, looks = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+
+    class Counting(type(coder.memo)):
+        def __getitem__(self, chunk):
+            looks.append(chunk)
+            return super().__getitem__(chunk)
+
+    coder.memo = Counting(coder._learn)
+    texts = ["one two, three*** TWO one. two!! three\n"] * 500
+    assert coder.encode(texts) == coder._library(texts)
+    assert sorted(looks) == sorted(["one", "two", "three", "TWO", ",", "***", ".", "!!"])
+
+
+def test_punctuation_apart_is_the_library():
+    import random
+
+    import pyarrow as pa
+
+    from sightline.llm.encoders import WordEncoder
+
+    coder, rng = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    parts = ["a", "Bc", "é", "é", "́", "̸", "×", "÷", "ß", "ȷ", "ʰ", "ⱥ", "—", "7", "²", "世", "'", "'s", "''S", "t", ".", ",", "!!", "***", "|", "<", ">", "|>.", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "$$$$$$$$", "!" * 30, " ", "\n", "\t", "\x0b", "\x1c", "\xa0", "\x01", "ﬁ", "İ", "Σ"]
+    texts = [a + b for a in parts for b in parts] + ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(4000)]
+    want = coder._library(texts)
+    assert coder.encode(texts) == want
+    column = pa.array([None, "skipped.", *texts, None]).slice(2)  # a slice whose values begin inside the buffers, with a null
+    ids, counts = coder.encode_arrow(column)
+    assert ids.tobytes() == b"".join(want) and counts.tolist() == [*(len(x) // 2 for x in want), 0]
