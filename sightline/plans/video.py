@@ -1,11 +1,13 @@
-"""The whole analysis of videos: detections to tracks, identities, persons, appearances and reports, as one lazy plan."""
+"""The whole analysis of videos: detections to tracks, identities, persons, appearances and reports; tracks and persons are materialised where spark.checkpoint.dir is named."""
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions import vectors as V
 from sightline.operators import clustering as C
 from sightline.operators import report as P
 from sightline.operators import selection as L
@@ -17,32 +19,50 @@ def tracklet_identities(tracked: DataFrame, per_track: int = 2, floor: float = 0
     """video_id, track_id, vector (unit centroid of the best faces by recognition quality), quality, n_det, start_us, end_us, frames (frame and first
     box there). tracked has track_id, embedding and the scores. Vectors are read for the chosen faces only."""
     key = ["video_id", "track_id"]
-    chosen = L.top_faces(tracked.where("embedding is not null"), key, per_track).withColumn("track", F.struct(*key))
-    centroids = V.weighted_centroids(chosen, "track", "embedding", "recognition_quality", floor)
-    packed = centroids.groupBy("track").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector")).select("track.*", "vector")
-    quality = chosen.groupBy(*key).agg(F.avg("recognition_quality").alias("quality"))
+    chosen = L.top_faces(tracked.where("embedding is not null"), key, per_track)
+    # a track has a few chosen faces at most, so their sum is one expression over a short list
+    weight = F.greatest(F.lit(floor), F.coalesce(F.col("recognition_quality"), F.lit(1.0)))
+    packed = chosen.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", F.transform("embedding", lambda x: x.cast("double") * weight).alias("v")))).alias("faces"), F.avg("recognition_quality").alias("quality"))
+    sums = F.aggregate("faces", F.array().cast("array<double>"), lambda total, face: F.zip_with(total, face["v"], lambda x, y: F.coalesce(x + y, x, y)))
+    norm = F.greatest(F.sqrt(F.aggregate("sums", F.lit(0.0), lambda total, x: total + F.coalesce(x * x, F.lit(0.0)))), F.lit(1e-8))
+    unit = F.when(F.size("sums") > 0, F.transform("sums", lambda x: x / F.col("norm")))
+    packed = packed.withColumn("sums", sums).withColumn("norm", norm).select(*key, unit.alias("vector"), "quality")
     first = tracked.groupBy(*key, "frame_index").agg(F.min_by("box", "det_id").alias("box"), F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
     shape = first.groupBy(*key).agg(F.sum("n").alias("n_det"), F.min("lo").alias("start_us"), F.max("hi").alias("end_us"), F.sort_array(F.collect_list(F.struct("frame_index", "box"))).alias("frames"))
-    return shape.join(packed, key, "left").join(quality, key, "left")
+    return shape.join(packed, key, "left")
 
 
 def persons(identities: DataFrame, least: float = 0.65) -> DataFrame:
     """video_id, track_id, person_id by constrained label propagation, one call a video over its tracks."""
 
-    def run(pdf):
-        pieces = []
-        for r in pdf.itertuples():
-            seen = {int(f["frame_index"]): None if f["box"] is None else tuple(float(f["box"][c]) for c in ("left", "top", "right", "bottom")) for f in r.frames}
-            order = sorted(seen)
-            vector = None if r.vector is None else C.np.array(r.vector, float)
-            quality = 0.0 if r.quality is None or r.quality != r.quality else float(r.quality)
-            pieces.append(C.Piece(int(r.track_id), r.start_us / 1000, r.end_us / 1000, int(r.n_det), vector, quality, seen, seen[order[0]], seen[order[-1]]))
-        ids = C.propagate_labels(pieces, least)
-        out = pdf[["video_id", "track_id"]].copy()
-        out["person_id"] = [ids[int(t)] for t in out.track_id]
-        return out
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table, [("start_us", "ascending"), ("track_id", "ascending")])).combine_chunks()
+        start, end = (table[c].to_numpy() / 1000 for c in ("start_us", "end_us"))
+        vector, frames = (pa.concat_arrays(table[c].chunks) for c in ("vector", "frames"))
+        has = vector.is_valid().to_numpy(zero_copy_only=False)
+        vectors = vector.flatten().to_numpy(zero_copy_only=False).reshape(int(has.sum()), -1) if has.any() else np.zeros((0, 1))
+        offsets = np.r_[0, np.cumsum(pc.list_value_length(frames).to_numpy(zero_copy_only=False))].astype(np.int64)
+        frame, box = frames.flatten().flatten()
+        boxes = np.stack([box.field(c).cast("double").to_numpy(zero_copy_only=False) for c in ("left", "top", "right", "bottom")], 1)
+        boxes[~box.is_valid().to_numpy(zero_copy_only=False)] = np.nan
+        ids = C.propagate(start, end, table["n_det"].to_numpy(), vectors, has, offsets, frame.to_numpy(), boxes, boxes[offsets[:-1]], boxes[offsets[1:] - 1], least, 8, 15, 1200.0)
+        return pa.table([table["video_id"], table["track_id"], pa.array(ids, pa.int32())], names=["video_id", "track_id", "person_id"])
+
+    return identities.select("video_id", "track_id", "start_us", "end_us", "n_det", "vector", "frames").groupBy("video_id").applyInArrow(run, "video_id long, track_id int, person_id int")
+
 
-    return identities.groupBy("video_id").applyInPandas(run, "video_id long, track_id int, person_id int")
+def kept(d: DataFrame) -> DataFrame:
+    """d as a Parquet table below spark.checkpoint.dir, so that what reads it again doesn't compute it again; d as it is where no such folder is named."""
+    spark = d.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return d
+    path = f"{root}/video-{uuid.uuid4().hex}"
+    d.write.parquet(path)
+    return spark.read.schema(d.schema).parquet(path)
 
 
 def analyse(scored: DataFrame, epochs: DataFrame | None = None, gap_us: int = 1_500_000, least_us: int = 350_000, similarity: float = 0.65) -> dict[str, DataFrame]:
@@ -51,9 +71,9 @@ def analyse(scored: DataFrame, epochs: DataFrame | None = None, gap_us: int = 1_
     epochs(video_id, frame_index, epoch) closes tracks at scene boundaries. Persons are numbered within their video by detections, then start.
     """
     faces = scored if epochs is None else scored.join(epochs, ["video_id", "frame_index"], "left").fillna({"epoch": 0})
-    tracks = K.by_video(faces, K.track_video, "track_id")
+    tracks = kept(K.tracks_in_order(faces, kept))
     tracked = scored.join(tracks, ["video_id", "det_id"])
-    people = persons(tracklet_identities(tracked), similarity)
+    people = kept(persons(tracklet_identities(tracked), similarity))
     seen = tracked.join(people, ["video_id", "track_id"]).withColumn("subject", F.struct("video_id", "person_id"))
     key = ["video_id", "person_id"]
     spans = seen.groupBy(*key, "track_id").agg(F.min("us").alias("start"), F.max("us").alias("end"))
