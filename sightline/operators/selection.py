@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.operators.relations import usable_or_all
 
 
+def _merits(quality_digits: int) -> list[Column]:
+    width = F.col("box.right") - F.col("box.left")
+    return [F.col("solo_portrait"), F.col("clean"), F.col("visible"), F.col("sharpness") >= 40, F.round("recognition_quality", quality_digits), F.round("frontality", quality_digits), F.round("sharpness", quality_digits), width]
+
+
 def rank_shots(scored: DataFrame, key: list[str], quality_digits: int = 9) -> DataFrame:
     """Candidates of each key with rank from 1: those with a crop if any, of these the solo portraits if any, by solo, clean, visible, sharp enough, quality,
     frontality, sharpness, width, then id."""
     pool = usable_or_all(usable_or_all(scored, key, F.col("has_crop")), key, F.col("solo_portrait"))
-    width = F.col("box.right") - F.col("box.left")
-    order = [F.col("solo_portrait"), F.col("clean"), F.col("visible"), F.col("sharpness") >= 40, F.round("recognition_quality", quality_digits), F.round("frontality", quality_digits), F.round("sharpness", quality_digits), width]
-    return pool.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(*[c.desc() for c in order], "det_id")))
+    return pool.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(*[c.desc() for c in _merits(quality_digits)], "det_id")))
+
+
+def first_shots(scored: DataFrame, owners: DataFrame, part: list[str], key: list[str], quality_digits: int = 9) -> DataFrame:
+    """key, det_id of rank 1 by rank_shots() of scored with their key, which owners(part, key) gives for each part. The first of a part is found before
+    parts are joined, in sums of one row a part, so no key's rows are held or sorted as a whole."""
+    good = [F.coalesce(c, F.lit(False)) for c in ("has_crop", "solo_portrait")]
+    merits = [*good, *_merits(quality_digits), F.col("det_id").isNull(), F.bitwise_not("det_id")]
+    worth = F.struct(*[m.alias("last" if m is merits[-1] else f"m{i}") for i, m in enumerate(merits)])
+    firsts = scored.groupBy(*part).agg(F.max(worth).alias("worth")).join(owners, part)
+    return firsts.groupBy(*key).agg(F.max("worth").alias("worth")).select(*key, F.bitwise_not("worth.last").alias("det_id"))
 
 
 def top_faces(scored: DataFrame, key: list[str], n: int, least: float = 0.0) -> DataFrame:

@@ -39,17 +39,32 @@ def persons(identities: DataFrame, least: float = 0.65) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        table = table.take(pc.sort_indices(table, [("start_us", "ascending"), ("track_id", "ascending")])).combine_chunks()
-        start, end = (table[c].to_numpy() / 1000 for c in ("start_us", "end_us"))
-        vector, frames = (pa.concat_arrays(table[c].chunks) for c in ("vector", "frames"))
-        has = vector.is_valid().to_numpy(zero_copy_only=False)
-        vectors = vector.flatten().to_numpy(zero_copy_only=False).reshape(int(has.sum()), -1) if has.any() else np.zeros((0, 1))
-        offsets = np.r_[0, np.cumsum(pc.list_value_length(frames).to_numpy(zero_copy_only=False))].astype(np.int64)
-        frame, box = frames.flatten().flatten()
-        boxes = np.stack([box.field(c).cast("double").to_numpy(zero_copy_only=False) for c in ("left", "top", "right", "bottom")], 1)
-        boxes[~box.is_valid().to_numpy(zero_copy_only=False)] = np.nan
-        ids = C.propagate(start, end, table["n_det"].to_numpy(), vectors, has, offsets, frame.to_numpy(), boxes, boxes[offsets[:-1]], boxes[offsets[1:] - 1], least, 8, 15, 1200.0)
-        return pa.table([table["video_id"], table["track_id"], pa.array(ids, pa.int32())], names=["video_id", "track_id", "person_id"])
+        n = table.num_rows
+        order = pc.sort_indices(table.select(["start_us", "track_id"]), [("start_us", "ascending"), ("track_id", "ascending")]).to_numpy()
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        start, end, count, video, track = (table[c].to_numpy()[order] for c in ("start_us", "end_us", "n_det", "video_id", "track_id"))
+        # vectors and frames go to their places part by part, so no second table is held
+        has = table["vector"].is_valid().to_numpy()[order]
+        sizes = pc.list_value_length(table["frames"]).to_numpy()[order]
+        at, offsets = np.cumsum(has) - 1, np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        wide = pc.max(pc.list_value_length(table["vector"])).as_py() or 0 if has.any() else 1
+        vectors, frames, boxes = np.zeros((int(has.sum()), wide)), np.zeros(offsets[-1], np.int64), np.full((offsets[-1], 4), np.nan)
+        seen = 0
+        for batch in table.select(["vector", "frames"]).to_batches(max_chunksize=8192):
+            here = place[seen : seen + batch.num_rows]
+            seen += batch.num_rows
+            vector, frame = batch.columns
+            vectors[at[here[has[here]]]] = vector.flatten().to_numpy(zero_copy_only=False).reshape(-1, wide)
+            index, box = frame.flatten().flatten()
+            to = np.repeat(offsets[here] - np.r_[0, np.cumsum(sizes[here])[:-1]], sizes[here]) + np.arange(len(index))
+            frames[to] = index.to_numpy()
+            known = box.is_valid().to_numpy(zero_copy_only=False)
+            for k, c in enumerate(("left", "top", "right", "bottom")):
+                boxes[to[known], k] = box.field(c).cast("double").to_numpy(zero_copy_only=False)[known]
+        del table, batch, vector, frame, index, box
+        ids = C.propagate(start / 1000, end / 1000, count, vectors, has, offsets, frames, boxes, boxes[offsets[:-1]], boxes[offsets[1:] - 1], least, 8, 15, 1200.0)
+        return pa.table([pa.array(video), pa.array(track), pa.array(ids, pa.int32())], names=["video_id", "track_id", "person_id"])
 
     return identities.select("video_id", "track_id", "start_us", "end_us", "n_det", "vector", "frames").groupBy("video_id").applyInArrow(run, "video_id long, track_id int, person_id int")
 
@@ -84,6 +99,6 @@ def analyse(scored: DataFrame, epochs: DataFrame | None = None, gap_us: int = 1_
         "tracks": tracks,
         "persons": people,
         "timeline": P.ordered_timeline(timeline.select(*key, "index", "start_us", "end_us"), ["video_id"], "person_id"),
-        "best_shots": L.rank_shots(seen, key).where("rank = 1").select(*key, "det_id"),
+        "best_shots": L.first_shots(tracked, people, ["video_id", "track_id"], key),
         "totals": P.totals(timeline.withColumn("subject", F.struct("video_id", "person_id")), "subject"),
     }
